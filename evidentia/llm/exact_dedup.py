@@ -140,9 +140,12 @@ def exact_duplicates(docs: DataFrame, *, name: Callable[[bytes], int] = chunk_id
         recipes = written(recipes, "marked-recipes")
         key = ["recipe", "marks"]
 
-    groups = recipes.groupBy(*key).agg(F.min("doc_id").alias("keep_id"), F.count("*").alias("group_size"))
-    kept = F.when(F.col("keep_id").isNull(), F.col("group_size") == 1).otherwise(F.coalesce(F.col("doc_id") == F.col("keep_id"), F.lit(False)))
-    return recipes.join(groups, key).select("doc_id", "keep_id", "group_size", kept.alias("kept"), "text_sha256")
+    # Written, so that the join's both sides are plain shuffles, whose hot keys Spark can split; single rows stay out.
+    groups = recipes.groupBy(*key).agg(F.min("doc_id").alias("keep_id"), F.count("*").alias("group_size")).filter("group_size > 1")
+    joined = recipes.join(written(groups, "recipe-groups"), key, "left")
+    keep_id = F.when(F.col("group_size").isNull(), F.col("doc_id")).otherwise(F.col("keep_id"))
+    kept = F.when(F.col("group_size").isNull(), True).otherwise(F.coalesce(F.col("doc_id") == F.col("keep_id"), F.lit(False)))
+    return joined.select("doc_id", keep_id.alias("keep_id"), F.coalesce("group_size", F.lit(1)).alias("group_size"), kept.alias("kept"), "text_sha256")
 
 
 def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,9 +1,11 @@
 """The queries of this subpackage by name, and the SQL for those that SQL can express."""
 
-from . import exact_dedup, packing
+from . import exact_dedup, media, minhash, packing
 
 QUERIES = {
     "op1_exact_dedup": exact_dedup.op1_exact_dedup,
+    "op4_near_dedup": minhash.op4_near_dedup,
+    "op7_media_columns": media.op7_media_columns,
     "op10_packing": packing.op10_packing,
 }
 ORACLES = {"op1_exact_dedup": exact_dedup.ORACLE}

@@ -1,11 +1,14 @@
 """The queries of this subpackage by name, and the SQL for those that SQL can express."""
 
-from . import exact_dedup, media, minhash, packing
+from . import exact_dedup, line_dedup, media, minhash, mixing, packing, quality
 
 QUERIES = {
     "op1_exact_dedup": exact_dedup.op1_exact_dedup,
+    "op2_line_dedup": line_dedup.op2_line_dedup,
     "op4_near_dedup": minhash.op4_near_dedup,
+    "op6_mixing": mixing.op6_mixing,
     "op7_media_columns": media.op7_media_columns,
+    "op8_quality": quality.op8_quality,
     "op10_packing": packing.op10_packing,
 }
-ORACLES = {"op1_exact_dedup": exact_dedup.ORACLE}
+ORACLES = {"op1_exact_dedup": exact_dedup.ORACLE, "op2_line_dedup": line_dedup.ORACLE}

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from ._shared import written
@@ -15,14 +15,14 @@ def components(edges: DataFrame) -> DataFrame:
     with very many neighbours is no unbounded group. Edges are written after each round; rounds grow with the
     logarithm of the longest path.
     """
-    edges = written(_ordered(edges), "edges")
-    state = None
+    edges, state = _ordered(edges), None
     while True:
-        edges = written(_small_star(_large_star(edges)), "edges")
-        now = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if now == state:
+        seen = Observation()
+        sum_of = F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))
+        edges = written(_small_star(_large_star(edges)).observe(seen, F.count("*").alias("n"), sum_of.alias("sum")), "edges")
+        if seen.get == state:
             break
-        state = now
+        state = seen.get
     return edges.select(F.col("a").alias("node"), F.col("b").alias("component")).union(edges.select("b", "b")).distinct()
 
 
@@ -34,7 +34,7 @@ def _large_star(edges: DataFrame) -> DataFrame:
     """Links each larger neighbour of a node to the smallest node around it."""
     both = edges.select(F.col("a").alias("u"), F.col("b").alias("v")).union(edges.select("b", "a"))
     least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-    return _ordered(both.filter("v > u").join(least, "u").select(F.col("v").alias("a"), F.col("m").alias("b")))
+    return both.filter("v > u").join(least, "u").select(F.col("v").alias("a"), F.col("m").alias("b")).filter("a <> b")
 
 
 def _small_star(edges: DataFrame) -> DataFrame:

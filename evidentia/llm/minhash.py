@@ -11,9 +11,9 @@ about as often as the sets' Jaccard similarity J.
    classes gives g - 1 pairs. The joint maximum-likelihood estimate of J from both sketches drops hopeless pairs; the
    others are confirmed on the full sets (the shingle sets of classes that share a bucket, made in a second pass).
 3. Components of the confirmed links follow (large-star, small-star). Buckets whose classes are still in several components
-   get two more rounds with other pivots, and then the exact way: blocks of at most SIDE classes of a bucket meet
-   pairwise and compare what is in different components, each pair in the first bucket that it shares. Only links that
-   join components are emitted, so no round emits all pairs of a bucket, and no task holds more than two blocks.
+   go the exact way: blocks of a bucket, bounded in classes and in shingles, meet pairwise and count the common shingles of all
+   their classes at once (a matrix product over the frequent shingles, sorted runs of the others). Only links that join
+   components are emitted, so no step emits the pairs of a bucket, and no task needs more than two blocks at a time.
 
 A pair at the threshold shares no band with probability below 1e-5, and the estimate drops it with probability
 below 1e-6; all else is exact.
@@ -45,8 +45,10 @@ M, BANDS, WIDTH = 64, 16, 4
 BASE, RATE, TOP = 1.08, 20.0, 254
 #: A pair whose estimate is this far below the threshold is 5 standard errors away from it.
 MARGIN = 0.25
-#: Classes of a block in the exact way.
-SIDE = 256
+#: Classes and shingles of a block in the exact way; shingles in more sets than COMMON are counted by a matrix product.
+SIDE, HELD, COMMON = 2048, 1 << 20, 24
+#: Rows of small buckets that are handled in one call.
+CALL = 2000
 
 _draw = np.random.default_rng(20210104)
 FLIP = _draw.integers(0, 1 << 64, M, U)
@@ -196,39 +198,60 @@ def _confirmed(pairs: DataFrame, classes: DataFrame, sets: DataFrame, percent: i
     return known.join(sets.toDF("a", "sa"), "a").join(sets.toDF("b", "sb"), "b").filter(_linked(percent)).select("a", "b")
 
 
+def common_counts(sets: list[np.ndarray]) -> np.ndarray:
+    """Sizes of the intersections of all pairs of sorted sets; only the part above the diagonal counts."""
+    n = len(sets)
+    values = np.concatenate(sets)
+    rows = np.repeat(np.arange(n), [len(s) for s in sets])
+    order = np.argsort(values, kind="stable")
+    values, rows = values[order], rows[order]
+    begin = np.flatnonzero(np.concatenate([[True], values[1:] != values[:-1]]))
+    size = np.diff(np.append(begin, len(values)))
+    out = np.zeros((n, n), np.float32)
+    often = np.flatnonzero(size > COMMON)
+    for k in range(0, len(often), 1024):
+        dense = np.zeros((n, min(1024, len(often) - k)), np.float32)
+        for c, v in enumerate(often[k : k + 1024]):
+            dense[rows[begin[v] : begin[v] + size[v]], c] = 1
+        out += dense @ dense.T
+    rare = np.repeat((size > 1) & (size <= COMMON), size)
+    values, rows = values[rare], rows[rare]
+    for d in range(1, COMMON):  # the d-th next set with the same shingle; rows rise within a shingle
+        at = np.flatnonzero(values[d:] == values[:-d])
+        if not len(at):
+            break
+        pairs, times = np.unique(rows[at] * n + rows[at + d], return_counts=True)
+        out.reshape(-1)[pairs] += times
+    return out
+
+
 def _block_links(percent: int):
-    """Links between components in two blocks of a bucket (side 0 and 1, or one block with itself)."""
+    """Links between components in blocks that meet (side 0 with side 1, or a block with itself), for each bucket of the call."""
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("class", ignore_index=True)
-        n, band = len(pdf), int(pdf["band"].iloc[0])
-        comp, side = pdf["component"].to_numpy(), pdf["side"].to_numpy()
-        regs = np.frombuffer(b"".join(pdf["regs"]), np.uint8).reshape(n, M)
-        keys, size = np.stack(pdf["bands"].to_numpy()), pdf["n_shingles"].to_numpy().astype(float)
-        sets = [np.asarray(s, np.int64) for s in pdf["shingles"]]
-        parent = {c: c for c in comp.tolist()}
+    def bucket(pdf: pd.DataFrame) -> list[tuple]:
+        classes, comp, side = (pdf[c].to_numpy() for c in ("class", "component", "side"))
+        size, alone = pdf["n_shingles"].to_numpy().astype(np.float32), pdf["alone"].iloc[0]
+        common = common_counts(list(pdf["shingles"]))
+        i, j = np.nonzero(np.triu(100 * common >= percent * (size[:, None] + size[None] - common), 1))
+        keep = (comp[i] != comp[j]) & (alone | (side[i] != side[j]))
+        parent: dict[int, int] = {}
 
         def root(x):
-            while parent[x] != x:
-                parent[x] = x = parent[parent[x]]
+            while (up := parent.get(x, x)) != x:
+                x = up
             return x
 
-        links, one = [], pdf["alone"].iloc[0]
-        for i in range(n):
-            other = np.flatnonzero((comp != comp[i]) & (100 * np.minimum(size, size[i]) >= percent * np.maximum(size, size[i])))
-            other = other[other > i] if one else other[side[other] != side[i]] if side[i] == 0 else other[:0]
-            if band and len(other):  # the pair's turn came in an earlier band
-                other = other[~(keys[other, :band] == keys[i, :band]).any(1)]
-            if not len(other):
-                continue
-            est = estimate(np.broadcast_to(regs[i], (len(other), M)), regs[other], np.full(len(other), size[i]), size[other])
-            for j in other[est >= percent / 100 - MARGIN]:
-                if root(comp[i]) == root(comp[j]):
-                    continue
-                common = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
-                if 100 * common >= percent * (len(sets[i]) + len(sets[j]) - common):
-                    parent[root(comp[i])] = root(comp[j])
-                    links.append((pdf["class"].iloc[i], pdf["class"].iloc[j]))
+        links = []
+        for a, b in zip(i[keep].tolist(), j[keep].tolist()):
+            x, y = root(comp[a]), root(comp[b])
+            if x != y:
+                parent[max(x, y)] = min(x, y)
+                links.append((classes[a], classes[b]))
+        return links
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["bucket", "class"], ignore_index=True)
+        links = [link for _, part in pdf.groupby("bucket", sort=False) for link in bucket(part)]
         return pd.DataFrame(links, columns=["a", "b"], dtype="int64")
 
     return run
@@ -242,8 +265,8 @@ def near_duplicates(docs: DataFrame, *, percent: int = PERCENT) -> DataFrame:
     classes = sketches.filter("n_shingles > 0").groupBy(*same).agg(F.min("doc_id").alias("class"), F.first("regs").alias("regs"), F.first("bands").alias("bands"))
     classes = written(classes.filter(F.col("class").isNotNull()), "classes")
 
-    members = classes.select("class", F.posexplode("bands").alias("band", "bucket"))
-    buckets = members.groupBy("bucket").agg(F.count("*").alias("size"), F.min("class").alias("pivot")).filter("size > 1")
+    members = classes.select("class", "n_shingles", F.explode("bands").alias("bucket"))
+    buckets = members.groupBy("bucket").agg(F.count("*").alias("size"), F.sum("n_shingles").alias("held"), F.min("class").alias("pivot")).filter("size > 1")
     members = written(members.join(buckets, "bucket"), "members")
     pairs = members.filter("class <> pivot").select(F.col("class").alias("a"), F.col("pivot").alias("b")).distinct()
     wanted = members.select("class").distinct()
@@ -260,20 +283,8 @@ def near_duplicates(docs: DataFrame, *, percent: int = PERCENT) -> DataFrame:
         return own.join(apart, "bucket")
 
     open_members = written(placed(found), "open")
-    for turn in (1, 2):  # other pivots
-        if open_members.isEmpty():
-            break
-        pivots = open_members.groupBy("bucket").agg(F.min_by(F.struct("class", "component"), F.xxhash64("class", F.lit(turn))).alias("p"))
-        pairs = open_members.drop("pivot").join(pivots, "bucket").filter("component <> p.component")
-        pairs = pairs.select(F.greatest("class", "p.class").alias("a"), F.least("class", "p.class").alias("b")).distinct()
-        more = written(_confirmed(pairs, classes, sets, percent), "links")
-        if more.isEmpty():
-            continue
-        links = links.union(more)
-        found = written(components(links), "components")
-        open_members = written(placed(found), "open")
-    if not open_members.isEmpty():
-        more = written(_exact_rest(open_members, classes, sets, percent), "links")
+    if rows := open_members.count():
+        more = written(_exact_rest(open_members, sets, percent, max(1, rows // CALL)), "links")
         if not more.isEmpty():
             found = written(components(links.union(more)), "components")
 
@@ -283,20 +294,21 @@ def near_duplicates(docs: DataFrame, *, percent: int = PERCENT) -> DataFrame:
     return joined.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)))
 
 
-def _exact_rest(open_members: DataFrame, classes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Links between components inside buckets, by pairs of blocks of SIDE classes."""
-    block = F.pmod(F.xxhash64("class"), F.col("blocks")).cast("int")
-    m = open_members.withColumn("blocks", F.ceil(F.col("size") / SIDE)).withColumn("block", block)
+def _exact_rest(open_members: DataFrame, sets: DataFrame, percent: int, calls: int) -> DataFrame:
+    """Links between components inside buckets, by pairs of blocks; buckets of one block share calls."""
+    blocks = F.ceil(F.greatest(F.col("size") / SIDE, F.col("held") / HELD)).cast("int")
+    m = open_members.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("class"), "blocks").cast("int"))
     # Block k meets itself and every other block: as side 0 where it comes first, else as side 1.
-    met = F.explode(F.sequence(F.lit(0), F.col("blocks").cast("int") - 1))
-    m = m.select("bucket", "band", "class", "component", "block", met.alias("other"))
-    m = m.withColumn("first", F.least("block", "other")).withColumn("second", F.greatest("block", "other"))
-    m = m.withColumn("side", (F.col("block") > F.col("other")).cast("int")).withColumn("alone", F.col("first") == F.col("second"))
-    # Two blocks with one component between them need no meeting.
-    key = ["bucket", "first", "second"]
-    useful = m.groupBy(*key).agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi").select(*key)
-    m = m.join(useful, key).join(classes.select("class", "n_shingles", "regs", "bands"), "class").join(sets, "class")
-    return m.groupBy(*key).applyInPandas(_block_links(percent), "a bigint, b bigint")
+    m = m.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    m = m.select(
+        F.when(F.col("blocks") > 1, F.col("bucket")).otherwise(F.pmod(F.xxhash64("bucket"), F.lit(calls))).alias("call"),
+        F.least("block", "other").alias("one"),
+        F.greatest("block", "other").alias("two"),
+        "bucket", "class", "n_shingles", "component",
+        (F.col("block") > F.col("other")).cast("int").alias("side"),
+        (F.col("block") == F.col("other")).alias("alone"),
+    )
+    return m.join(sets, "class").groupBy("call", "one", "two").applyInPandas(_block_links(percent), "a bigint, b bigint")
 
 
 def op4_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,29 +1,69 @@
-"""The corpus pipeline: stages over documents, each written as Parquet and read again as the next one's input."""
+"""The corpus pipeline: stages over documents, each written as Parquet and read again as the next one's input.
+
+Every stage works on all rows that its predecessor kept, and all but the last return the columns of documents.
+"""
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from evidentia.llm import packing
+from evidentia.llm import line_dedup, minhash, mixing, packing, quality
 from evidentia.llm._shared import table, written
 from evidentia.session import ship
 
 
+def reject_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier, trained on the labels, predicts as 1."""
+    ship(spark)
+    labels = table(spark, sf_dir, "labels").select("doc_id", F.col("quality").alias("label"))
+    return quality.accepted(docs, quality.train(docs, labels))
+
+
+def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts without the lines that an earlier document or line has, within one word; documents of which nothing is left go."""
+    ship(spark)
+    return _counted(docs, line_dedup.without_copies(docs))
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group that is linked at a similarity of 0.85, with the smallest id; documents without words stay."""
+    ship(spark)
+    kept = minhash.near_duplicates(docs).filter(~F.col("kept") & F.col("doc_id").isNotNull()).select("doc_id").distinct()
+    return docs.join(written(kept, "not-kept"), "doc_id", "left_anti").select(*docs.columns)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document as often as the mix of sources takes it."""
+    ship(spark)
+    return mixing.copies(docs)
+
+
 def pack_windows(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of documents in windows of 2,048 tokens."""
+    ship(spark)
     return packing.pack(docs)
 
 
+def _counted(before: DataFrame, docs: DataFrame) -> DataFrame:
+    """n_chars, where there is such a column, after a change of the text."""
+    return docs.withColumn("n_chars", F.length("text").cast(before.schema["n_chars"].dataType)) if "n_chars" in docs.columns else docs
+
+
 STAGES = [
+    ("quality", reject_low_quality),
+    ("line_dedup", drop_repeated_lines),
+    ("near_dedup", drop_near_duplicates),
+    ("mixing", mix_sources),
     ("packing", pack_windows),
 ]
 
-#: Training by gradient descent, randomised rounding and tokenizers have no form in SQL; tests/llm holds each stage against a brute-force version.
+#: Training by gradient descent, randomised rounding and tokenizers have no form in SQL; tests/llm holds the stages against brute-force versions.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ship(spark)
     docs = table(spark, sf_dir, "documents")
     for k, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if k < len(STAGES) - 1:
-            docs = written(docs, f"stage{k}")
+            docs = written(docs, f"stage-{name}")
     return docs

@@ -11,8 +11,8 @@ from ._shared import written
 def components(edges: DataFrame) -> DataFrame:
     """(node, component) for every node of edges (a, b): the smallest node that it reaches.
 
-    Each step is an aggregation that combines before its shuffle and a join whose skewed keys Spark splits, so a hub
-    with very many neighbours is no unbounded group. Edges are written after each round; rounds grow with the
+    Each step is an aggregation that combines before its shuffle and a join against its written result, so that both sides
+    of the join are plain shuffles, whose skewed keys Spark splits: a hub with very many neighbours is no unbounded group. Edges are written after each round; rounds grow with the
     logarithm of the longest path.
     """
     edges, state = _ordered(edges), None
@@ -33,12 +33,13 @@ def _ordered(edges: DataFrame) -> DataFrame:
 def _large_star(edges: DataFrame) -> DataFrame:
     """Links each larger neighbour of a node to the smallest node around it."""
     both = edges.select(F.col("a").alias("u"), F.col("b").alias("v")).union(edges.select("b", "a"))
-    least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+    least = written(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "least")
     return both.filter("v > u").join(least, "u").select(F.col("v").alias("a"), F.col("m").alias("b")).filter("a <> b")
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
     """Links each smaller neighbour of a node, and the node, to the smallest of them."""
-    least = edges.groupBy("a").agg(F.min("b").alias("m"))
+    edges = written(edges, "edges")
+    least = written(edges.groupBy("a").agg(F.min("b").alias("m")), "least")
     moved = edges.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
     return _ordered(moved.union(least.select("a", "m")))

@@ -9,7 +9,8 @@ about as often as the sets' Jaccard similarity J.
    Documents with equal sets form a class; everything below is on classes.
 2. Classes that share a band key are candidates. Within a bucket each class is compared with one pivot, so a bucket of g
    classes gives g - 1 pairs. The joint maximum-likelihood estimate of J from both sketches drops hopeless pairs; the
-   others are confirmed on the full sets (the shingle sets of classes that share a bucket, made in a second pass).
+   others are confirmed on the full sets (the shingle sets of classes that share a bucket, made in a second pass, in which
+   a Bloom filter of bounded size keeps the texts of all other documents out of the shuffle).
 3. Components of the confirmed links follow (large-star, small-star). Buckets whose classes are still in several components
    go the exact way: blocks of a bucket, bounded in classes and in shingles, meet pairwise and count the common shingles of all
    their classes at once (a matrix product over the frequent shingles, sorted runs of the others). Only links that join
@@ -140,16 +141,49 @@ def _sketch(batches):
         )
 
 
-def _sets(batches):
-    for batch in batches:
-        flat, ends, total = [], [0], 0
-        for _, _, hashes, runs in _runs(batch):
-            for a, b in pairwise(runs.tolist()):
-                own = np.unique(hashes[a:b])
-                flat.append(own)
-                ends.append(total := total + len(own))
-        flat = np.concatenate(flat).view(np.int64) if flat else np.zeros(0, np.int64)
-        yield pa.RecordBatch.from_arrays([batch.column("class"), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat))], names=["class", "shingles"])
+def _places(ids: np.ndarray, bits: int) -> np.ndarray:
+    h = mix(ids.astype(np.int64).view(U) + U(0x632BE59BD9B4E019))
+    return np.stack([h >> U(64 - bits), h & U((1 << bits) - 1)])
+
+
+def _likely(ids: DataFrame) -> tuple[np.ndarray, int]:
+    """A Bloom filter of a bigint column: bytes and the logarithm of its bits, from 2^20 to 2^26 (8 MB), by the count.
+
+    The executors fold their ids into words of the filter, so the driver gets no ids and at most 2^20 words.
+    """
+    bits = min(26, max(20, int(ids.count()).bit_length() + 5))
+
+    def words(batches):
+        for batch in batches:
+            at = _places(batch.column(0).to_numpy(), bits).ravel()
+            word, bit = (at >> U(6)).astype(np.int64), at & U(63)
+            yield pa.RecordBatch.from_arrays([pa.array(word), pa.array((U(1) << bit).view(np.int64))], names=["word", "bit"])
+
+    rows = ids.mapInArrow(words, "word bigint, bit bigint").groupBy("word").agg(F.bit_or("bit").alias("bit")).toPandas()
+    filled = np.zeros(1 << (bits - 6), np.int64)
+    filled[rows["word"].to_numpy()] = rows["bit"].to_numpy()
+    return filled, bits
+
+
+def _sets(filled: np.ndarray, bits: int):
+    """The shingle sets of the documents whose ids may be in the filter; the others' texts go no further than the scan."""
+
+    def run(batches):
+        for batch in batches:
+            ids = batch.column("class").fill_null(0).to_numpy()
+            at = _places(ids, bits)
+            likely = ((filled.view(U)[at >> U(6)] >> (at & U(63))) & U(1)).all(0)
+            batch = batch.filter(pa.array(likely))
+            flat, ends, total = [], [0], 0
+            for _, _, hashes, runs in _runs(batch):
+                for a, b in pairwise(runs.tolist()):
+                    own = np.unique(hashes[a:b])
+                    flat.append(own)
+                    ends.append(total := total + len(own))
+            flat = np.concatenate(flat).view(np.int64) if flat else np.zeros(0, np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column("class"), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat))], names=["class", "shingles"])
+
+    return run
 
 
 def _p(x: np.ndarray) -> np.ndarray:
@@ -192,10 +226,11 @@ def _linked(percent: int):
 def _confirmed(pairs: DataFrame, classes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) of classes that are links. Sizes and estimates go first, as they move no sets."""
     c = classes.select("class", "n_shingles", "regs")
+    # Sort-merge joins on purpose: a pivot may have very many partners, and only these joins have their hot keys split.
     known = pairs.join(c.toDF("a", "na", "ra"), "a").join(c.toDF("b", "nb", "rb"), "b")
     known = known.filter(100 * F.least("na", "nb") >= percent * F.greatest("na", "nb"))
     known = known.mapInArrow(_hopeful(percent), known.select("a", "b").schema)
-    return known.join(sets.toDF("a", "sa"), "a").join(sets.toDF("b", "sb"), "b").filter(_linked(percent)).select("a", "b")
+    return known.join(sets.toDF("a", "sa").hint("merge"), "a").join(sets.toDF("b", "sb").hint("merge"), "b").filter(_linked(percent)).select("a", "b")
 
 
 def common_counts(sets: list[np.ndarray]) -> np.ndarray:
@@ -267,10 +302,10 @@ def near_duplicates(docs: DataFrame, *, percent: int = PERCENT) -> DataFrame:
 
     members = classes.select("class", "n_shingles", F.explode("bands").alias("bucket"))
     buckets = members.groupBy("bucket").agg(F.count("*").alias("size"), F.sum("n_shingles").alias("held"), F.min("class").alias("pivot")).filter("size > 1")
-    members = written(members.join(buckets, "bucket"), "members")
+    members = written(members.join(written(buckets, "buckets"), "bucket"), "members")
     pairs = members.filter("class <> pivot").select(F.col("class").alias("a"), F.col("pivot").alias("b")).distinct()
     wanted = members.select("class").distinct()
-    sets = docs.withColumnRenamed("doc_id", "class").join(wanted, "class", "left_semi").mapInArrow(_sets, "class bigint, shingles array<bigint>")
+    sets = docs.withColumnRenamed("doc_id", "class").mapInArrow(_sets(*_likely(wanted)), "class bigint, shingles array<bigint>").join(wanted, "class", "left_semi")
     # An id with several texts isn't one set: the classes' digest tells which text is meant.
     sets = written(sets.withColumn("n", F.size("shingles")).join(classes.select("class", "n_shingles"), "class").filter("n = n_shingles").select("class", "shingles").dropDuplicates(["class"]), "sets")
     links = written(_confirmed(pairs, classes, sets, percent), "links")
@@ -280,7 +315,7 @@ def near_duplicates(docs: DataFrame, *, percent: int = PERCENT) -> DataFrame:
         """Members of buckets that have classes of several components, with these."""
         own = members.filter("size > 2").join(found.withColumnRenamed("node", "class"), "class", "left").withColumn("component", F.coalesce("component", "class"))
         apart = own.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi").select("bucket")
-        return own.join(apart, "bucket")
+        return own.join(written(apart, "apart"), "bucket")
 
     open_members = written(placed(found), "open")
     if rows := open_members.count():
@@ -308,7 +343,7 @@ def _exact_rest(open_members: DataFrame, sets: DataFrame, percent: int, calls: i
         (F.col("block") > F.col("other")).cast("int").alias("side"),
         (F.col("block") == F.col("other")).alias("alone"),
     )
-    return m.join(sets, "class").groupBy("call", "one", "two").applyInPandas(_block_links(percent), "a bigint, b bigint")
+    return m.join(sets.hint("merge"), "class").groupBy("call", "one", "two").applyInPandas(_block_links(percent), "a bigint, b bigint")
 
 
 def op4_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

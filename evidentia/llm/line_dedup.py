@@ -41,26 +41,35 @@ def words(line: Column) -> Column:
     return F.filter(F.split(line, WS), lambda x: x != "")
 
 
-def _halves(w: Column, n: Column) -> Column:
+def _halves(norm: Column, n: Column) -> Column:
     """Keys of the first and the last m words, for both roundings of n / 2."""
     low, high = F.floor((n - 1) / 2).cast("int"), F.floor(n / 2).cast("int")
 
     def first(m):
-        return F.xxhash64(F.lit("first"), m, F.slice(w, F.lit(1), m))
+        return F.xxhash64(F.lit("first"), m, F.call_function("substring_index", norm, F.lit(" "), m))
 
     def last(m):
-        return F.xxhash64(F.lit("last"), m, F.slice(w, n - m + 1, m))
+        return F.xxhash64(F.lit("last"), m, F.call_function("substring_index", norm, F.lit(" "), -m))
 
     return F.array_distinct(F.array(first(low), first(high), last(low), last(high)))
 
 
 def _lines(docs: DataFrame) -> DataFrame:
-    """doc_id, version (the text's hash), line_no, w for every line of LEAST words or more."""
+    """doc_id, version (the text's hash), line_no, line for every line that is long enough for LEAST words."""
     docs = docs.filter("doc_id is not null and text is not null").select("doc_id", F.xxhash64("text").alias("version"), "text")
     lines = docs.select("doc_id", "version", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
-    # The cheap test first: a line of LEAST words has that many bytes and as many less one between them.
-    lines = lines.filter(F.length("line") >= 2 * LEAST - 1)
-    return lines.select("doc_id", "version", "line_no", words(F.col("line")).alias("w")).filter(F.size("w") >= LEAST)
+    return lines.filter(F.octet_length("line") >= 2 * LEAST - 1)
+
+
+def _normal(lines: DataFrame) -> DataFrame:
+    """lines with norm, the words joined by single spaces, and n, their number; those of LEAST words or more."""
+    line = F.col("line")
+    # The regular expression only where there is other white space than single spaces.
+    odd = F.contains(line, F.lit("  ")) | F.contains(line, F.lit("\t")) | F.contains(line, F.lit("\r")) | F.contains(line, F.lit("\x0b")) | F.contains(line, F.lit("\x0c"))
+    norm = F.trim(F.when(odd, F.regexp_replace(line, WS, " ")).otherwise(line))
+    lines = lines.withColumn("norm", norm)
+    n = F.octet_length("norm") - F.octet_length(F.replace("norm", F.lit(" "), F.lit(""))) + 1
+    return lines.withColumn("n", F.when(F.col("norm") == "", 0).otherwise(n)).filter(F.col("n") >= LEAST)
 
 
 def _place() -> Column:
@@ -72,7 +81,8 @@ def _near(first: DataFrame, texts: DataFrame) -> DataFrame:
     halves = first.select("place", F.explode("halves").alias("half"))
     shared = halves.groupBy("half").agg(F.count("*").alias("c")).filter("c > 1").select("half")
     going = halves.join(written(shared, "halves"), "half").select("place.*").distinct()
-    lines = written(texts.join(going, ["doc_id", "line_no", "version"]).select(_place(), "w").dropDuplicates(["place"]), "lines")
+    met = texts.join(going, ["doc_id", "line_no", "version"]).dropDuplicates(["doc_id", "line_no", "version"])
+    lines = written(_normal(met).select(_place(), F.split("norm", " ").alias("w")), "lines")
 
     def h(family: int, word: Column, at: Column) -> Column:
         return F.shiftright(F.xxhash64(F.lit(family), word, at), DROP)
@@ -131,9 +141,8 @@ def repeated_lines(docs: DataFrame) -> DataFrame:
     """doc_id, version, line_no of every line that goes; version tells apart texts of one doc_id (xxhash64 of the text)."""
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
     texts = _lines(docs)
-    n = F.size("w")
-    norm = F.array_join("w", " ")
-    slim = texts.select("doc_id", "version", "line_no", F.xxhash64(norm).alias("k1"), F.xxhash64(F.lit(5), norm).alias("k2"), _halves(F.col("w"), n).alias("halves"))
+    norm = F.col("norm")
+    slim = _normal(texts).select("doc_id", "version", "line_no", F.xxhash64(norm).alias("k1"), F.xxhash64(F.lit(5), norm).alias("k2"), _halves(norm, F.col("n")).alias("halves"))
     every = written(slim, "line-keys")
     first = every.groupBy("k1", "k2").agg(F.min(_place()).alias("place"), F.count("*").alias("c"), F.first("halves").alias("halves"))
     first = written(first, "first-lines")
@@ -145,47 +154,44 @@ def repeated_lines(docs: DataFrame) -> DataFrame:
 
 
 def _cleaned(docs: DataFrame) -> tuple[DataFrame, str]:
-    """docs, with an array column of the numbers of lines that go (null: none)."""
-    (gone,) = fresh(docs, "gone")
+    """docs with the text that stays, and an array column of the numbers of lines that went (null: none), whose name is given."""
+    gone, lines, i, v = fresh(docs, "gone", "lines", "key_id", "key_version")
     drop = repeated_lines(docs).groupBy("doc_id", "version").agg(F.array_sort(F.collect_list("line_no")).alias(gone))
-    drop = written(drop, "gone")
-    i, v = fresh(docs, "key_id", "key_version")
-    drop = drop.withColumnsRenamed({"doc_id": i, "version": v})
+    drop = written(drop, "gone").withColumnsRenamed({"doc_id": i, "version": v})
     met = (docs["doc_id"].cast("bigint") == drop[i]) & (F.xxhash64(docs["text"]) == drop[v])
-    return docs.join(drop, met, "left").drop(i, v), gone
-
-
-def _kept(text: Column, gone: Column) -> Column:
-    lines = F.split(text, "\n")
-    stay = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), gone)
-    return F.when(gone.isNull(), text).otherwise(F.array_join(F.transform(stay, lambda k: F.get(lines, k)), "\n"))
+    # The lines as a column of their own: inside the lambda they would be split again for each line.
+    cut = docs.join(drop, met, "left").drop(i, v).withColumn(lines, F.when(F.col(gone).isNotNull(), F.split("text", "\n")))
+    stay = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col(gone))
+    text = F.array_join(F.transform(stay, lambda k: F.get(F.col(lines), k)), "\n")
+    cut = cut.withColumn("text", F.when(F.col(gone).isNull(), F.col("text")).otherwise(text))
+    return cut.select(*docs.columns, gone), gone
 
 
 def without_repeats(docs: DataFrame) -> DataFrame:
     """docs with the text of the lines that stay; all other columns as they are."""
-    cleaned, gone = _cleaned(docs)
-    return cleaned.withColumn("text", _kept(F.col("text"), F.col(gone))).select(*docs.columns)
+    cleaned, _ = _cleaned(docs)
+    return cleaned.select(*docs.columns)
 
 
 def without_copies(docs: DataFrame) -> DataFrame:
     """without_repeats(), less the documents that lost all their lines of LEAST words or more to earlier documents."""
     cleaned, gone = _cleaned(docs)
-    text = _kept(F.col("text"), F.col(gone))
-    cleaned = cleaned.withColumn("text", text)
     some = F.exists(F.split("text", "\n"), lambda x: F.size(words(x)) >= LEAST)
-    return cleaned.filter(F.col(gone).isNull() | some).select(*docs.columns)
+    return cleaned.filter(F.when(F.col(gone).isNull(), True).otherwise(some)).select(*docs.columns)
 
 
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """For each document: lines, lines that go, their numbers, and the digest of the text that stays."""
-    cleaned, gone = _cleaned(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    text = _kept(F.coalesce("text", F.lit("")), F.col(gone))
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    n_lines = F.octet_length("text") - F.octet_length(F.replace("text", F.lit("\n"), F.lit(""))) + 1
+    cleaned, gone = _cleaned(docs.withColumn("n_lines", n_lines.cast("bigint")))
+    dropped = F.coalesce(F.size(gone), F.lit(0)).cast("bigint")
     return cleaned.select(
         "doc_id",
-        F.size(F.split(F.coalesce("text", F.lit("")), "\n")).cast("bigint").alias("n_lines"),
-        F.coalesce(F.size(gone), F.lit(0)).cast("bigint").alias("n_dropped"),
+        "n_lines",
+        dropped.alias("n_dropped"),
         F.coalesce(F.array_join(gone, ","), F.lit("")).alias("dropped"),
-        F.md5(text.cast("binary")).alias("text_md5"),
+        F.md5(F.col("text").cast("binary")).alias("text_md5"),
     )
 
 

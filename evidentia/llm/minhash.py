@@ -47,7 +47,9 @@ BASE, RATE, TOP = 1.08, 20.0, 254
 #: A pair whose estimate is this far below the threshold is 5 standard errors away from it.
 MARGIN = 0.25
 #: Classes and shingles of a block in the exact way; shingles in more sets than COMMON are counted by a matrix product.
-SIDE, HELD, COMMON = 2048, 1 << 20, 24
+SIDE, HELD, COMMON = 4096, 1 << 21, 24
+#: Classes whose intersections are counted at a time, and columns of the matrix product.
+STRIP = 512
 #: Rows of small buckets that are handled in one call.
 CALL = 2000
 
@@ -174,14 +176,11 @@ def _sets(filled: np.ndarray, bits: int):
             at = _places(ids, bits)
             likely = ((filled.view(U)[at >> U(6)] >> (at & U(63))) & U(1)).all(0)
             batch = batch.filter(pa.array(likely))
-            flat, ends, total = [], [0], 0
-            for _, _, hashes, runs in _runs(batch):
-                for a, b in pairwise(runs.tolist()):
-                    own = np.unique(hashes[a:b])
-                    flat.append(own)
-                    ends.append(total := total + len(own))
-            flat = np.concatenate(flat).view(np.int64) if flat else np.zeros(0, np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column("class"), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat))], names=["class", "shingles"])
+            own = [np.unique(hashes[a:b]) for _, _, hashes, runs in _runs(batch) for a, b in pairwise(runs.tolist())]
+            sizes = np.array([len(x) for x in own], np.int64)
+            flat = np.concatenate(own).view(np.int64) if own else np.zeros(0, np.int64)
+            ends = np.concatenate([[0], np.cumsum(sizes)])
+            yield pa.RecordBatch.from_arrays([batch.column("class"), pa.array(sizes), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat))], names=["class", "n_own", "shingles"])
 
     return run
 
@@ -233,8 +232,8 @@ def _confirmed(pairs: DataFrame, classes: DataFrame, sets: DataFrame, percent: i
     return known.join(sets.toDF("a", "sa").hint("merge"), "a").join(sets.toDF("b", "sb").hint("merge"), "b").filter(_linked(percent)).select("a", "b")
 
 
-def common_counts(sets: list[np.ndarray]) -> np.ndarray:
-    """Sizes of the intersections of all pairs of sorted sets; only the part above the diagonal counts."""
+def common_counts(sets: list[np.ndarray], wanted: np.ndarray):
+    """(rows, counts) strip by strip: for some of the wanted sets, the sizes of their intersections with all sets."""
     n = len(sets)
     values = np.concatenate(sets)
     rows = np.repeat(np.arange(n), [len(s) for s in sets])
@@ -242,22 +241,33 @@ def common_counts(sets: list[np.ndarray]) -> np.ndarray:
     values, rows = values[order], rows[order]
     begin = np.flatnonzero(np.concatenate([[True], values[1:] != values[:-1]]))
     size = np.diff(np.append(begin, len(values)))
-    out = np.zeros((n, n), np.float32)
-    often = np.flatnonzero(size > COMMON)
-    for k in range(0, len(often), 1024):
-        dense = np.zeros((n, min(1024, len(often) - k)), np.float32)
-        for c, v in enumerate(often[k : k + 1024]):
-            dense[rows[begin[v] : begin[v] + size[v]], c] = 1
-        out += dense @ dense.T
-    rare = np.repeat((size > 1) & (size <= COMMON), size)
-    values, rows = values[rare], rows[rare]
-    for d in range(1, COMMON):  # the d-th next set with the same shingle; rows rise within a shingle
-        at = np.flatnonzero(values[d:] == values[:-d])
+    often = size > COMMON
+    column = np.repeat(np.where(often, np.cumsum(often) - 1, -1), size)
+    width, rare = int(often.sum()), np.repeat((size > 1) & ~often, size)
+    few_values, few_rows = values[rare], rows[rare]
+    pairs = []
+    for d in range(1, COMMON):  # the d-th next set with the same shingle
+        at = np.flatnonzero(few_values[d:] == few_values[:-d])
         if not len(at):
             break
-        pairs, times = np.unique(rows[at] * n + rows[at + d], return_counts=True)
-        out.reshape(-1)[pairs] += times
-    return out
+        pairs.append(few_rows[at] * n + few_rows[at + d])
+    pairs, times = np.unique(np.concatenate(pairs), return_counts=True) if pairs else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+    place = np.full(n, -1)
+    rows, column = rows[column >= 0], column[column >= 0]
+    for k in range(0, len(wanted), STRIP):
+        strip = wanted[k : k + STRIP]
+        place[:] = -1
+        place[strip] = np.arange(len(strip))
+        out = np.zeros((len(strip), n), np.float32)
+        for c in range(0, width, STRIP):
+            here = (column >= c) & (column < c + STRIP)
+            dense = np.zeros((n, min(STRIP, width - c)), np.float32)
+            dense[rows[here], column[here] - c] = 1
+            out += dense[strip] @ dense.T
+        for i, j in ((pairs // n, pairs % n), (pairs % n, pairs // n)):
+            mine = place[i] >= 0
+            out[place[i[mine]], j[mine]] += times[mine]
+        yield strip, out
 
 
 def _block_links(percent: int):
@@ -266,22 +276,25 @@ def _block_links(percent: int):
     def bucket(pdf: pd.DataFrame) -> list[tuple]:
         classes, comp, side = (pdf[c].to_numpy() for c in ("class", "component", "side"))
         size, alone = pdf["n_shingles"].to_numpy().astype(np.float32), pdf["alone"].iloc[0]
-        common = common_counts(list(pdf["shingles"]))
-        i, j = np.nonzero(np.triu(100 * common >= percent * (size[:, None] + size[None] - common), 1))
-        keep = (comp[i] != comp[j]) & (alone | (side[i] != side[j]))
-        parent: dict[int, int] = {}
+        names, at, number = np.unique(comp, return_inverse=True, return_counts=True)
+        # Every pair of two components has a class outside the largest one.
+        outside = np.flatnonzero(at != number.argmax())
+        parent = list(range(len(names)))
 
         def root(x):
-            while (up := parent.get(x, x)) != x:
-                x = up
+            while parent[x] != x:
+                parent[x] = x = parent[parent[x]]
             return x
 
         links = []
-        for a, b in zip(i[keep].tolist(), j[keep].tolist()):
-            x, y = root(comp[a]), root(comp[b])
-            if x != y:
-                parent[max(x, y)] = min(x, y)
-                links.append((classes[a], classes[b]))
+        for strip, common in common_counts(list(pdf["shingles"]), outside):
+            i, j = np.nonzero(100 * common >= percent * (size[strip][:, None] + size[None] - common))
+            keep = (at[strip[i]] != at[j]) & (alone | (side[strip[i]] != side[j]))
+            for a, b in zip(strip[i[keep]].tolist(), j[keep].tolist()):
+                x, y = root(at[a]), root(at[b])
+                if x != y:
+                    parent[x] = y
+                    links.append((classes[a], classes[b]))
         return links
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -304,10 +317,12 @@ def near_duplicates(docs: DataFrame, *, percent: int = PERCENT) -> DataFrame:
     buckets = members.groupBy("bucket").agg(F.count("*").alias("size"), F.sum("n_shingles").alias("held"), F.min("class").alias("pivot")).filter("size > 1")
     members = written(members.join(written(buckets, "buckets"), "bucket"), "members")
     pairs = members.filter("class <> pivot").select(F.col("class").alias("a"), F.col("pivot").alias("b")).distinct()
-    wanted = members.select("class").distinct()
-    sets = docs.withColumnRenamed("doc_id", "class").mapInArrow(_sets(*_likely(wanted)), "class bigint, shingles array<bigint>").join(wanted, "class", "left_semi")
-    # An id with several texts isn't one set: the classes' digest tells which text is meant.
-    sets = written(sets.withColumn("n", F.size("shingles")).join(classes.select("class", "n_shingles"), "class").filter("n = n_shingles").select("class", "shingles").dropDuplicates(["class"]), "sets")
+    wanted = written(members.select(F.col("class").alias("wanted"), F.col("n_shingles").alias("n")).distinct(), "wanted")
+    sets = docs.withColumnRenamed("doc_id", "class").mapInArrow(_sets(*_likely(wanted.select("wanted"))), "class bigint, n_own bigint, shingles array<bigint>")
+    # An id with several texts isn't one set: the class's size tells which text is meant. Grouped as it was joined, without another shuffle.
+    sets = sets.join(wanted.hint("merge"), (F.col("class") == F.col("wanted")) & (F.col("n_own") == F.col("n")))
+    sets = sets.groupBy("wanted", "n").agg(F.first("shingles").alias("shingles"))
+    sets = written(sets.select(F.col("wanted").alias("class"), "shingles"), "sets")
     links = written(_confirmed(pairs, classes, sets, percent), "links")
     found = written(components(links), "components")
 

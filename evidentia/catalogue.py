@@ -1,4 +1,6 @@
 """Every query of the library by name, and the SQL that gives the same rows."""
 
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
+from .plans import findings, shortlists
+
+QUERIES = {**shortlists.QUERIES, **findings.QUERIES}
+ORACLES = {**shortlists.ORACLES, **findings.ORACLES}

@@ -54,7 +54,7 @@ def score_mutations(labels: DataFrame, found: DataFrame, baseline: DataFrame, wi
     A result for each label: detected, detected_raw, matched_title, matched_line, matched_control_ok, n_findings. Files are the same if their base names are.
     """
     claims = control_classes("vulnerability_type", "cwe", "title", "description", "data_flow_summary")
-    f = found.withColumn("name", basename(F.col("file"))).withColumn("claims", claims)
+    f = found.join(labels.select("run_id", "app").distinct(), "run_id").withColumn("name", basename(F.col("file"))).withColumn("claims", claims)
     f = with_novelty(f, baseline.select("app", basename(F.col("file")).alias("name"), "start_line"), ["app", "name", "start_line"])
     ground = labels.withColumn("name", basename(F.col("file"))).withColumnsRenamed({"start_line": "label_start", "end_line": "label_end"})
     ground = ground.select("run_id", "name", "label_start", "label_end", "control_class")
@@ -68,8 +68,9 @@ def score_mutations(labels: DataFrame, found: DataFrame, baseline: DataFrame, wi
     return out.withColumns({**flags, "n_findings": F.coalesce("n_findings", F.lit(0)), "matched_title": F.coalesce("matched_title", F.lit("")), "matched_line": F.coalesce("matched_line", F.lit(0))})
 
 
-def precision_recall_f1(tp: Column, fp: Column, fn: Column, digits: int = 3) -> dict[str, Column]:
-    p, r = rate(tp, tp + fp, 15), rate(tp, tp + fn, 15)
+def precision_recall_f1(tp: Column, fp: Column, fn: Column, digits: int = 3, of_rounded: bool = False) -> dict[str, Column]:
+    """of_rounded: F1 from the rounded rates, as pooled figures have it."""
+    p, r = (rate(tp, tp + other, digits if of_rounded else 15) for other in (fp, fn))
     return {"precision": F.round(p, digits), "recall": F.round(r, digits), "f1": F.round(F.coalesce(F.try_divide(2 * p * r, p + r), F.lit(0.0)), digits)}
 
 
@@ -103,7 +104,7 @@ def pooled(apps: DataFrame, *means: str) -> DataFrame:
         F.count("*").alias("apps"), *[F.sum(c).alias(c) for c in ("n_mutations", "baseline_fp", "tp", "fp", "fn")],
         F.sum(F.round(F.col("recall_raw") * F.col("n_mutations"))).alias("raw"), *[F.round(F.avg(m), 2).alias(m) for m in means],
     )
-    total = total.withColumns({**precision_recall_f1(F.col("tp"), F.col("fp"), F.col("fn")), "recall_raw": rate(F.col("raw"), F.col("n_mutations"))})
+    total = total.withColumns({**precision_recall_f1(F.col("tp"), F.col("fp"), F.col("fn"), of_rounded=True), "recall_raw": rate(F.col("raw"), F.col("n_mutations"))})
     return total.drop("raw")
 
 

@@ -226,6 +226,10 @@ _PRF = f"""tp, fp, fn, {rate_sql("tp", "tp + fp")} AS precision, {rate_sql("tp",
 round(coalesce(2 * coalesce(tp / nullif(tp + fp, 0), 0) * coalesce(tp / nullif(tp + fn, 0), 0) / nullif(coalesce(tp / nullif(tp + fp, 0), 0) + coalesce(tp / nullif(tp + fn, 0), 0), 0), 0), 3) AS f1"""
 
 
+_POOLED = f"""tp, fp, fn, {rate_sql("tp", "tp + fp")} AS precision, {rate_sql("tp", "tp + fn")} AS recall,
+round(coalesce(2 * {rate_sql("tp", "tp + fp")} * {rate_sql("tp", "tp + fn")} / nullif({rate_sql("tp", "tp + fp")} + {rate_sql("tp", "tp + fn")}, 0), 0), 3) AS f1"""
+
+
 @query("prf_overall", f"WITH {_HITS}, T AS (SELECT {_TP} AS tp, {_FP} AS fp, {_FN} AS fn FROM J) SELECT {_PRF} FROM T")
 def prf_overall(spark, d):
     """The line rules as a detector of bad documents."""
@@ -247,7 +251,7 @@ def recall_by_bucket(spark, d):
 WITH {_HITS}, A AS (SELECT source, {_TP} AS tp, {_FP} AS fp, {_FN} AS fn FROM J GROUP BY source),
 B AS (SELECT *, tp + fn AS n_mutations, 0 AS baseline_fp, {rate_sql("tp", "tp + fn")} AS recall_raw, CASE WHEN tp + fp > 0 THEN tp / (tp + fp) END AS ratio FROM A),
 T AS (SELECT count(*) AS apps, sum(n_mutations)::BIGINT AS n_mutations, sum(baseline_fp)::BIGINT AS baseline_fp, sum(tp)::BIGINT AS tp, sum(fp)::BIGINT AS fp, sum(fn)::BIGINT AS fn, sum(round(recall_raw * n_mutations)) AS raw, round(avg(ratio), 2) AS ratio FROM B)
-SELECT apps, n_mutations, baseline_fp, ratio, {rate_sql("raw", "n_mutations")} AS recall_raw, {_PRF} FROM T""")
+SELECT apps, n_mutations, baseline_fp, ratio, {rate_sql("raw", "n_mutations")} AS recall_raw, {_POOLED} FROM T""")
 def pooled_micro_avg(spark, d):
     """A10: rates over summed counts, and a mean of ratios that leaves out missing ones."""
     per = _counts(_hits(spark, d).groupBy("source"))

@@ -327,9 +327,11 @@ def near_duplicates(docs: DataFrame, *, percent: int = PERCENT) -> DataFrame:
     found = written(components(links), "components")
 
     def placed(found: DataFrame) -> DataFrame:
-        """Members of buckets that have classes of several components, with these."""
+        """Members of buckets that have classes of several components, with these. Of buckets with the same classes one is enough."""
         own = members.filter("size > 2").join(found.withColumnRenamed("node", "class"), "class", "left").withColumn("component", F.coalesce("component", "class"))
-        apart = own.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi").select("bucket")
+        same = [F.bit_xor(F.xxhash64("class")).alias("x1"), F.bit_xor(F.xxhash64(F.lit(3), "class")).alias("x2")]
+        apart = own.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("n"), *same).filter("lo < hi")
+        apart = apart.groupBy("n", "x1", "x2").agg(F.min("bucket").alias("bucket")).select("bucket")
         return own.join(written(apart, "apart"), "bucket")
 
     open_members = written(placed(found), "open")

@@ -102,7 +102,10 @@ def _near(first: DataFrame, texts: DataFrame) -> DataFrame:
         return F.aggregate(F.transform("w", lambda x, i: h(k, x, i)), F.lit(0).cast("bigint"), lambda a, x: a + x)
 
     whole = lines.select("place", F.lit(-1).alias("i"), F.xxhash64(total(1), total(2), F.size("w")).alias("key"))
-    keys = written(variants.union(whole), "variants")
+    every = written(variants.union(whole), "variants")
+    # Keys alone first: nearly all variants have a key of their own and go no further.
+    several = every.groupBy("key").agg(F.count("*").alias("c")).filter("c > 1").select("key")
+    keys = written(every.join(written(several, "several"), "key"), "shared-variants")
 
     # Same word left out: one group for (key, place of the gap).
     replaced = keys.filter("i >= 0").groupBy("key", "i").agg(F.min("place").alias("earliest"), F.count("*").alias("c")).filter("c > 1").drop("c")

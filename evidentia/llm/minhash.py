@@ -42,8 +42,9 @@ from .components import components
 WORDS, PERCENT = 5, 85
 #: M registers in bands of WIDTH.
 M, BANDS, WIDTH = 64, 16, 4
-#: Base, rate and largest value of registers: sets of 1 to 10^6 elements stay inside.
-BASE, RATE, TOP = 1.08, 20.0, 254
+#: Base, rate and largest value of registers: sets of 1 to 10^6 elements stay inside. Registers of unrelated sets agree with a probability of
+#: about log(BASE) / 2, so four of them do in 1 of 10^13 pairs; a coarse base would fill the buckets with chance pairs as the corpus grows.
+BASE, RATE, TOP = 1.001, 20.0, 65_533
 #: A pair whose estimate is this far below the threshold is 5 standard errors away from it.
 MARGIN = 0.25
 #: Classes and shingles of a block in the exact way; shingles in more sets than COMMON are counted by a matrix product.
@@ -82,14 +83,14 @@ def shingles(data: np.ndarray, offsets: np.ndarray, words: int = WORDS) -> tuple
 
 
 def registers(hashes: np.ndarray, starts: np.ndarray) -> np.ndarray:
-    """Registers (uint8, one row for each run of hashes that begins at starts)."""
+    """Registers (uint16, one row for each run of hashes that begins at starts)."""
     least = np.empty((len(starts), M), U)
     for i in range(M):
         t = hashes ^ FLIP[i]
         t *= FACTOR[i]
         least[:, i] = np.minimum.reduceat(t, starts)
     x = -np.log1p(-(least.astype(np.float64) + 0.5) / 2.0**64 * (1 - 1e-16)) / RATE
-    return np.clip(np.floor(1 - np.log(x) / np.log(BASE)), 0, TOP + 1).astype(np.uint8)
+    return np.clip(np.floor(1 - np.log(x) / np.log(BASE)), 0, TOP + 1).astype(np.uint16)
 
 
 def band_keys(regs: np.ndarray) -> np.ndarray:
@@ -97,9 +98,8 @@ def band_keys(regs: np.ndarray) -> np.ndarray:
     bands = regs.reshape(len(regs), BANDS, WIDTH).astype(U)
     z = np.zeros((len(regs), BANDS), U)
     for k in range(WIDTH):
-        z = z * U(257) + bands[:, :, k]
-    z += np.arange(1, BANDS + 1, dtype=U) << U(48)
-    return mix(z).view(np.int64)
+        z = z << U(16) | bands[:, :, k]
+    return mix(mix(z) ^ np.arange(1, BANDS + 1, dtype=U)).view(np.int64)
 
 
 def _runs(batch: pa.RecordBatch):
@@ -122,13 +122,13 @@ def _sketch(batches):
                 d = xxhash.xxh3_128_intdigest(own.tobytes())
                 sizes.append(len(own)), low.append((d & ((1 << 64) - 1)) - (1 << 63)), high.append((d >> 64) - (1 << 63))
             some = np.diff(runs) > 0
-            r, k = np.zeros((j - i, M), np.uint8), np.zeros((j - i, BANDS), np.int64)
+            r, k = np.zeros((j - i, M), np.uint16), np.zeros((j - i, BANDS), np.int64)
             if some.any():
                 r[some] = registers(hashes, runs[:-1][some])
                 k[some] = band_keys(r[some])
             regs.append(r), keys.append(k)
         n = len(batch)
-        regs = np.concatenate(regs) if regs else np.zeros((0, M), np.uint8)
+        regs = np.concatenate(regs) if regs else np.zeros((0, M), np.uint16)
         keys = np.concatenate(keys) if keys else np.zeros((0, BANDS), np.int64)
         yield pa.RecordBatch.from_arrays(
             [
@@ -136,7 +136,7 @@ def _sketch(batches):
                 pa.array(sizes, pa.int64()),
                 pa.array(low, pa.int64()),
                 pa.array(high, pa.int64()),
-                pa.array(map(bytes, regs), pa.binary()),
+                pa.array([r.tobytes() for r in regs], pa.binary()),
                 pa.ListArray.from_arrays(pa.array(np.arange(n + 1) * BANDS, pa.int32()), pa.array(keys.ravel(), pa.int64())),
             ],
             names=["doc_id", "n_shingles", "low", "high", "regs", "bands"],
@@ -209,7 +209,7 @@ def _hopeful(percent: int):
         for batch in batches:
             if not len(batch):
                 continue
-            a, b = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(-1, M) for c in ("ra", "rb"))
+            a, b = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint16).reshape(-1, M) for c in ("ra", "rb"))
             na, nb = (batch.column(c).to_numpy().astype(float) for c in ("na", "nb"))
             keep = estimate(a, b, na, nb) >= percent / 100 - MARGIN
             yield batch.filter(pa.array(keep)).select(["a", "b"])

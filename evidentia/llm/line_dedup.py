@@ -87,7 +87,8 @@ def _near(first: DataFrame, texts: DataFrame) -> DataFrame:
     def h(family: int, word: Column, at: Column) -> Column:
         return F.shiftright(F.xxhash64(F.lit(family), word, at), DROP)
 
-    each = lines.select("place", F.size("w").alias("n"), F.posexplode("w").alias("i", "word"))
+    # Dealt by line before the words are taken apart: the windows over a line then need no shuffle of words.
+    each = lines.repartition("place").select("place", F.size("w").alias("n"), F.posexplode("w").alias("i", "word"))
     by_line = W.partitionBy("place")
     before = by_line.orderBy("i").rowsBetween(W.unboundedPreceding, -1)
     upto = by_line.orderBy("i").rowsBetween(W.unboundedPreceding, W.currentRow)
@@ -150,8 +151,9 @@ def repeated_lines(docs: DataFrame) -> DataFrame:
     first = every.groupBy("k1", "k2").agg(F.min(_place()).alias("place"), F.count("*").alias("c"), F.first("halves").alias("halves"))
     first = written(first, "first-lines")
     near = written(_near(first.select("place", "halves"), texts), "near")
-    known = first.join(near, "place", "left").filter("c > 1 or earlier is not null").select("k1", "k2", "place", F.col("earlier").isNotNull().alias("near"))
-    met = every.join(written(known, "known"), ["k1", "k2"])
+    # Sort-merge joins at every size: only they have their hot lines split.
+    known = first.join(near.hint("merge"), "place", "left").filter("c > 1 or earlier is not null").select("k1", "k2", "place", F.col("earlier").isNotNull().alias("near"))
+    met = every.join(written(known, "known").hint("merge"), ["k1", "k2"])
     here = F.struct("doc_id", "line_no")
     return met.filter(F.col("near") | (here > F.struct("place.doc_id", "place.line_no"))).select("doc_id", "version", "line_no").distinct()
 

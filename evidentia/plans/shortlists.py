@@ -275,3 +275,36 @@ def screen_candidates(spark, d):
     found = shortlist.shortlist(c.line_view(spark, d), c.LINE_RULES, "code").groupBy("source", "lang").agg(F.collect_set("category").alias("found"))
     kept = F.array_sort(F.array_intersect("found", F.array(*map(F.lit, ("Hardcoded Credential", "Licence Notice", "Markup Debris")))))
     return found.filter(F.size(kept) > 1).select("source", "lang", F.array_join(kept, ",").alias("kept"))
+
+
+@query("content_fingerprint", """
+WITH H AS (SELECT source, doc_id::VARCHAR AS f, sha256(text) AS h FROM documents)
+SELECT source, count(*) AS n_files, sha256(string_agg(f || chr(10) || h || chr(10), '' ORDER BY f)) AS fingerprint FROM H GROUP BY source""")
+def content_fingerprint(spark, d):
+    """a hash over the hashes of a source's documents, in order of their names; here in one bucket, as SQL has no crc32."""
+    from ..operators.corpus import fingerprints
+
+    docs = c.table(spark, d, "documents").select("source", F.col("doc_id").cast("string").alias("file"), "text")
+    n = docs.groupBy("source").agg(F.count("*").alias("n_files"))
+    return fingerprints(docs, "source", buckets=1).join(n, "source").select("source", "n_files", "fingerprint")
+
+
+@query("group_minimum", """
+SELECT doc_id, source FROM documents WHERE source IN (SELECT source FROM documents JOIN labels USING (doc_id) WHERE toxic = 1 GROUP BY source HAVING count(*) >= 2)""")
+def group_minimum(spark, d):
+    """Documents of sources that have at least two labels of a kind."""
+    from ..operators.corpus import with_minimum
+
+    docs = c.table(spark, d, "documents").select("doc_id", "source")
+    toxic = docs.join(c.table(spark, d, "labels").filter("toxic = 1").select("doc_id"), "doc_id")
+    return docs.join(with_minimum(toxic, "source", 2).select("source").distinct(), "source", "left_semi").select("doc_id", "source")
+
+
+@query("first_per_group", """
+WITH R AS (SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS k FROM documents) SELECT doc_id, source FROM R WHERE k <= 3""")
+def first_per_group(spark, d):
+    """The first rows of each program."""
+    from ..operators.corpus import first_mutations
+
+    rows = c.table(spark, d, "documents").select("doc_id", F.col("source").alias("app"), F.col("doc_id").alias("position"))
+    return first_mutations(rows, 3).select("doc_id", F.col("app").alias("source"))

@@ -16,8 +16,8 @@ about as often as the sets' Jaccard similarity J.
    their classes at once (a matrix product over the frequent shingles, sorted runs of the others). Only links that join
    components are emitted, so no step emits the pairs of a bucket, and no task needs more than two blocks at a time.
 
-A pair at the threshold shares no band with probability below 1e-5, and the estimate drops it with probability
-below 1e-6; all else is exact.
+A pair at the threshold shares no band with a probability below 1e-6 (below 3e-5 for a threshold of 0.8), and the estimate drops it
+with a probability below 1e-6; all else is exact.
 
 Defined cases: null and empty texts, and texts of white space only, have the empty set: they link with nothing and each is
 its own component. Fewer words than 5: the whole sequence is the one shingle. A null id has a null component and isn't kept;
@@ -41,7 +41,7 @@ from .components import components
 
 WORDS, PERCENT = 5, 85
 #: M registers in bands of WIDTH.
-M, BANDS, WIDTH = 64, 16, 4
+M, BANDS, WIDTH = 80, 20, 4
 #: Base, rate and largest value of registers: sets of 1 to 10^6 elements stay inside. Registers of unrelated sets agree with a probability of
 #: about log(BASE) / 2, so four of them do in 1 of 10^13 pairs; a coarse base would fill the buckets with chance pairs as the corpus grows.
 BASE, RATE, TOP = 1.001, 20.0, 65_533

@@ -55,7 +55,7 @@ def test_line_stage_equals_brute_force(stages):
 
 def test_near_stage_equals_brute_force(stages):
     before, after = stages["near_dedup"]
-    keep = {r[0] for r in brute_near(rows(before)) if r[3]}
+    keep = {r[0] for r in brute_near(rows(before), 80) if r[3]}
     assert rows(after) == [r for r in rows(before) if r[0] in keep]
 
 

@@ -25,9 +25,9 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group that is linked at a similarity of 0.85, with the smallest id; documents without words stay."""
+    """One document of each group that is linked at a similarity of 0.8, with the smallest id; documents without words stay."""
     ship(spark)
-    kept = minhash.near_duplicates(docs).filter(~F.col("kept") & F.col("doc_id").isNotNull()).select("doc_id").distinct()
+    kept = minhash.near_duplicates(docs, percent=80).filter(~F.col("kept") & F.col("doc_id").isNotNull()).select("doc_id").distinct()
     return docs.join(written(kept, "not-kept"), "doc_id", "left_anti").select(*docs.columns)
 
 

@@ -30,7 +30,7 @@ from ._text import U, blocks, column_bytes, prefix_hash, span_hash, word_spans
 
 BITS, DIM, GRAMS = 15, 16, (3, 4)
 #: Labelled rows that training uses at most; epochs and first step of the descent.
-SAMPLE, EPOCHS, STEP = 4000, 8, 1.0
+SAMPLE, EPOCHS, STEP = 3000, 8, 1.0
 #: Bucket of the feature that a word equals the word before it, whatever the word.
 REPEAT = 0
 SHIFT = np.uint32(32 - BITS)

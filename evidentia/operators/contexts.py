@@ -191,6 +191,7 @@ def prompt() -> Column:
     )
 
 
+# The wording of prompts on which results must agree.
 PUBLIC_NOTE = (
     "matches a conventional PUBLIC endpoint (authentication flow, health/status probe, or static asset). A missing access control here is almost always "
     "intentional -- do NOT report it unless the handler demonstrably exposes another user's data or performs a privileged state change."
@@ -219,6 +220,7 @@ def absence_prompt() -> Column:
     )
 
 
+# Fixed value: the wording of the ungrounded prompt.
 RAW_NOTE = (
     "No call graph or guard list has been extracted for you -- read the file to determine what checks are or aren't applied before that operation, "
     "including middleware on the route registration.\nEach line below is prefixed with its file line number followed by `│`; cite those numbers in your findings.\n"

@@ -15,8 +15,8 @@ lines with one (variant, place) are near to one another, so the earliest of them
    constant time: the words before the gap at their places, those after it one place lower.
 4. The earliest line of each key is found by aggregation, and the pair is confirmed word by word.
 
-Hot lines, halves and variants only meet in aggregations that combine before the shuffle; the joins back are against written tables, so
-both sides are plain shuffles whose hot keys Spark splits.
+Hot lines, halves and variants only meet in aggregations that combine before the shuffle; the joins back are sort-merge joins against
+written tables at every size, so both sides are plain shuffles whose hot keys Spark splits.
 
 Defined cases: null text has no lines and stays null. Rows with a null id are left as they are and count as no one's earlier line.
 Rows that repeat an id and a text are treated alike. Words are runs outside white space, compared with case; a kept line stays as it is,
@@ -80,7 +80,7 @@ def _near(first: DataFrame, texts: DataFrame) -> DataFrame:
     """(place, earlier): for distinct lines, the place of an earlier near line. first: place, n, halves of each distinct line's first occurrence."""
     halves = first.select("place", F.explode("halves").alias("half"))
     shared = halves.groupBy("half").agg(F.count("*").alias("c")).filter("c > 1").select("half")
-    going = halves.join(written(shared, "halves"), "half").select("place.*").distinct()
+    going = halves.join(written(shared, "halves").hint("merge"), "half").select("place.*").distinct()
     met = texts.join(going, ["doc_id", "line_no", "version"]).dropDuplicates(["doc_id", "line_no", "version"])
     lines = written(_normal(met).select(_place(), F.split("norm", " ").alias("w")), "lines")
 
@@ -106,16 +106,16 @@ def _near(first: DataFrame, texts: DataFrame) -> DataFrame:
     every = written(variants.union(whole), "variants")
     # Keys alone first: nearly all variants have a key of their own and go no further.
     several = every.groupBy("key").agg(F.count("*").alias("c")).filter("c > 1").select("key")
-    keys = written(every.join(written(several, "several"), "key"), "shared-variants")
+    keys = written(every.join(written(several, "several").hint("merge"), "key"), "shared-variants")
 
     # Same word left out: one group for (key, place of the gap).
     replaced = keys.filter("i >= 0").groupBy("key", "i").agg(F.min("place").alias("earliest"), F.count("*").alias("c")).filter("c > 1").drop("c")
-    a = keys.join(written(replaced, "replaced"), ["key", "i"]).filter("place > earliest").select("place", "earliest")
+    a = keys.join(written(replaced, "replaced").hint("merge"), ["key", "i"]).filter("place > earliest").select("place", "earliest")
     # A whole line among the variants of longer lines.
     longer = F.when(F.col("i") >= 0, F.col("place"))
     shorter = F.when(F.col("i") < 0, F.col("place"))
     added = keys.groupBy("key").agg(F.min(longer).alias("longer"), F.min(shorter).alias("shorter")).filter("longer is not null and shorter is not null")
-    b = keys.join(written(added, "added"), "key").select("place", F.when(F.col("i") < 0, F.col("longer")).otherwise(F.col("shorter")).alias("earliest")).filter("place > earliest")
+    b = keys.join(written(added, "added").hint("merge"), "key").select("place", F.when(F.col("i") < 0, F.col("longer")).otherwise(F.col("shorter")).alias("earliest")).filter("place > earliest")
     pairs = written(a.union(b).distinct(), "pairs")
 
     # Confirmed on the words: the common start and the common end leave one word at most on either side.
@@ -151,7 +151,6 @@ def repeated_lines(docs: DataFrame) -> DataFrame:
     first = every.groupBy("k1", "k2").agg(F.min(_place()).alias("place"), F.count("*").alias("c"), F.first("halves").alias("halves"))
     first = written(first, "first-lines")
     near = written(_near(first.select("place", "halves"), texts), "near")
-    # Sort-merge joins at every size: only they have their hot lines split.
     known = first.join(near.hint("merge"), "place", "left").filter("c > 1 or earlier is not null").select("k1", "k2", "place", F.col("earlier").isNotNull().alias("near"))
     met = every.join(written(known, "known").hint("merge"), ["k1", "k2"])
     here = F.struct("doc_id", "line_no")

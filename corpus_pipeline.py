@@ -19,9 +19,9 @@ def reject_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without the lines that an earlier document or line has, within one word; documents of which nothing is left go."""
+    """Texts without the lines that an earlier document or line has, within one word; documents of which nothing but repeats, short lines included, is left go."""
     ship(spark)
-    return _counted(docs, line_dedup.without_copies(docs))
+    return _counted(docs, line_dedup.without_emptied(docs))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -54,22 +54,22 @@ def _halves(norm: Column, n: Column) -> Column:
     return F.array_distinct(F.array(first(low), first(high), last(low), last(high)))
 
 
-def _lines(docs: DataFrame) -> DataFrame:
-    """doc_id, version (the text's hash), line_no, line for every line that is long enough for LEAST words."""
+def _lines(docs: DataFrame, least: int = LEAST) -> DataFrame:
+    """doc_id, version (the text's hash), line_no, line for every line that is long enough for the least number of words."""
     docs = docs.filter("doc_id is not null and text is not null").select("doc_id", F.xxhash64("text").alias("version"), "text")
     lines = docs.select("doc_id", "version", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
-    return lines.filter(F.octet_length("line") >= 2 * LEAST - 1)
+    return lines.filter(F.octet_length("line") >= 2 * least - 1)
 
 
-def _normal(lines: DataFrame) -> DataFrame:
-    """lines with norm, the words joined by single spaces, and n, their number; those of LEAST words or more."""
+def _normal(lines: DataFrame, least: int = LEAST) -> DataFrame:
+    """lines with norm, the words joined by single spaces, and n, their number; those of the least number of words or more."""
     line = F.col("line")
     # The regular expression only where there is other white space than single spaces.
     odd = F.contains(line, F.lit("  ")) | F.contains(line, F.lit("\t")) | F.contains(line, F.lit("\r")) | F.contains(line, F.lit("\x0b")) | F.contains(line, F.lit("\x0c"))
     norm = F.trim(F.when(odd, F.regexp_replace(line, WS, " ")).otherwise(line))
     lines = lines.withColumn("norm", norm)
     n = F.octet_length("norm") - F.octet_length(F.replace("norm", F.lit(" "), F.lit(""))) + 1
-    return lines.withColumn("n", F.when(F.col("norm") == "", 0).otherwise(n)).filter(F.col("n") >= LEAST)
+    return lines.withColumn("n", F.when(F.col("norm") == "", 0).otherwise(n)).filter(F.col("n") >= least)
 
 
 def _place() -> Column:
@@ -157,10 +157,23 @@ def repeated_lines(docs: DataFrame) -> DataFrame:
     return met.filter(F.col("near") | (here > F.struct("place.doc_id", "place.line_no"))).select("doc_id", "version", "line_no").distinct()
 
 
-def _cleaned(docs: DataFrame) -> tuple[DataFrame, str]:
-    """docs with the text that stays, and an array column of the numbers of lines that went (null: none), whose name is given."""
-    gone, lines, i, v = fresh(docs, "gone", "lines", "key_id", "key_version")
+def _short_firsts(docs: DataFrame) -> DataFrame:
+    """doc_id, version of the texts with a line of 1 to LEAST - 1 words that no earlier line equals; at one place in two texts of an id, one text has it."""
+    lines = _lines(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text"), least=1)
+    norm = F.col("norm")
+    short = _normal(lines, least=1).filter(F.col("n") < LEAST).select("doc_id", "version", "line_no", F.xxhash64(norm).alias("k1"), F.xxhash64(F.lit(5), norm).alias("k2"))
+    return short.groupBy("k1", "k2").agg(F.min(_place()).alias("place")).select("place.doc_id", "place.version").distinct()
+
+
+def _cleaned(docs: DataFrame, marks: DataFrame | None = None) -> tuple[DataFrame, str, str]:
+    """docs with the text that stays, and an array column of the numbers of lines that went (null: none), whose name is given.
+
+    With marks (doc_id, version) also a column that is true for those of the texts with such lines; its name comes last.
+    """
+    gone, lines, mark, i, v = fresh(docs, "gone", "lines", "mark", "key_id", "key_version")
     drop = repeated_lines(docs).groupBy("doc_id", "version").agg(F.array_sort(F.collect_list("line_no")).alias(gone))
+    if marks is not None:
+        drop = drop.join(written(marks.withColumn(mark, F.lit(True)), "marks").hint("merge"), ["doc_id", "version"], "left")
     drop = written(drop, "gone").withColumnsRenamed({"doc_id": i, "version": v})
     met = (docs["doc_id"].cast("bigint") == drop[i]) & (F.xxhash64(docs["text"]) == drop[v])
     # The lines as a column of their own: inside the lambda they would be split again for each line.
@@ -168,18 +181,25 @@ def _cleaned(docs: DataFrame) -> tuple[DataFrame, str]:
     stay = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col(gone))
     text = F.array_join(F.transform(stay, lambda k: F.get(F.col(lines), k)), "\n")
     cut = cut.withColumn("text", F.when(F.col(gone).isNull(), F.col("text")).otherwise(text))
-    return cut.select(*docs.columns, gone), gone
+    return cut.select(*docs.columns, gone, *([] if marks is None else [mark])), gone, mark
 
 
 def without_repeats(docs: DataFrame) -> DataFrame:
     """docs with the text of the lines that stay; all other columns as they are."""
-    cleaned, _ = _cleaned(docs)
+    cleaned, _, _ = _cleaned(docs)
     return cleaned.select(*docs.columns)
 
 
+def without_emptied(docs: DataFrame) -> DataFrame:
+    """without_repeats(), less the documents that lost lines and keep none, of any length, but blank ones and repeats of earlier lines."""
+    cleaned, gone, mark = _cleaned(docs, _short_firsts(docs))
+    some = F.exists(F.split("text", "\n"), lambda x: F.size(words(x)) >= LEAST)
+    return cleaned.filter(F.when(F.col(gone).isNull() | F.col(mark), True).otherwise(some)).select(*docs.columns)
+
+
 def without_copies(docs: DataFrame) -> DataFrame:
-    """without_repeats(), less the documents that lost all their lines of LEAST words or more to earlier documents."""
-    cleaned, gone = _cleaned(docs)
+    """without_repeats(), less the documents that lost all their lines of LEAST words or more to earlier documents, whatever shorter lines they have."""
+    cleaned, gone, _ = _cleaned(docs)
     some = F.exists(F.split("text", "\n"), lambda x: F.size(words(x)) >= LEAST)
     return cleaned.filter(F.when(F.col(gone).isNull(), True).otherwise(some)).select(*docs.columns)
 
@@ -188,7 +208,7 @@ def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """For each document: lines, lines that go, their numbers, and the digest of the text that stays."""
     docs = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     n_lines = F.octet_length("text") - F.octet_length(F.replace("text", F.lit("\n"), F.lit(""))) + 1
-    cleaned, gone = _cleaned(docs.withColumn("n_lines", n_lines.cast("bigint")))
+    cleaned, gone, _ = _cleaned(docs.withColumn("n_lines", n_lines.cast("bigint")))
     dropped = F.coalesce(F.size(gone), F.lit(0)).cast("bigint")
     return cleaned.select(
         "doc_id",

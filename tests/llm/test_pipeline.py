@@ -53,6 +53,14 @@ def test_line_stage_equals_brute_force(stages):
     assert rows(after) == want and after.filter(F.length("text") != F.col("n_chars")).count() == 0
 
 
+def test_line_stage_keeps_short_lines_of_their_own(spark):
+    licence = "this licence line is in every document"
+    texts = [licence + "\nAll rights reserved.", "roses are red\n" + licence + "\nviolets are blue", licence + "\nAll  rights reserved.\n", licence + "\n \n", "All rights reserved.", "roses are  red\n" + licence + "\nsugar is sweet"]
+    docs = spark.createDataFrame([*enumerate(texts), (None, licence), (9, None)], "doc_id bigint, text string").repartition(3)
+    got = dict(rows(corpus_pipeline.drop_repeated_lines(spark, docs, "")))
+    assert got == {0: texts[0], 1: "roses are red\nviolets are blue", 4: texts[4], 5: "roses are  red\nsugar is sweet", None: licence, 9: None}
+
+
 def test_near_stage_equals_brute_force(stages):
     before, after = stages["near_dedup"]
     keep = {r[0] for r in brute_near(rows(before), 80) if r[3]}

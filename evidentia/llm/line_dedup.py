@@ -1,7 +1,8 @@
 """Line deduplication with an edit bound, by a deletion-neighbourhood join, in DataFrame operations only.
 
 The edit unit is the word and the bound is one: two lines are near if one word replaced, added or removed makes them
-equal. Lines of fewer than LEAST words are left alone, so near lines have a similarity of 0.8 or more. A line goes if an
+equal. Lines of fewer than LEAST words are near to none, so near lines have a similarity of 0.8 or more; they are left alone, as in
+the query's SQL, unless the caller asks for their equal repeats to go as well (short). A line goes if an
 earlier line (by doc_id, then place in the document) is equal or near; of a set of equal lines the earliest stays.
 
 Every line has n deletion variants, each a line without one word. Two lines of equal length are near exactly if they share a
@@ -141,16 +142,21 @@ def within_one(x: Column, y: Column) -> Column:
     return ends.when(ys == xs + 1, after(x, at, xs) == after(y, at + 1, ys)).otherwise(F.lit(False))
 
 
-def repeated_lines(docs: DataFrame) -> DataFrame:
-    """doc_id, version, line_no of every line that goes; version tells apart texts of one doc_id (xxhash64 of the text)."""
+def repeated_lines(docs: DataFrame, short: bool = False) -> DataFrame:
+    """doc_id, version, line_no of every line that goes; version tells apart texts of one doc_id (xxhash64 of the text).
+
+    short: lines of 1 to LEAST - 1 words go too if an earlier line is equal; one edit counts from LEAST words on all the same.
+    """
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
-    texts = _lines(docs)
-    norm = F.col("norm")
-    slim = _normal(texts).select("doc_id", "version", "line_no", F.xxhash64(norm).alias("k1"), F.xxhash64(F.lit(5), norm).alias("k2"), _halves(norm, F.col("n")).alias("halves"))
+    least, norm = 1 if short else LEAST, F.col("norm")
+    halves = _halves(norm, F.col("n"))
+    if short:
+        halves = F.when(F.col("n") >= LEAST, halves)
+    slim = _normal(_lines(docs, least), least).select("doc_id", "version", "line_no", F.xxhash64(norm).alias("k1"), F.xxhash64(F.lit(5), norm).alias("k2"), halves.alias("halves"))
     every = written(slim, "line-keys")
     first = every.groupBy("k1", "k2").agg(F.min(_place()).alias("place"), F.count("*").alias("c"), F.first("halves").alias("halves"))
     first = written(first, "first-lines")
-    near = written(_near(first.select("place", "halves"), texts), "near")
+    near = written(_near(first.select("place", "halves"), _lines(docs)), "near")
     known = first.join(near.hint("merge"), "place", "left").filter("c > 1 or earlier is not null").select("k1", "k2", "place", F.col("earlier").isNotNull().alias("near"))
     met = every.join(written(known, "known").hint("merge"), ["k1", "k2"])
     here = F.struct("doc_id", "line_no")
@@ -165,13 +171,13 @@ def _short_firsts(docs: DataFrame) -> DataFrame:
     return short.groupBy("k1", "k2").agg(F.min(_place()).alias("place")).select("place.doc_id", "place.version").distinct()
 
 
-def _cleaned(docs: DataFrame, marks: DataFrame | None = None) -> tuple[DataFrame, str, str]:
+def _cleaned(docs: DataFrame, marks: DataFrame | None = None, short: bool = False) -> tuple[DataFrame, str, str]:
     """docs with the text that stays, and an array column of the numbers of lines that went (null: none), whose name is given.
 
     With marks (doc_id, version) also a column that is true for those of the texts with such lines; its name comes last.
     """
     gone, lines, mark, i, v = fresh(docs, "gone", "lines", "mark", "key_id", "key_version")
-    drop = repeated_lines(docs).groupBy("doc_id", "version").agg(F.array_sort(F.collect_list("line_no")).alias(gone))
+    drop = repeated_lines(docs, short).groupBy("doc_id", "version").agg(F.array_sort(F.collect_list("line_no")).alias(gone))
     if marks is not None:
         drop = drop.join(written(marks.withColumn(mark, F.lit(True)), "marks").hint("merge"), ["doc_id", "version"], "left")
     drop = written(drop, "gone").withColumnsRenamed({"doc_id": i, "version": v})
@@ -184,9 +190,9 @@ def _cleaned(docs: DataFrame, marks: DataFrame | None = None) -> tuple[DataFrame
     return cut.select(*docs.columns, gone, *([] if marks is None else [mark])), gone, mark
 
 
-def without_repeats(docs: DataFrame) -> DataFrame:
-    """docs with the text of the lines that stay; all other columns as they are."""
-    cleaned, _, _ = _cleaned(docs)
+def without_repeats(docs: DataFrame, short: bool = False) -> DataFrame:
+    """docs with the text of the lines that stay; all other columns as they are. short: as in repeated_lines()."""
+    cleaned, _, _ = _cleaned(docs, short=short)
     return cleaned.select(*docs.columns)
 
 

@@ -6,9 +6,10 @@ the spans of it (start:end, in code points, end excluded) that a loss counts: th
 
 A rendered turn is <|role|>, a line end, the text, <|end|> and a line end.
 
-`preferences` takes the pairs. The query makes them from single conversations: the chosen one is the conversation itself, the
-rejected one ends in the last assistant turn of its partner (conv_id with the last bit flipped) in place of its own last
-assistant turn and what follows. Conversations are joined by conv_id only, so a first turn or a text that is very common is no key.
+`preferences` takes the pairs. The query makes them from single conversations: the chosen one is the conversation up to its last
+assistant turn, the rejected one ends in the last assistant turn of its partner (conv_id with the last bit flipped) in its place.
+The turns after the last assistant turn are in neither, as the query's SQL has it; a loss counts none of them. mismatched_pairs()
+leaves them in the chosen conversation if asked for the whole one. Conversations are joined by conv_id only, so a first turn or a text that is very common is no key.
 A conversation is the unit of work, as a document is elsewhere: its turns meet in one row.
 
 Defined cases: turns are ordered by turn, role and text; null role and text count as empty, a null turn sorts first. Without a
@@ -86,15 +87,15 @@ def _before(a: Column, b: Column) -> Column:
     return F.when(x != y, x < y).otherwise(later)
 
 
-def mismatched_pairs(convs: DataFrame) -> DataFrame:
-    """conv_id, chosen and rejected: each conversation against itself with its partner's last answer."""
+def mismatched_pairs(convs: DataFrame, whole: bool = False) -> DataFrame:
+    """conv_id, chosen and rejected: each conversation against itself with its partner's last answer. whole: chosen has the turns after the last answer too."""
     roles = F.transform("turns", lambda t: t["role"])
     # 1-based place of the last assistant turn, 0 if there is none.
     back = F.array_position(F.reverse(roles), ANSWERS).cast("int")
     known = convs.withColumn("last", F.when(back == 0, 0).otherwise(F.size("turns") - back + 1))
     answers = known.filter("last > 0").select(F.col("conv_id").bitwiseXOR(F.lit(1)).alias("conv_id"), F.element_at("turns", F.col("last")).alias("other"))
     both = known.join(answers, "conv_id", "left")
-    chosen = F.when(F.col("last") == 0, F.col("turns")).otherwise(F.slice("turns", F.lit(1), F.col("last")))
+    chosen = F.col("turns") if whole else F.when(F.col("last") == 0, F.col("turns")).otherwise(F.slice("turns", F.lit(1), F.col("last")))
     before = F.slice("turns", F.lit(1), F.greatest(F.col("last") - 1, F.lit(0)))
     rejected = F.when(F.col("last") == 0, F.col("turns")).when(F.col("other").isNull(), before).otherwise(F.concat(before, F.array("other")))
     return both.select("conv_id", chosen.alias("chosen"), rejected.alias("rejected"))

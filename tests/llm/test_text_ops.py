@@ -367,3 +367,13 @@ def test_conversation_edges(spark):
     assert got[0].prompt == "<|system|>\n<|end|>\n<|user|>\nq<|end|>\n" and (got[0].chosen, got[0].rejected) == ("<|assistant|>\nyes<|end|>\n", "<|assistant|>\nno<|end|>\n")
     assert got[1].n_common == 2 and got[2].n_common == 1 and got[2].chosen == got[2].rejected == "" and len(got) == 4
     assert chat.conversations(df.limit(0)).count() == 0
+
+
+def test_whole_conversation_is_chosen(spark):
+    rows = [(0, 0, "user", "q"), (0, 1, "assistant", "yes"), (0, 2, "user", "why"), (0, 3, "system", "end"), (1, 0, "user", "q"), (1, 1, "assistant", "no"), (2, 0, "user", "x"), (2, 1, "user", "y")]
+    convs = chat.conversations(spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string"))
+    pairs = {r.conv_id: r for r in chat.mismatched_pairs(convs, whole=True).collect()}
+    assert {i: [tuple(t) for t in r.chosen] for i, r in pairs.items()} == {i: [r[2:] for r in rows if r[0] == i] for i in (0, 1, 2)}
+    got = {r.conv_id: r for r in chat.preferences(chat.mismatched_pairs(convs, whole=True)).collect()}
+    assert got[0].chosen == "<|assistant|>\nyes<|end|>\n<|user|>\nwhy<|end|>\n<|system|>\nend<|end|>\n" and got[0].chosen_spans == "14:24"
+    assert got[0].rejected == "<|assistant|>\nno<|end|>\n" and got[2].prompt == "<|user|>\nx<|end|>\n<|user|>\ny<|end|>\n"

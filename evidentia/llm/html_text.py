@@ -20,6 +20,7 @@ import re
 from collections import Counter
 from collections.abc import Iterable
 from html import unescape
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -43,6 +44,9 @@ MARK = re.compile(
     r"|related|recommended|replies|respond|search|share|sharing|sidebar|signup|skip|social|sponsor|sponsored|subscribe|taboola|toolbar|widget)(?:$|[\s_-])",
     re.I,
 )
+#: Class names that say what a layout has, lacks or shows: no-sidebar, has-header, ad-free, menu-open. They name no such element.
+STATE = re.compile(r"(?:no|not|has|with|without|hide|show)[_-].*|.*[_-](?:free|less|open|closed|collapsed|enabled|disabled)", re.I)
+COMMENT = re.compile(r"(?:^|[\s_-])(?:comment|comments|disqus|replies|respond)(?:$|[\s_-])", re.I)
 NEVER = frozenset("html body main".split())
 HOLDS = frozenset(("article", "main", "h1"))
 
@@ -62,6 +66,11 @@ LABELLED = (
 )
 
 
+def names_other(value: str) -> bool:
+    """Whether an attribute's value names a menu, an advert and so on; names of a state don't count."""
+    return bool(MARK.search(value)) and any(MARK.search(name) and not STATE.fullmatch(name) for name in value.split())
+
+
 class Page:
     """Tokens of a page: (kind, value) with kind "text" or "tag" or "mark", and the article and main elements as token ranges."""
 
@@ -131,7 +140,7 @@ class Page:
             if name == "li" and stack and stack[-1][0] == "li":
                 close(len(stack) - 1, len(parts))
             attrs = m[3]
-            by_class = name not in NEVER and any(MARK.search(a[1] or a[2] or a[3]) for a in ATTRIBUTE.findall(attrs)) if "=" in attrs else False
+            by_class = name not in NEVER and any(names_other(a[1] or a[2] or a[3]) for a in ATTRIBUTE.findall(attrs)) if "=" in attrs else False
             first, main = len(parts), "data-main" in attrs or bool(stack) and stack[-1][3]
             parts.append(("tag", name, main))
             if name in HOLDS and not by_class:
@@ -146,10 +155,18 @@ class Page:
                     marked[first] = len(parts)
                 continue
             stack.append((name, first, name in OTHER or by_class, main))
-            opened.append((first, name, name in OTHER, by_class))
+            comment = by_class and any(COMMENT.search(a[1] or a[2] or a[3]) for a in ATTRIBUTE.findall(attrs))
+            opened.append((first, name, name in OTHER, comment))
         close(0, len(parts))
         # A class on an element around the article, or an element left open before it, marks nothing.
-        for first, name, other, _ in opened:
+        words = None
+        for first, name, other, comment in opened:
+            if first in marked and (not holds or name == "article") and not other and not comment:
+                # An article, or on a page without article, main and h1 anything, that has most words of the page is no menu, whatever its class.
+                if words is None:
+                    words = [0, *accumulate(len(p[1].split()) if p[0] == "text" else 0 for p in parts)]
+                if 2 * (words[marked[first]] - words[first]) > words[-1]:
+                    del marked[first]
             if first in marked and (inside := [h for h in holds if first < h < marked[first]]):
                 if not other:
                     del marked[first]

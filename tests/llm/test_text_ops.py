@@ -327,6 +327,21 @@ def test_index_with_collisions(tmp_path):
     assert url_filter.Index(str(tmp_path / "none")).find([b"a"]).tolist() == [-1]
 
 
+def test_state_classes_mark_nothing():
+    weights = html_text.Weights(html_text.LABELLED)
+    body = "<h2>Bread</h2><p>Flour, water, salt and time are all that bread needs.</p><p>Good bread is slow bread, as my teacher used to say.</p>"
+    text = "Bread Flour, water, salt and time are all that bread needs. Good bread is slow bread, as my teacher used to say."
+    menu = "<div class='menu'><a href='/'>Home</a> <a href='/n'>News</a></div>"
+    for cls in ("layout no-sidebar", "has-header", "ad-free", "menu-open", "page with_footer", "content banner"):
+        assert html_text.extract(f"<body>{menu}<div class='{cls}'>{body}</div></body>", weights) == text, cls
+    for head in ("", "<header><h1>The Daily</h1></header>"):
+        assert html_text.extract(f"<body>{head}<article class='post notice'>{body}</article>{menu}</body>", weights) == text
+    # Named as such, these stay marked.
+    for cls in ("main-nav", "site-footer", "ad", "menu menu-open", "no-sidebar sidebar"):
+        assert html_text.extract(f"<body><article>{body}</article><div class='{cls}'><p>Buy two and pay for one, today only</p></div></body>", weights) == text, cls
+    assert html_text.extract(f"<body><p>One line of text.</p><section class='comments'>{body}</section></body>", weights) == "One line of text."
+
+
 # --- chat -----------------------------------------------------------------------------------------------------------------------------------------------------------------------
 
 

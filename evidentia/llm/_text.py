@@ -1,7 +1,9 @@
 """Vectorised work on the bytes of many texts at once.
 
-Texts come as Arrow columns. A column's bytes stay in one buffer and are handled in blocks of about BLOCK bytes
-(a longer text is a block of its own), so the memory of a Python worker doesn't depend on the batch.
+Texts come as Arrow columns. A column's bytes stay in one buffer and are handled in blocks of about BLOCK bytes, so the memory of a
+Python worker doesn't depend on the batch. A longer text is a block of its own, which is read in pieces of about BLOCK bytes that end
+behind white space: what stays in memory of it is one number for each word. The tables of powers have BLOCK entries whatever the texts;
+a word longer than that takes a factor from one block of its bytes to the next.
 """
 
 from __future__ import annotations
@@ -12,7 +14,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-BLOCK = 1 << 20
+BLOCK = 1 << 18
 U = np.uint64
 #: Base of the polynomial hash, and its inverse modulo 2^64.
 BASE = 0x9E3779B97F4A7C15
@@ -26,15 +28,30 @@ LOWER[ord("A") : ord("Z") + 1] += 32
 _powers: dict[int, np.ndarray] = {}
 
 
-def powers(base: int, n: int) -> np.ndarray:
-    """base^0 .. base^(n-1) modulo 2^64; grown when needed."""
-    have = _powers.get(base)
-    if have is None or len(have) < n:
-        size = max(n, BLOCK + 1)
-        seed = np.full(size, base, U)
+def powers(base: int) -> np.ndarray:
+    """base^0 .. base^(BLOCK - 1) modulo 2^64."""
+    if base not in _powers:
+        seed = np.full(BLOCK, base, U)
         seed[0] = 1
-        have = _powers[base] = np.multiply.accumulate(seed)
-    return have[:n]
+        _powers[base] = np.multiply.accumulate(seed)
+    return _powers[base]
+
+
+def _times_powers(values: np.ndarray, places: np.ndarray | None, base: int) -> None:
+    """values *= base^places (None: 0, 1, ...), in place; beyond the table by a factor for each block of places."""
+    table = powers(base)
+    if places is None:
+        for k in range(0, len(values), BLOCK):
+            part = values[k : k + BLOCK]
+            part *= table[: len(part)]
+            if k:
+                part *= U(pow(base, k, 1 << 64))
+    elif not len(places) or places[-1] < BLOCK:
+        values *= table[places]
+    else:
+        factors = np.array([pow(base, k, 1 << 64) for k in range(0, int(places[-1]) + 1, BLOCK)], U)
+        values *= table[places % BLOCK]
+        values *= factors[places // BLOCK]
 
 
 def mix(z: np.ndarray) -> np.ndarray:
@@ -77,19 +94,52 @@ def prefix_hash(data: np.ndarray) -> np.ndarray:
     out[0] = 0
     terms = data.astype(U)
     terms += U(1)
-    terms *= powers(BASE, len(data))
+    _times_powers(terms, None, BASE)
     np.cumsum(terms, out=out[1:])
     return out
 
 
 def span_hash(prefix: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Hashes of spans, whose starts ascend."""
     out = prefix[ends]
     out -= prefix[starts]
-    out *= powers(INVERSE, len(prefix))[starts]
+    _times_powers(out, starts, INVERSE)
     out ^= (ends - starts).astype(U)
     return mix(out)
 
 
+def pieces(data: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Ranges of about BLOCK bytes that end behind white space or with the text; a longer word isn't cut."""
+    a, n = 0, len(data)
+    while a < n:
+        b = min(n, a + BLOCK)
+        if b < n:
+            gaps = np.flatnonzero(IS_WS[data[a:b]])
+            while not len(gaps) and b < n:
+                a_, b = b, min(n, b + BLOCK)
+                gaps = np.flatnonzero(IS_WS[data[a_:b]]) + (a_ - a)
+            b = a + int(gaps[-1]) + 1 if len(gaps) else n
+        yield a, b
+        a = b
+
+
+def word_hashes(data: np.ndarray, offsets: np.ndarray, change: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the words of texts, whose bytes go through the table `change` first, and the place of each text's first word (n + 1 places)."""
+    if len(data) <= BLOCK or len(offsets) > 2:
+        data = data if change is None else change[data]
+        starts, ends, first = word_spans(data, offsets)
+        return span_hash(prefix_hash(data), starts, ends), first
+    parts = [word_hashes(data[a:b], np.array([0, b - a]), change)[0] if b - a <= BLOCK else _long(data[a:b], change) for a, b in pieces(data)]
+    return np.concatenate(parts), np.array([0, sum(map(len, parts))])
+
+
+def _long(data: np.ndarray, change: np.ndarray | None) -> np.ndarray:
+    """Hashes of the words of a piece with a word longer than BLOCK bytes."""
+    data = data if change is None else change[data]
+    starts, ends, _ = word_spans(data, np.array([0, len(data)]))
+    return span_hash(prefix_hash(data), starts, ends)
+
+
 def word_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Starts and ends of the words (runs outside the contracts' white space), and for each text the place of its first word (n + 1 places)."""
     if not len(data):

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ._shared import table, written
-from ._text import blocks, column_bytes, squeezed
+from ._text import BLOCK, blocks, column_bytes, squeezed
 
 #: Cuts fall every 1,024 bytes on average, never within 128 bytes of the last; a chunk has 16 KiB at most.
 CUT_BITS, LEAST, MOST = 10, 128, 1 << 14
@@ -42,11 +42,15 @@ def cuts(data: np.ndarray) -> list[int]:
     n = len(data)
     if not n:
         return []
-    h = GEAR[data]
-    for shift in (1, 2, 4, 8):  # the hash of 16 bytes by doubling
-        h[shift:] += h[:-shift] << np.uint32(shift)
+    marks = []
+    for a in range(0, n, BLOCK):  # a block at a time, each with the 15 bytes before it
+        before = min(a, 15)
+        h = GEAR[data[a - before : a + BLOCK]]
+        for shift in (1, 2, 4, 8):  # the hash of 16 bytes by doubling
+            h[shift:] += h[:-shift] << np.uint32(shift)
+        marks.append(np.flatnonzero((h[before:] & np.uint32((1 << CUT_BITS) - 1)) == 0) + (a + 1))
     ends, last = [], 0
-    for at in (np.flatnonzero((h & np.uint32((1 << CUT_BITS) - 1)) == 0) + 1).tolist():
+    for at in np.concatenate(marks).tolist():
         while at - last > MOST:
             last += MOST
             ends.append(last)

@@ -21,7 +21,11 @@ with a probability below 1e-6; all else is exact.
 
 Defined cases: null and empty texts, and texts of white space only, have the empty set: they link with nothing and each is
 its own component. Fewer words than 5: the whole sequence is the one shingle. A null id has a null component and isn't kept;
-if a whole class has null ids, it takes no part in links. Repeated rows form one class. Other columns are left aside.
+if a whole class has null ids, it takes no part in links. Ids must be whole numbers (others are an error). Repeated rows form one class, and of an
+id with several texts each is in the class of its own set. A text longer than a block is read in pieces. Other columns are left aside.
+
+without_near_duplicates() decides by row: of the rows with one id and one text in a class that stays one row stays, those with a null id stay
+(one for each text) only if no row of their class has an id, and rows without words all stay.
 """
 
 from __future__ import annotations
@@ -35,8 +39,8 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._shared import table, written
-from ._text import LOWER, U, blocks, column_bytes, mix, prefix_hash, span_hash, word_spans
+from ._shared import fresh, table, whole_number_ids, written
+from ._text import BLOCK, LOWER, U, blocks, column_bytes, mix, word_hashes
 from .components import components
 
 WORDS, PERCENT = 5, 85
@@ -62,20 +66,22 @@ PLACE = _draw.integers(0, 1 << 64, 2 * WORDS, U) | U(1)
 
 def shingles(data: np.ndarray, offsets: np.ndarray, words: int = WORDS) -> tuple[np.ndarray, np.ndarray]:
     """64-bit hashes of the shingles of texts (bytes, offsets), with repeats, and the offsets of each text's in them."""
-    data = LOWER[data]
-    starts, ends, first = word_spans(data, offsets)
-    hashes = span_hash(prefix_hash(data), starts, ends)
+    hashes, first = word_hashes(data, offsets, LOWER)
     count = np.diff(first)
     n = np.where(count >= words, count - words + 1, np.minimum(count, 1))
     at = np.zeros(len(n) + 1, np.int64)
     np.cumsum(n, out=at[1:])
     if not at[-1]:
         return np.zeros(0, U), at
-    padded = np.concatenate([hashes, np.zeros(words, U)])
-    place = np.repeat(first[:-1] - at[:-1], n) + np.arange(at[-1])
-    out = np.zeros(len(place), U)
-    for k in range(words):
-        out += padded[place + k] * PLACE[k]
+    out = np.zeros(at[-1], U)
+    if len(n) == 1:  # one text, maybe a very long one: no table of places
+        for k in range(words if count[0] >= words else 0):
+            out += hashes[k : k + len(out)] * PLACE[k]
+    else:
+        padded = np.concatenate([hashes, np.zeros(words, U)])
+        place = np.repeat(first[:-1] - at[:-1], n) + np.arange(at[-1])
+        for k in range(words):
+            out += padded[place + k] * PLACE[k]
     for d in np.flatnonzero((count > 0) & (count < words)):  # the whole sequence as one
         own = hashes[first[d] : first[d + 1]]
         out[at[d]] = (own * PLACE[words : words + len(own)]).sum(dtype=U) + U(len(own))
@@ -83,12 +89,15 @@ def shingles(data: np.ndarray, offsets: np.ndarray, words: int = WORDS) -> tuple
 
 
 def registers(hashes: np.ndarray, starts: np.ndarray) -> np.ndarray:
-    """Registers (uint16, one row for each run of hashes that begins at starts)."""
-    least = np.empty((len(starts), M), U)
-    for i in range(M):
-        t = hashes ^ FLIP[i]
-        t *= FACTOR[i]
-        least[:, i] = np.minimum.reduceat(t, starts)
+    """Registers (uint16, one row for each run of hashes that begins at starts). Minima merge, so one long run goes part by part."""
+    least = np.full((len(starts), M), ~U(0), U)
+    parts = range(0, len(hashes), BLOCK) if len(starts) == 1 else [0]
+    for a in parts:
+        part = hashes[a : a + BLOCK] if len(starts) == 1 else hashes
+        for i in range(M):
+            t = part ^ FLIP[i]
+            t *= FACTOR[i]
+            np.minimum(least[:, i], np.minimum.reduceat(t, starts if len(starts) > 1 else [0]), out=least[:, i])
     x = -np.log1p(-(least.astype(np.float64) + 0.5) / 2.0**64 * (1 - 1e-16)) / RATE
     return np.clip(np.floor(1 - np.log(x) / np.log(BASE)), 0, TOP + 1).astype(np.uint16)
 
@@ -110,6 +119,12 @@ def _runs(batch: pa.RecordBatch):
         yield i, j, hashes, runs
 
 
+def _digest(own: np.ndarray) -> tuple[int, int]:
+    """128 bits of a sorted set, as two signed numbers."""
+    d = xxhash.xxh3_128_intdigest(own.data)
+    return (d & ((1 << 64) - 1)) - (1 << 63), (d >> 64) - (1 << 63)
+
+
 def _sketch(batches):
     for batch in batches:
         sizes, low, high, regs, keys = [], [], [], [], []
@@ -119,8 +134,8 @@ def _sketch(batches):
                     sizes.append(0), low.append(0), high.append(0)
                     continue
                 own = np.unique(hashes[a:b])
-                d = xxhash.xxh3_128_intdigest(own.tobytes())
-                sizes.append(len(own)), low.append((d & ((1 << 64) - 1)) - (1 << 63)), high.append((d >> 64) - (1 << 63))
+                d = _digest(own)
+                sizes.append(len(own)), low.append(d[0]), high.append(d[1])
             some = np.diff(runs) > 0
             r, k = np.zeros((j - i, M), np.uint16), np.zeros((j - i, BANDS), np.int64)
             if some.any():
@@ -133,13 +148,14 @@ def _sketch(batches):
         yield pa.RecordBatch.from_arrays(
             [
                 batch.column("doc_id"),
+                batch.column("version"),
                 pa.array(sizes, pa.int64()),
                 pa.array(low, pa.int64()),
                 pa.array(high, pa.int64()),
                 pa.array([r.tobytes() for r in regs], pa.binary()),
                 pa.ListArray.from_arrays(pa.array(np.arange(n + 1) * BANDS, pa.int32()), pa.array(keys.ravel(), pa.int64())),
             ],
-            names=["doc_id", "n_shingles", "low", "high", "regs", "bands"],
+            names=["doc_id", "version", "n_shingles", "low", "high", "regs", "bands"],
         )
 
 
@@ -172,15 +188,17 @@ def _sets(filled: np.ndarray, bits: int):
 
     def run(batches):
         for batch in batches:
-            ids = batch.column("class").fill_null(0).to_numpy()
+            ids = batch.column("id").fill_null(0).to_numpy()
             at = _places(ids, bits)
             likely = ((filled.view(U)[at >> U(6)] >> (at & U(63))) & U(1)).all(0)
             batch = batch.filter(pa.array(likely))
             own = [np.unique(hashes[a:b]) for _, _, hashes, runs in _runs(batch) for a, b in pairwise(runs.tolist())]
-            sizes = np.array([len(x) for x in own], np.int64)
+            low, high = zip(*map(_digest, own)) if own else ((), ())
             flat = np.concatenate(own).view(np.int64) if own else np.zeros(0, np.int64)
-            ends = np.concatenate([[0], np.cumsum(sizes)])
-            yield pa.RecordBatch.from_arrays([batch.column("class"), pa.array(sizes), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat))], names=["class", "n_own", "shingles"])
+            ends = np.cumsum([0, *map(len, own)])
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("id"), pa.array(low, pa.int64()), pa.array(high, pa.int64()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat))], names=["id", "low", "high", "shingles"]
+            )
 
     return run
 
@@ -307,22 +325,62 @@ def _block_links(percent: int):
 
 def near_duplicates(docs: DataFrame, *, percent: int = PERCENT) -> DataFrame:
     """One row for each row of docs: doc_id, n_shingles, component_id, kept. Links have 100 * common >= percent * union."""
-    docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
-    sketches = written(docs.mapInArrow(_sketch, "doc_id bigint, n_shingles bigint, low bigint, high bigint, regs binary, bands array<bigint>"), "sketches")
+    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
+    out = _components(docs, percent).select("doc_id", "n_shingles", component.alias("component_id"))
+    return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)))
+
+
+def without_near_duplicates(docs: DataFrame, *, percent: int = PERCENT) -> DataFrame:
+    """The rows of docs that stay, with all their columns: of each component one row, that of the smallest id."""
+    i, v, stays = fresh(docs, "key_id", "key_version", "stays")
+    own = F.col("doc_id") == F.col("component")
+    stay = F.when(F.col("n_shingles") == 0, True).when(F.col("component").isNull(), True).otherwise(F.coalesce(own, F.lit(False)))
+    rows = _components(docs, percent).select("doc_id", "version", "group", stay.alias("stay"), (F.col("n_shingles") > 0).alias("some"))
+    rows = rows.groupBy("doc_id", "version", "group").agg(F.bool_and("stay").alias("stay"), (F.bool_or("some") & (F.count("*") > 1)).alias("many"))
+    # Several texts of the least id in one component: the text with the least hash stays.
+    best = rows.filter("stay and group is not null").groupBy("group").agg(F.min("version").alias("best"), F.count("*").alias("c")).filter("c > 1").drop("c")
+    best = written(best, "best")
+    if not best.isEmpty():
+        rows = rows.join(best.hint("merge"), "group", "left").withColumn("stay", F.col("stay") & F.coalesce(F.col("version") == F.col("best"), F.lit(True)))
+    marks = written(rows.filter("not stay or many").select(F.col("doc_id").alias(i), F.col("version").alias(v), F.col("stay").alias(stays)), "marks")
+    met = docs["doc_id"].cast("bigint").eqNullSafe(marks[i]) & (F.xxhash64(docs["text"]) == marks[v])
+    if marks.filter(F.col(stays)).isEmpty():
+        return docs.join(marks, met, "left_anti").select(*docs.columns)
+    marked = docs.join(marks, met, "left")
+    one = marked.filter(F.col(stays)).dropDuplicates([i, v])
+    return marked.filter(F.col(v).isNull()).select(*docs.columns).unionAll(one.select(*docs.columns))
+
+
+def _components(docs: DataFrame, percent: int) -> DataFrame:
+    """doc_id, version (the text's hash), n_shingles, component (its least id) and group (its number) for each row.
+
+    Both are null for the empty set, and if no row of the class has an id.
+    """
+    docs = docs.select(whole_number_ids(docs), F.xxhash64("text").alias("version"), "text")
+    sketches = written(docs.mapInArrow(_sketch, "doc_id bigint, version bigint, n_shingles bigint, low bigint, high bigint, regs binary, bands array<bigint>"), "sketches")
     same = ["n_shingles", "low", "high"]
-    classes = sketches.filter("n_shingles > 0").groupBy(*same).agg(F.min("doc_id").alias("class"), F.first("regs").alias("regs"), F.first("bands").alias("bands"))
-    classes = written(classes.filter(F.col("class").isNotNull()), "classes")
+    classes = sketches.filter("n_shingles > 0").groupBy(*same).agg(F.min("doc_id").alias("id"), F.first("regs").alias("regs"), F.first("bands").alias("bands"))
+    classes = written(classes.filter(F.col("id").isNotNull()), "classes")
+    # The least id names a class. If an id has several texts and names several classes, all but one of these take a number from their digests.
+    several = written(classes.groupBy("id").agg(F.count("*").alias("c"), F.min("low").alias("least")).filter("c > 1").drop("c"), "several")
+    one_text = several.isEmpty()
+    if one_text:
+        classes = classes.withColumn("class", F.col("id"))
+    else:
+        classes = classes.join(several.hint("merge"), "id", "left").withColumn("class", F.when(F.col("low") != F.col("least"), F.col("low")).otherwise(F.col("id")))
+        classes = written(classes.drop("least"), "classes")
 
     members = classes.select("class", "n_shingles", F.explode("bands").alias("bucket"))
     buckets = members.groupBy("bucket").agg(F.count("*").alias("size"), F.sum("n_shingles").alias("held"), F.min("class").alias("pivot")).filter("size > 1")
     members = written(members.join(written(buckets, "buckets"), "bucket"), "members")
     pairs = members.filter("class <> pivot").select(F.col("class").alias("a"), F.col("pivot").alias("b")).distinct()
-    wanted = written(members.select(F.col("class").alias("wanted"), F.col("n_shingles").alias("n")).distinct(), "wanted")
-    sets = docs.withColumnRenamed("doc_id", "class").mapInArrow(_sets(*_likely(wanted.select("wanted"))), "class bigint, n_own bigint, shingles array<bigint>")
-    # An id with several texts isn't one set: the class's size tells which text is meant. Grouped as it was joined, without another shuffle.
-    sets = sets.join(wanted.hint("merge"), (F.col("class") == F.col("wanted")) & (F.col("n_own") == F.col("n")))
-    sets = sets.groupBy("wanted", "n").agg(F.first("shingles").alias("shingles"))
-    sets = written(sets.select(F.col("wanted").alias("class"), "shingles"), "sets")
+    wanted = classes.select("class", "id", "low", "high").join(members.select("class").distinct().hint("merge"), "class")
+    wanted = written(wanted.toDF("class", "w_id", "w_low", "w_high"), "wanted")
+    sets = docs.select(F.col("doc_id").alias("id"), "text").mapInArrow(_sets(*_likely(wanted.select("w_id"))), "id bigint, low bigint, high bigint, shingles array<bigint>")
+    # Grouped as it was joined, without another shuffle.
+    sets = sets.join(wanted.hint("merge"), (F.col("id") == F.col("w_id")) & (F.col("low") == F.col("w_low")) & (F.col("high") == F.col("w_high")))
+    sets = sets.groupBy("w_id", "w_low", "w_high").agg(F.first("class").alias("class"), F.first("shingles").alias("shingles"))
+    sets = written(sets.select("class", "shingles"), "sets")
     links = written(_confirmed(pairs, classes, sets, percent), "links")
     found = written(components(links), "components")
 
@@ -340,10 +398,12 @@ def near_duplicates(docs: DataFrame, *, percent: int = PERCENT) -> DataFrame:
         if not more.isEmpty():
             found = written(components(links.union(more)), "components")
 
-    joined = sketches.join(classes.select(*same, "class"), same, "left").join(found.withColumnRenamed("node", "class"), "class", "left")
-    component = F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.coalesce("component", "class", "doc_id"))
-    component = F.when(F.col("doc_id").isNotNull(), component)
-    return joined.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)))
+    named = classes.select(*same, "id", "class").join(found.withColumnRenamed("node", "class"), "class", "left").withColumn("component", F.coalesce("component", "class"))
+    named = named.withColumn("group", F.col("component"))
+    if not one_text:  # then a component's least number need not be its least id
+        least = written(named.groupBy("group").agg(F.min("id").alias("least")), "least")
+        named = named.join(least.hint("merge"), "group").withColumn("component", F.col("least"))
+    return sketches.join(named.select(*same, "component", "group"), same, "left").select("doc_id", "version", "n_shingles", "component", "group")
 
 
 def _exact_rest(open_members: DataFrame, sets: DataFrame, percent: int, calls: int) -> DataFrame:

@@ -1,6 +1,6 @@
 """Quality classifier on subword embeddings.
 
-Features of a text are its words, its byte n-grams (GRAMS) and its words' immediate repeats, hashed into 2^BITS buckets, each with a learned vector of DIM
+Features of a text are its words, its character n-grams (GRAMS, in code points, white space included) and its words' immediate repeats, hashed into 2^BITS buckets, each with a learned vector of DIM
 numbers. A document is the average of its features' vectors; a softmax layer gives the probability of label 1. Vectors and
 layer are trained together by stochastic gradient descent in numpy on the driver, from a bounded sample of labelled rows
 (SAMPLE rows at most, those with the smallest hashes of their ids). The executors turn the sample's texts into
@@ -12,8 +12,8 @@ and whole texts are scored in one pass without a shuffle, and the model's size i
 Held out are rows with crc32(id as text) mod 3 = 1: they are never trained on. Only the text goes into a score.
 
 Defined cases: null and empty texts have no features; their score is the layer's bias. A null id is never held out and never
-trained on. A label other than 0 and 1 is no label; of an id with several labels the smallest counts. Repeated rows have equal
-scores. Without any label, and for an empty table, every score is 0.5. Other columns are left aside by score(), kept by accepted().
+trained on. A label other than 0 and 1 is no label; of an id with several labels the smallest counts, of one with several texts the text
+with the least features (in order of their bytes). Repeated rows have equal scores. A text longer than a block is read in pieces. Without any label, and for an empty table, every score is 0.5. Other columns are left aside by score(), kept by accepted().
 """
 
 from __future__ import annotations
@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ._shared import fresh, table
-from ._text import U, blocks, column_bytes, prefix_hash, span_hash, word_spans
+from ._text import BLOCK, U, blocks, column_bytes, pieces, word_hashes
 
 BITS, DIM, GRAMS = 15, 16, (3, 4)
 #: Labelled rows that training uses at most; epochs and first step of the descent.
@@ -37,12 +37,27 @@ SHIFT = np.uint32(32 - BITS)
 SPREAD = np.random.default_rng(7).integers(0, 1 << 32, 16, np.uint32) | np.uint32(1)
 
 
-def _grams(data: np.ndarray, n: int) -> np.ndarray:
-    """Bucket of the n bytes from each place on."""
-    h = np.full(len(data) - n + 1, n, np.uint32)
+def _characters(data: np.ndarray) -> tuple[np.ndarray, np.ndarray | None]:
+    """One number for each character of UTF-8 bytes, and for each byte whether it begins one (None: all do)."""
+    if not len(data) or data.max() < 0x80:
+        return data.astype(np.uint32), None
+    begins = (data & 0xC0) != 0x80
+    at = np.flatnonzero(begins)
+    out = data[at].astype(np.uint32)
+    inside = np.append(~begins, [False] * 3)
+    for k in (1, 2, 3):
+        more = np.flatnonzero(inside[at + k])
+        at, place = at[more], more if k == 1 else place[more]
+        out[place] = out[place] << np.uint32(6) | (data[at + k] & 0x3F)
+    return out, begins
+
+
+def _grams(characters: np.ndarray, n: int) -> np.ndarray:
+    """Bucket of the n characters from each place on."""
+    h = np.full(len(characters) - n + 1, n, np.uint32)
     for k in range(n):
         h *= np.uint32(0x01000193)
-        h += data[k : len(data) - n + 1 + k]
+        h += characters[k : len(characters) - n + 1 + k]
     h *= SPREAD[n]
     h ^= h >> np.uint32(15)
     h *= SPREAD[n + 1]
@@ -50,16 +65,33 @@ def _grams(data: np.ndarray, n: int) -> np.ndarray:
 
 
 def features(data: np.ndarray, offsets: np.ndarray):
-    """For each kind of feature: the buckets in order, and where each text's begin and end."""
-    starts, ends, first = word_spans(data, offsets)
-    hashes = span_hash(prefix_hash(data), starts, ends)
+    """For each kind of feature: the buckets in order, and where each text's begin and end. A text longer than BLOCK comes alone and in pieces."""
+    if len(offsets) == 2 and len(data) > BLOCK:
+        before = np.zeros(0, U)
+        for a, b in pieces(data):
+            hashes, _ = word_hashes(data[a:b], np.array([0, b - a]))
+            yield (hashes >> U(64 - BITS)).astype(np.uint32), np.array([0]), np.array([len(hashes)])
+            joined = np.concatenate([before, hashes])
+            again = int((joined[1:] == joined[:-1]).sum())
+            yield np.full(again, REPEAT, np.uint32), np.array([0]), np.array([again])
+            before = joined[-1:]
+            own = len(_characters(data[a:b])[0])
+            characters, _ = _characters(data[a : b + 4 * max(GRAMS)])
+            for n in GRAMS:
+                if len(part := characters[: own + n - 1]) >= n:
+                    buckets = _grams(part, n)
+                    yield buckets, np.array([0]), np.array([len(buckets)])
+        return
+    hashes, first = word_hashes(data, offsets)
     yield (hashes >> U(64 - BITS)).astype(np.uint32), first[:-1], first[1:]
     again = np.flatnonzero(hashes[1:] == hashes[:-1]) + 1 if len(hashes) else np.zeros(0, np.int64)
     yield np.full(len(again), REPEAT, np.uint32), np.searchsorted(again, np.minimum(first[:-1] + 1, first[1:])), np.searchsorted(again, first[1:])
+    characters, begins = _characters(data)
+    at = offsets if begins is None else np.concatenate([[0], np.cumsum(begins)])[offsets]
     for n in GRAMS:
-        if len(data) >= n:
-            buckets = _grams(data, n)
-            yield buckets, np.minimum(offsets[:-1], len(buckets)), np.maximum(offsets[1:] - n + 1, np.minimum(offsets[:-1], len(buckets)))
+        if len(characters) >= n:
+            buckets = _grams(characters, n)
+            yield buckets, np.minimum(at[:-1], len(buckets)), np.maximum(at[1:] - n + 1, np.minimum(at[:-1], len(buckets)))
 
 
 def counts(text: bytes) -> tuple[np.ndarray, np.ndarray]:
@@ -124,7 +156,9 @@ def train(docs: DataFrame, labels: DataFrame, *, sample: int = SAMPLE, **how) ->
     drawn = usable.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)  # at most sample narrow rows: safe to broadcast
     texts = docs.select("doc_id", "text").join(F.broadcast(drawn), "doc_id")
     kind = docs.schema["doc_id"].dataType.simpleString()
-    rows = texts.mapInArrow(_counted, f"doc_id {kind}, label int, at binary, share binary").dropDuplicates(["doc_id"]).collect()
+    counted = texts.mapInArrow(_counted, f"doc_id {kind}, label int, at binary, share binary")
+    # Of an id with several texts the least features, so that reruns agree; combined before the shuffle, however often an id occurs.
+    rows = counted.groupBy("doc_id", "label").agg(F.min(F.struct("at", "share")).alias("f")).select("doc_id", "label", "f.*").collect()
     rows.sort(key=lambda r: r.doc_id)
     return fit([(r.label, np.frombuffer(r.at, np.uint16), np.frombuffer(r.share, np.float32)) for r in rows], **how)
 

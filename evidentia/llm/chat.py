@@ -6,16 +6,16 @@ the spans of it (start:end, in code points, end excluded) that a loss counts: th
 
 A rendered turn is <|role|>, a line end, the text, <|end|> and a line end.
 
-`preferences` takes the pairs. The query makes them from single conversations: the chosen one is the conversation up to its last
-assistant turn, the rejected one ends in the last assistant turn of its partner (conv_id with the last bit flipped) in its place.
-The turns after the last assistant turn are in neither, as the query's SQL has it; a loss counts none of them. mismatched_pairs()
-leaves them in the chosen conversation if asked for the whole one. Conversations are joined by conv_id only, so a first turn or a text that is very common is no key.
+`preferences` takes the pairs. The query makes them from single conversations: the chosen one is the conversation itself, with all its turns; the rejected one
+ends in the last assistant turn of its partner (conv_id with the last bit flipped) in the place of its own. pairs(whole=False) cuts the
+chosen one behind its last assistant turn too. A pair's conversations are dealt to one task by conv_id without the last bit, where turns become
+conversations and conversations pairs: one shuffle of the table, and a first turn or a text that is very common is no key.
 A conversation is the unit of work, as a document is elsewhere: its turns meet in one row.
 
 Defined cases: turns are ordered by turn, role and text; null role and text count as empty, a null turn sorts first. Without a
 partner, or if it has no assistant turn, the rejected completion is empty. Without an assistant turn of its own a
-conversation is all prompt and both completions are empty. Rows with a null conv_id form one conversation without partner. A repeated row is a
-repeated turn. Extra columns are left aside.
+conversation is all prompt and both completions are empty. Each row with a null conv_id is a conversation of its own, without partner. A repeated row is a
+repeated turn. An empty table gives no rows. Extra columns are left aside.
 """
 
 from __future__ import annotations
@@ -75,10 +75,19 @@ def preferences(pairs: DataFrame) -> DataFrame:
 
 
 def conversations(rows: DataFrame) -> DataFrame:
-    """conv_id and turns, an array of (role, text) in order."""
+    """conv_id, its pair (conv_id without the last bit) and turns, an array of (role, text) in order; rows with a null conv_id are left to pairs()."""
     turn = F.struct("turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
-    turns = F.array_sort(F.collect_list(turn), lambda a, b: F.when(_before(a, b), -1).when(_before(b, a), 1).otherwise(0))
-    return rows.groupBy("conv_id").agg(F.transform(turns, lambda t: F.struct(t["role"].alias("role"), t["text"].alias("text"))).alias("turns"))
+
+    def bare(turns: Column) -> Column:
+        return F.transform(turns, lambda t: F.struct(t["role"].alias("role"), t["text"].alias("text"))).alias("turns")
+
+    turns = F.array_sort(F.collect_list("t"), lambda a, b: F.when(_before(a, b), -1).when(_before(b, a), 1).otherwise(0))
+    named = rows.filter("conv_id is not null").select("conv_id", F.shiftright("conv_id", 1).alias("pair"), turn.alias("t"))
+    return named.repartition("pair").groupBy("pair", "conv_id").agg(F.transform(turns, _bare).alias("turns"))
+
+
+def _bare(t: Column) -> Column:
+    return F.struct(t["role"].alias("role"), t["text"].alias("text"))
 
 
 def _before(a: Column, b: Column) -> Column:
@@ -87,30 +96,47 @@ def _before(a: Column, b: Column) -> Column:
     return F.when(x != y, x < y).otherwise(later)
 
 
-def mismatched_pairs(convs: DataFrame, whole: bool = False) -> DataFrame:
-    """conv_id, chosen and rejected: each conversation against itself with its partner's last answer. whole: chosen has the turns after the last answer too."""
-    roles = F.transform("turns", lambda t: t["role"])
-    # 1-based place of the last assistant turn, 0 if there is none.
-    back = F.array_position(F.reverse(roles), ANSWERS).cast("int")
+def _answered(convs: DataFrame) -> DataFrame:
+    """convs with the 1-based place of the last assistant turn (0: none), and that turn."""
+    back = F.array_position(F.reverse(F.transform("turns", lambda t: t["role"])), ANSWERS).cast("int")
     known = convs.withColumn("last", F.when(back == 0, 0).otherwise(F.size("turns") - back + 1))
-    answers = known.filter("last > 0").select(F.col("conv_id").bitwiseXOR(F.lit(1)).alias("conv_id"), F.element_at("turns", F.col("last")).alias("other"))
-    both = known.join(answers, "conv_id", "left")
+    return known.withColumn("answer", F.when(F.col("last") > 0, F.element_at("turns", F.col("last"))))
+
+
+def _against(both: DataFrame, whole: bool) -> DataFrame:
+    """conv_id, chosen and rejected from conv_id, turns, last and other, the partner's last answer or null."""
     chosen = F.col("turns") if whole else F.when(F.col("last") == 0, F.col("turns")).otherwise(F.slice("turns", F.lit(1), F.col("last")))
     before = F.slice("turns", F.lit(1), F.greatest(F.col("last") - 1, F.lit(0)))
     rejected = F.when(F.col("last") == 0, F.col("turns")).when(F.col("other").isNull(), before).otherwise(F.concat(before, F.array("other")))
     return both.select("conv_id", chosen.alias("chosen"), rejected.alias("rejected"))
 
 
+def mismatched_pairs(convs: DataFrame, whole: bool = True) -> DataFrame:
+    """conv_id, chosen and rejected: each conversation against itself with its partner's last answer. whole: chosen has the turns after the last answer too."""
+    met = _answered(convs).groupBy("pair").agg(F.collect_list(F.struct("conv_id", "turns", "last", "answer")).alias("two"))
+    other = lambda c: F.get(F.filter("two", lambda o: o["conv_id"] != c["conv_id"]), F.lit(0))["answer"]
+    of = F.transform("two", lambda c: F.struct(*[c[n].alias(n) for n in ("conv_id", "turns", "last")], other(c).alias("other")))
+    return _against(met.select(F.inline(of)), whole)
+
+
+def pairs(rows: DataFrame, whole: bool = True) -> DataFrame:
+    """mismatched_pairs() of the conversations in a table of turns, and each turn without conv_id by itself."""
+    named = mismatched_pairs(conversations(rows), whole)
+    turn = F.struct(*[F.coalesce(c, F.lit("")).alias(c) for c in ("role", "text")])
+    alone = _answered(rows.filter("conv_id is null").select("conv_id", F.array(turn).alias("turns")))
+    return named.unionAll(_against(alone.withColumn("other", F.when(F.lit(False), F.col("answer"))), whole))
+
+
 def op3_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return preferences(mismatched_pairs(conversations(table(spark, sf_dir, "conversations"))))
+    return preferences(pairs(table(spark, sf_dir, "conversations")))
 
 
 ORACLE = """
 WITH c AS (SELECT conv_id, list({'role': coalesce(role, ''), 'text': coalesce(text, '')} ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS turns
-  FROM conversations GROUP BY conv_id),
+  FROM conversations WHERE conv_id IS NOT NULL GROUP BY conv_id UNION ALL SELECT conv_id, [{'role': coalesce(role, ''), 'text': coalesce(text, '')}] FROM conversations WHERE conv_id IS NULL),
 k AS (SELECT conv_id, turns, coalesce(list_max([i for i in range(1, len(turns) + 1) if turns[i].role = 'assistant']), 0) AS last FROM c),
 o AS (SELECT xor(conv_id, 1) AS conv_id, turns[last] AS other FROM k WHERE last > 0),
-p AS (SELECT k.conv_id, CASE WHEN last = 0 THEN turns ELSE turns[:last] END AS chosen,
+p AS (SELECT k.conv_id, turns AS chosen,
   CASE WHEN last = 0 THEN turns WHEN other IS NULL THEN turns[:last - 1] ELSE turns[:last - 1] || [other] END AS rejected
   FROM k LEFT JOIN o ON k.conv_id = o.conv_id),
 n AS (SELECT *, coalesce(list_min([i for i in range(1, least(len(chosen), len(rejected)) + 1) if chosen[i] <> rejected[i]]) - 1, least(len(chosen), len(rejected))) AS n_common FROM p),

@@ -175,13 +175,13 @@ def distance_one(x, y):
     return any(long[:k] + long[k + 1 :] == short for k in range(len(long)))
 
 
-def brute_lines(rows):
-    lines = sorted((i, n, tuple(w)) for i, t in rows if i is not None and t is not None for n, line in enumerate(t.split("\n")) if len(w := [x for x in WS.split(line) if x]) >= 5)
+def brute_lines(rows, least=5, edits=1):
+    lines = sorted((i, n, tuple(w), t) for i, t in rows if i is not None and t is not None for n, line in enumerate(t.split("\n")) if (w := [x for x in WS.split(line) if x]))
     gone = defaultdict(set)
-    for k, (i, n, w) in enumerate(lines):
-        if any((a, b) < (i, n) and distance_one(v, w) for a, b, v in lines[:k]):
-            gone[i].add(n)
-    return sorted(((i, t if i is None or t is None else "\n".join(x for n, x in enumerate(t.split("\n")) if n not in gone[i])) for i, t in rows), key=str)
+    for k, (i, n, w, t) in enumerate(lines):
+        if any((a, b) < (i, n) and (v == w or edits and min(len(v), len(w)) >= least and distance_one(v, w)) for a, b, v, _ in lines[:k]):
+            gone[i, t].add(n)
+    return sorted(((i, t if i is None or t is None else "\n".join(x for n, x in enumerate(t.split("\n")) if n not in gone[i, t])) for i, t in rows), key=str)
 
 
 def line_rows(rng):
@@ -207,31 +207,87 @@ def line_rows(rng):
 
 
 def test_lines_equal_brute_force(spark):
-    rows = line_rows(random.Random(11))
+    rows = [*line_rows(random.Random(11)), (400, "All rights reserved.\nx\n\n \nAll  rights\treserved."), (401, "All rights reserved.\nAll rights kept.\nx \n"), (-5, "x"), (403, "All rights reserved")]
     out = line_dedup.without_repeats(frame(spark, rows))
     assert out.columns == ["doc_id", "text", "keep_id", "gone", "class", "Lines"]
     assert sorted(map(tuple, out.select("doc_id", "text").collect()), key=str) == brute_lines(rows)
 
 
-def test_short_lines_go_if_equal(spark):
-    rows = [*line_rows(random.Random(12)), (400, "All rights reserved.\nx\n\n \nAll  rights\treserved."), (401, "All rights reserved.\nAll rights kept.\nx \n"), (402, "x"), (403, "All rights reserved")]
-    seen, want = set(), []
-    for i, text in sorted(brute_lines(rows), key=lambda r: (r[0] is None, r[0])):
-        if i is not None and text is not None and i != 303:  # 303 is there twice, and its short line nowhere else
-            kept = []
-            for x in text.split("\n"):
-                w = tuple(y for y in WS.split(x) if y)
-                if not 0 < len(w) < 5 or w not in seen:
-                    kept.append(x)
-                seen.add(w)
-            text = "\n".join(kept)
-        want.append((i, text))
-    got = sorted(map(tuple, line_dedup.without_repeats(frame(spark, rows), short=True).select("doc_id", "text").collect()), key=str)
-    assert got == sorted(want, key=str)
+@pytest.mark.parametrize("least,edits", [(2, 1), (8, 1), (5, 0)])
+def test_lines_with_other_bounds(spark, least, edits):
+    rows = line_rows(random.Random(12))
+    out = line_dedup.without_repeats(frame(spark, rows, extra=False), least=least, edits=edits)
+    assert sorted(map(tuple, out.collect()), key=str) == brute_lines(rows, least, edits)
+
 
+def test_several_texts_of_an_id(spark):
+    """Lines of two texts of one id stand at one place: neither is earlier, and each goes by itself."""
+    a, b, c = "the first line of this very text", "an entirely different line it is", "the first line of that very text"
+    rows = [(1, a + "\n" + b), (1, c + "\n" + b), (1, b), (2, c), (2, "one more line\n" + a), (3, a + "\n" + b), (3, a + "\n" + b), (0, None)]
+    got = sorted(map(tuple, line_dedup.without_repeats(frame(spark, rows, extra=False)).collect()), key=str)
+    assert got == brute_lines(rows)
 
-def test_copies_leave_no_document(spark):
+
+def test_emptied_documents_go(spark):
     a = "five words are in here\nand another line of six words"
-    rows = [(1, a), (2, a), (3, a + "\nshort"), (4, a + "\nbut this one has its own line too"), (5, "tiny"), (6, None)]
-    got = {r.doc_id: r.text for r in line_dedup.without_copies(frame(spark, rows)).collect()}
-    assert got == {1: a, 4: "but this one has its own line too", 5: "tiny", 6: None}
+    rows = [(1, a), (2, a), (3, a + "\nshort"), (4, a + "\nbut this one has its own line too"), (5, "tiny"), (6, None), (7, a + "\n \n\t"), (8, " \n"), (9, "short\ntiny"), (None, a)]
+    got = {r.doc_id: r.text for r in line_dedup.without_emptied(frame(spark, rows)).collect()}
+    assert got == {1: a, 3: "short", 4: "but this one has its own line too", 5: "tiny", 6: None, 8: " \n", None: a}
+
+
+def test_ids_of_another_kind_are_an_error(spark):
+    docs = spark.createDataFrame([("a", "text")], "doc_id string, text string")
+    for f in (line_dedup.without_repeats, minhash.near_duplicates, minhash.without_near_duplicates):
+        with pytest.raises(TypeError):
+            f(docs)
+
+
+def test_near_with_several_texts_of_an_id(spark):
+    """The class of each text counts; a component's id is the least id of its rows."""
+    rng = random.Random(8)
+    a, b = words(rng, 60), words(rng, 60)
+    text = lambda w, k=None: " ".join(w if k is None else [*w[:k], "else", *w[k + 1 :]])
+    rows = [(1, text(a)), (1, text(b)), (5, text(a, 0)), (5, text(b, 59)), (7, text(b, 0)), (9, "other words than these are here"), (9, text(a, 59)), (None, text(a)), (None, "no id has this"), (None, "no id has this")]
+    got = sorted(map(tuple, minhash.near_duplicates(frame(spark, rows)).select("doc_id", "n_shingles", "component_id", "kept").collect()), key=str)
+    want = [(1, 56, 1, True), (1, 56, 1, True), (5, 56, 1, False), (5, 56, 1, False), (7, 56, 1, False), (9, 2, 9, True), (9, 56, 1, False), (None, 56, None, False), (None, 1, None, False), (None, 1, None, False)]
+    assert got == sorted(want, key=str)
+    kept = minhash.without_near_duplicates(frame(spark, rows))
+    assert kept.columns == ["doc_id", "text", "keep_id", "gone", "class", "Lines"]
+    assert sorted(map(tuple, kept.select("doc_id", "text").collect()), key=str) == sorted([rows[0], rows[1], rows[5], rows[8]], key=str)
+
+
+def test_one_row_of_each_group_stays(spark):
+    rng = random.Random(10)
+    a = words(rng, 40)
+    one, near, case = " ".join(a), " ".join([*a[:-1], "z"]), " ".join(a).upper()
+    rows = [(4, one), (4, one), (4, case), (4, near), (6, near), (8, ""), (8, ""), (9, None), (10, " \n"), (None, ""), (None, near), (2, "alone in the world")]
+    kept = sorted(map(tuple, minhash.without_near_duplicates(frame(spark, rows, extra=False)).collect()), key=str)
+    assert len([r for r in kept if r[0] == 4]) == 1 and [r for r in kept if r[0] != 4] == [(10, " \n"), (2, "alone in the world"), (8, ""), (8, ""), (9, None), (None, "")]
+    assert minhash.without_near_duplicates(frame(spark, [])).count() == 0
+
+
+def test_long_texts_in_pieces(monkeypatch):
+    """Pieces and the carried factor give what one block gives."""
+    import evidentia.llm._text as _text
+    from evidentia.llm import quality
+
+    rng = random.Random(2)
+    texts = [" ".join(words(rng, 900)), "x" * 5000 + " y y " + "z" * 3000, " ".join(["a"] * 3000), "\n" * 4000 + "end " * 40, "é" * 2000, "one two"]
+
+    def everything():
+        out = []
+        for t in texts:
+            data = np.frombuffer(t.encode(), np.uint8)
+            hashes, at = minhash.shingles(data, np.array([0, len(data)]))
+            at_, share = quality.counts(t.encode())
+            out.append((sorted(set(hashes.tolist())), at.tolist(), minhash.registers(hashes, at[:-1]).tolist(), at_.tolist(), share.tolist(), exact_dedup.cuts(data)))
+        return out
+
+    whole = everything()
+    _text._powers.clear()
+    for module in (_text, minhash, quality, exact_dedup):
+        monkeypatch.setattr(module, "BLOCK", 512)
+    try:
+        assert everything() == whole
+    finally:
+        _text._powers.clear()

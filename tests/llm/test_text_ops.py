@@ -1,18 +1,24 @@
 import hashlib
 import io
+import math
+import os
 import random
+import re
 import struct
+import time
 import zlib
 
 import numpy as np
 import pyarrow.parquet as pq
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from evidentia.llm import chat, html_text, media, mixing, packing, quality, url_filter
+from evidentia.llm import _text, chat, html_text, media, mixing, packing, quality, url_filter
 
 DOC = "doc_id bigint, text string, source string"
+DATA = os.environ.get("TEST_DATA", "/root/testdata")
 
 
 # --- packing -----------------------------------------------------------------------------------------------------------------------------------------------------------
@@ -45,6 +51,20 @@ def test_packing_is_lossless_and_full(spark):
     assert packing.pack(df.limit(0)).count() == 0
 
 
+def test_token_ids_equal_those_of_tokenizers():
+    """The fast way and the named library on every document of sf0.01, on all code points, and on random strings."""
+    encode, own = packing.encoder(packing.TOKENIZER), Tokenizer.from_file(packing.TOKENIZER)
+    points = [chr(c) for c in range(0x40000) if not 0xD800 <= c < 0xE000]
+    rng = random.Random(8)
+    parts = ["don't", " the", "  ", "\n", "\t ", "1234", "é", "漢字", "\U0001f642", "<|endoftext|>", "a", "Z", "_", "'s", "\u00a0", "\u2003", "\x00"]
+    texts = [t or "" for t in pq.read_table(f"{DATA}/sf0.01/documents.parquet").column("text").to_pylist()]
+    texts += ["".join(points[k : k + 256]) for k in range(0, len(points), 256)] + [" ".join(points[k : k + 256]) for k in range(0, len(points), 256)]
+    texts += ["".join(rng.choice(parts) for _ in range(rng.randint(0, 40))) for _ in range(4000)]
+    for batch in range(0, len(texts), 500):
+        for text, want in zip(texts[batch : batch + 500], own.encode_batch(texts[batch : batch + 500], add_special_tokens=False)):
+            assert encode(text).tolist() == want.ids
+
+
 def test_packing_cuts_few_short_documents():
     closed = []
     p = packing.Packer(2048, closed.append)
@@ -114,6 +134,31 @@ class Writer:
         return np.packbits(bits).tobytes().replace(b"\xff", b"\xff\x00")
 
 
+def test_media_in_parts(monkeypatch):
+    raw = np.random.default_rng(9).integers(0, 256, 64 * 1000, np.uint8).tobytes()
+    whole = media.encode(raw)
+    monkeypatch.setattr(media, "PART", 16)
+    assert media.encode(raw) == whole and media.payload(media.decode(whole)) == raw
+
+
+def test_general_decoder_is_linear(monkeypatch):
+    """Eight times the bytes take about eight times as long, in one segment without restarts."""
+    monkeypatch.setattr(media, "_fixed", lambda *a: None)
+    w, times = Writer(), []
+    for _ in range(4096):  # blocks of DC 0 and end of block: one bit each
+        w.put(0, 2)
+    tables = media._one_symbol(0, 0) + media._one_symbol(1, 0)
+    for n in (4096, 32768):
+        head = b"\xff\xd8" + media._segment(0xFFDB, b"\0" + b"\1" * 64) + media._segment(0xFFC0, struct.pack(">BHHBBBB", 8, 64, n, 1, 1, 0x11, 0))
+        raw = head + media._segment(0xFFC4, tables) + media._segment(0xFFDA, bytes([1, 1, 0, 0, 63, 0])) + b"\0" * (n // 4) + b"\xff\xd9"
+        began = time.process_time()
+        assert not media.decode(raw).coefficients[0].any()
+        times.append(time.process_time() - began)
+    assert times[1] < 24 * times[0] + 0.1
+    with pytest.raises(ValueError):
+        media.decode(raw[: len(head) + 60])
+
+
 def test_media_decodes_a_foreign_file():
     """Two components at 2 x 1 sampling, runs of zeros, end-of-block codes, no restarts."""
     rng = np.random.default_rng(2)
@@ -182,26 +227,111 @@ def mix_rows(seed, n=600):
     return [*rows, (n, None, "a"), (n + 1, "\t x \n", "only empty"), (n + 2, "", "really empty"), (None, "no id", "a"), (5, "the same id again " * 2, "b")]
 
 
-@pytest.mark.parametrize("seed", [1, 2])
-def test_mixing(spark, seed):
-    rows = mix_rows(seed)
+def spark_hash(*values):
+    """Spark's xxhash64 of bigints (8 bytes), small literals (4 bytes) and strings."""
+    h = 42
+    for v in values:
+        h = xxhash.xxh64_intdigest(v.encode() if isinstance(v, str) else v, seed=h)
+    return h - (1 << 64) if h >> 63 else h
+
+
+def long(v):
+    return struct.pack("<q", v)
+
+
+def brute_mix(rows):
+    """The tree step by step: (doc_id, text, source) to the words taken by each set of equal rows."""
+    small, sizes, alike = struct.pack("<i", mixing.SEED), {}, {}
+    for i, t, s in rows:
+        n = len((t or "").split())
+        sizes[s] = sizes.get(s, 0) + n
+        alike[s, i, t] = alike.get((s, i, t), 0) + 1
+    want, by, out = water(sizes), {}, {}
+    for (s, i, t), c in alike.items():
+        n = len((t or "").split())
+        expected = want[s] / sizes[s] if sizes[s] else 0.0
+        whole = math.floor(expected + mixing.TINY) if n else 0
+        p = expected - whole if n and expected - whole > mixing.TINY else 0.0
+        sure = math.floor(c * p + mixing.TINY)
+        out[s, i, t] = [n, c * whole + sure]
+        if c * p - sure > mixing.TINY:
+            h = 42 if t is None else spark_hash(t)
+            draw = spark_hash(long(-1 if i is None else i), long(n), long(h), small)
+            by.setdefault(s, []).append([-n, draw, -(1 << 70) if i is None else i, n, c * p - sure, (s, i, t)])
+    for s, items in by.items():
+        groups, level = {}, -(-len(items) // mixing.FAN)
+        for x in items:
+            groups.setdefault(x[1] % level, []).append(x)
+        while True:
+            rest = {}
+            for g, docs in groups.items():
+                a = None
+                for d in sorted(docs):
+                    if a is None:
+                        a = d
+                        continue
+                    to_a, to_d = min((1 - a[4]) * a[3], d[4] * d[3]), min(a[4] * a[3], (1 - d[4]) * d[3])
+                    u = (spark_hash(long(a[1]), long(d[1]), small) % (1 << 40) + 0.5) / float(1 << 40)
+                    moved = to_a if u * (to_a + to_d) < to_d else -to_d
+                    open_ = []
+                    for x, p in ((a, a[4] + moved / a[3]), (d, d[4] - moved / d[3])):
+                        x[4] = 0.0 if p < mixing.TINY else 1.0 if p > 1 - mixing.TINY else p
+                        if 0 < x[4] < 1:
+                            open_.append(x)
+                        else:
+                            out[x[5]][1] += int(x[4])
+                    a = open_[0] if open_ else None
+                if a is not None:
+                    rest.setdefault(g // mixing.FAN, []).append(a)
+            if level == 1:
+                for (x,) in rest.values():
+                    out[x[5]][1] += round(x[4])
+                break
+            level, groups = -(-level // mixing.FAN), rest
+    return {k: n * c for k, (n, c) in out.items()}
+
+
+@pytest.mark.parametrize("seed,fan", [(1, 64), (2, 4)])
+def test_mixing(spark, seed, fan, monkeypatch):
+    monkeypatch.setattr(mixing, "FAN", fan)
+    rows = [*mix_rows(seed), *[(None, "a hot row without id", "hot")] * 150, *[(7, "an id again and again", "a")] * 9, (8, "one more", "a"), (8, "one more", "b")]
     df = spark.createDataFrame(rows, DOC).repartition(5).withColumns({"row": F.lit("c"), "size": F.lit("d")})
     got = mixing.taken(df).collect()
     assert len(got) == len(rows)
-    of, sizes, taken = {}, {}, {}
+    sizes = {}
     for i, t, s in rows:
-        of.setdefault((i, len((t or "").split())), s)
         sizes[s] = sizes.get(s, 0) + len((t or "").split())
-    want = water(sizes)
+    want, brute = water(sizes), brute_mix(rows)
+    by = {}
+    for (s, i, t), n in brute.items():
+        k = i, len((t or "").split()), round(want[s], 6)
+        by[k] = by.get(k, 0) + n
+    found = {}
     for r in got:
-        s = of[r.doc_id, r.size]
-        assert r.source_size == sizes[s] and r.target == pytest.approx(want[s]) and r.taken in (0, r.size, 2 * r.size)
-        taken[s] = taken.get(s, 0) + r.taken
-    assert all(abs(taken[s] - want[s]) <= 400 for s in sizes)
+        assert r.source_size in sizes.values() and r.taken in (0, r.size, 2 * r.size)
+        k = r.doc_id, r.size, round(r.target, 6)
+        found[k] = found.get(k, 0) + r.taken
+    assert found == by
+    for s in sizes:
+        assert abs(sum(n for (x, _, _), n in brute.items() if x == s) - want[s]) <= 400
     again = mixing.taken(df.repartition(2)).collect()
     key = lambda rs: sorted((str(r.doc_id), r.size, r.taken) for r in rs)
     assert key(got) == key(again)
     assert mixing.taken(df.limit(0)).count() == 0
+    with pytest.raises(TypeError):
+        mixing.taken(df.withColumn("doc_id", F.col("doc_id").cast("string")))
+
+
+def test_equal_rows_make_no_hot_group(spark):
+    """20,000 rows without id in one text and size are one item of the tree."""
+    df = spark.range(20_000).select(F.lit(None).cast("bigint").alias("doc_id"), F.lit("the same text").alias("text"), F.lit("hot").alias("source"))
+    df = df.union(spark.range(400).select("id", F.concat(F.lit("text "), F.col("id").cast("string")), F.lit("b")))
+    got = mixing.taken(df).filter("doc_id is null").groupBy("copies").count().collect()
+    total = sum(r.copies * r["count"] for r in got)
+    of = mixing.taken(df).filter("doc_id is null").select("target").first()
+    assert sum(r["count"] for r in got) == 20_000 and abs(3 * total - of.target) <= 3
+    out = mixing.copies(df)
+    assert out.filter("doc_id is null").count() == total
 
 
 def test_mixing_keeps_expectations(spark):
@@ -231,7 +361,7 @@ def test_copies_keep_columns_and_counts(spark):
 
 
 def test_quality_on_held_out_rows(spark):
-    base = "/root/testdata/sf0.01"
+    base = f"{DATA}/sf0.01"
     docs, labels = spark.read.parquet(f"{base}/documents.parquet"), spark.read.parquet(f"{base}/labels.parquet").select("doc_id", F.col("quality").alias("label"))
     rows = quality.score(docs, quality.train(docs, labels)).join(labels, "doc_id").filter("held_out").collect()
     assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 3 == 1) and 0 <= r.score <= 1 and r.predicted == (r.score >= 0.5) for r in rows)
@@ -249,6 +379,91 @@ def test_quality_edges(spark):
     assert kept.columns == df.columns and kept.count() == 5 and quality.accepted(df.limit(0), quality.Model(np.zeros(1 << quality.BITS, np.float32), 0.0)).count() == 0
 
 
+def plain_features(text):
+    """Bucket counts of a text, feature by feature."""
+    m64, out = (1 << 64) - 1, {}
+
+    def word_hash(w):
+        z = sum((b + 1) * pow(_text.BASE, k, 1 << 64) for k, b in enumerate(w)) & m64
+        z ^= len(w)
+        for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+            z = (z ^ z >> shift) * factor & m64
+        return z ^ z >> 31
+
+    def add(k):
+        out[k] = out.get(k, 0) + 1
+
+    words = re.findall(rb"[^\x20\x09-\x0d]+", text.encode())
+    for w in words:
+        add(word_hash(w) >> (64 - quality.BITS))
+    for v, w in zip(words, words[1:]):
+        if v == w:
+            add(quality.REPEAT)
+    numbers = []
+    for c in text:  # the bytes' own bits, six at a time behind the first
+        head, *tail = c.encode()
+        for b in tail:
+            head = (head << 6 | b & 0x3F) & 0xFFFFFFFF
+        numbers.append(head)
+    for n in quality.GRAMS:
+        for k in range(len(numbers) - n + 1):
+            h = n
+            for c in numbers[k : k + n]:
+                h = (h * 0x01000193 + c) & 0xFFFFFFFF
+            h = h * int(quality.SPREAD[n]) & 0xFFFFFFFF
+            h ^= h >> 15
+            add((h * int(quality.SPREAD[n + 1]) & 0xFFFFFFFF) >> int(quality.SHIFT))
+    return out
+
+
+def test_quality_features_equal_plain_ones(monkeypatch):
+    rng = random.Random(3)
+    texts = ["", "a", "ab", "é", "naïve café café", "漢字\u2003漢字 x x x", "\U0001f642\U0001f642 \n\t!", " ".join(rng.choice(["ab", "über", "漢", "x"]) for _ in range(400))]
+    for block in (_text.BLOCK, 64):
+        for module in (_text, quality):
+            monkeypatch.setattr(module, "BLOCK", block)
+        _text._powers.clear()
+        for t in texts:
+            want = plain_features(t)
+            at, share = quality.counts(t.encode())
+            assert dict(zip(at.tolist(), share.tolist())) == pytest.approx({k: n / sum(want.values()) for k, n in want.items()})
+    _text._powers.clear()
+
+
+def test_quality_fit_equals_plain_descent(monkeypatch):
+    monkeypatch.setattr(quality, "BITS", 6)
+    rng, dim, epochs, step = np.random.default_rng(4), 3, 5, 1.0
+    rows = [(int(rng.integers(2)), at := np.sort(rng.choice(64, rng.integers(1, 9), False)).astype(np.uint16), rng.dirichlet(np.ones(len(at))).astype(np.float32)) for _ in range(30)]
+    model = quality.fit(rows, dim=dim, epochs=epochs, step=step, seed=9)
+    draw = np.random.default_rng(9)
+    vectors = draw.uniform(-1 / dim, 1 / dim, (64, dim)).astype(np.float32).tolist()
+    layer, bias, done = draw.uniform(-1, 1, (dim, 2)).astype(np.float32).tolist(), [0.0, 0.0], 0
+    for _ in range(epochs):
+        for k in draw.permutation(len(rows)):
+            label, at, share = rows[k]
+            rate, done = step * (1 - done / (epochs * len(rows))), done + 1
+            hidden = [sum(float(s) * vectors[a][j] for a, s in zip(at, share)) for j in range(dim)]
+            e = [math.exp(sum(hidden[j] * layer[j][c] for j in range(dim)) + bias[c]) for c in (0, 1)]
+            p = [e[c] / sum(e) - (c == label) for c in (0, 1)]
+            back = [sum(layer[j][c] * p[c] for c in (0, 1)) for j in range(dim)]
+            for c in (0, 1):
+                bias[c] -= rate * 0.01 * p[c]
+                for j in range(dim):
+                    layer[j][c] -= rate * 0.1 * hidden[j] * p[c]
+            for a, s in zip(at, share):
+                for j in range(dim):
+                    vectors[a][j] -= rate * min(float(s) * len(share), 1) * back[j]
+    part = [sum(v[j] * (layer[j][1] - layer[j][0]) for j in range(dim)) for v in vectors]
+    assert model.part.tolist() == pytest.approx(part, abs=1e-4) and model.bias == pytest.approx(bias[1] - bias[0], abs=1e-5)
+
+
+def test_quality_of_an_id_with_several_texts(spark):
+    docs = spark.createDataFrame([(k % 40, f"text {k} of many words", "s") for k in range(400)], DOC)
+    labels = spark.createDataFrame([(k, k % 2) for k in range(40)], "doc_id bigint, label int")
+    a, b = (quality.train(docs.repartition(n), labels) for n in (1, 7))
+    assert (a.part == b.part).all() and a.bias == b.bias
+
+
 def test_quality_scores_match_the_model():
     """The sums over buckets give the softmax over averaged vectors."""
     rng = np.random.default_rng(3)
@@ -283,6 +498,58 @@ def test_html(spark):
     assert html_text.main_text(df.limit(0)).count() == 0
 
 
+CASES = {
+    "<article><h2 id='related-work'>Related work</h2><p>Text of it is here.</p><h2 id='search'>Search</h2><p>More of the text.</p></article>": "Related work Text of it is here. Search More of the text.",
+    "<article><p>Some words to read.</p><pre><span class='hljs-comment'># set x</span>\n<div class='comment'># y</div> x = 1</pre></article>": "Some words to read. # set x # y x = 1",
+    "<article><p>By <a href=/o'neill>O'Neill</a> and it's <b title='a>b'>bold</b> here</p></article>": "By O'Neill and it's bold here",
+    "<body><header><h1>Site</h1></header><article><header class='entry-header'><h1>Title</h1><div class='byline'>By me</div></header><p>Some words of the article.</p></article></body>": "Title Some words of the article.",
+    "<main><section id='related-work'><h2>Related work</h2><p>Long text about it is here now.</p></section></main>": "Related work Long text about it is here now.",
+    "<article><p>in<b>a<div>x</b> y</div> z words<img src=a>and words</p></article>": "ina x y z wordsand words",
+    "<article><p>one two<script>x()</script>three</p><div role=search>find</div><p>four</p></article>": "one twothree four",
+    "<body><nav><a href=/>Home</a><article><h1>T</h1><p>The nav was left open before me.</p></article></body>": "T The nav was left open before me.",
+    "<body><div class=page-comments><p>I say so</p></div><p>Only this line is the text of the page.</p></body>": "Only this line is the text of the page.",
+}
+
+
+def test_html_keeps_the_article():
+    weights = html_text.Weights(html_text.LABELLED)
+    for page, text in CASES.items():
+        assert html_text.extract(page, weights) == text
+
+
+def labelled_text(page):
+    p = html_text.Page(page)
+    inside = [k for k, main in enumerate(p.main) if main]
+    return p.text(inside[0], inside[-1] + 1)
+
+
+def test_html_weights_are_learned_and_decide():
+    """Each labelled page comes out right with the weights of the others but one page; other weights change pages of both kinds."""
+    pages, right = html_text.LABELLED, 0
+    for k, page in enumerate(pages):
+        assert html_text.extract(page, html_text.Weights(pages)) == labelled_text(page)
+        right += html_text.extract(page, html_text.Weights(pages[:k] + pages[k + 1 :])) == labelled_text(page)
+    assert right >= len(pages) - 1
+    learned = html_text.Weights(pages)
+    assert all(html_text.Weights(pages[:3]).tags[n] != learned.tags[n] for n in ("li", "div", "a")) and learned.tag("li") < learned.tag("p") < 0 < learned.word
+    table = pq.read_table(f"{DATA}/sf0.001/pages.parquet").column("html").to_pylist()
+    for other in (html_text.Weights(word=1.0, tags={"": -1000.0}), html_text.Weights(word=0.01, tags={"": -1.0})):
+        assert any(html_text.extract(page, other) != labelled_text(page) for page in pages)
+        assert any(html_text.extract(page, other) != html_text.extract(page, learned) for page in table)
+
+
+def test_html_is_linear():
+    weights = html_text.Weights(html_text.LABELLED)
+    makers = [lambda n: "<div>" * n + "</span>" * n + "word", lambda n: "<div class=menu>" * n + "<h1>x</h1>" * n, lambda n: '<p a="x' * n, lambda n: "<article>" + "<b>" * n + "</i>" * n + "<header>" + "<h2>a" * n, lambda n: "<article><script>" * n]
+    for make in makers:
+        times = []
+        for n in (2000, 32_000):
+            began = time.process_time()
+            html_text.extract(make(n), weights)
+            times.append(time.process_time() - began)
+        assert times[1] < 64 * times[0] + 0.3
+
+
 def test_best_run_equals_all_runs():
     rng = random.Random(4)
     for _ in range(200):
@@ -292,11 +559,10 @@ def test_best_run_equals_all_runs():
 
 
 def test_html_on_the_pages_table():
-    import re
     from html import unescape
 
     weights = html_text.Weights(html_text.LABELLED)
-    for h in pq.read_table("/root/testdata/sf0.01/pages.parquet").column("html").to_pylist():
+    for h in pq.read_table(f"{DATA}/sf0.01/pages.parquet").column("html").to_pylist():
         inner = re.search(r"<article>(.*?)(</article>|\Z)", h, re.S)[1]
         assert html_text.extract(h, weights) == " ".join(unescape(re.sub(r"<[^>]*>", " ", re.sub(r"</?b>", "", inner))).split())
 
@@ -319,12 +585,32 @@ def test_urls(spark):
 
 
 def test_index_with_collisions(tmp_path):
-    digest = lambda b: len(b) % 2
-    url_filter.Index.write(str(tmp_path / "i"), {"a": 1, "bb": 2, "ccc": 3, "é": 4}, digest)
-    index = url_filter.Index(str(tmp_path / "i"))
-    assert index.find([b"ccc", b"bb", b"zzz", b"a", "é".encode()], digest).tolist() == [3, 2, -1, 1, 4]
-    url_filter.Index.write(str(tmp_path / "none"), {})
-    assert url_filter.Index(str(tmp_path / "none")).find([b"a"]).tolist() == [-1]
+    digest = lambda b: len(b) % 2 + (1 << 63) * (len(b) > 2)
+    entries = sorted((url_filter.signed(digest(k.encode())), k, n) for k, n in {"a": 1, "bb": 2, "ccc": 3, "é": 4, "ddd": 5}.items())
+    for most in (1, 2, 100):
+        shards = list(url_filter.shard_rows(iter(entries), most))
+        paths = [str(tmp_path / f"{most}-{k}") for k in range(len(shards))]
+        for path, shard in zip(paths, shards):
+            url_filter.Shard.write(path, shard)
+        assert len(shards) == -(-5 // most)
+        assert url_filter.Index(paths, digest).find([b"ccc", b"bb", b"zzz", b"a", "é".encode(), b"ddd"]).tolist() == [3, 2, -1, 1, 4, 5]
+    assert url_filter.Index([]).find([b"a"]).tolist() == [-1] and list(url_filter.shard_rows(iter([]))) == []
+
+
+def test_index_from_a_table(spark):
+    """Tables of 30,000 hosts and 2,000 rules, in several shards, against brute force."""
+    hosts = spark.range(30_000).select(F.concat(F.lit("Bad"), F.col("id").cast("string"), F.lit(".Example.com")).alias("host"))
+    rules = [("block" if k % 2 else "allow", f"h{k % 500}.net", f"/p{k // 500}") for k in range(2000)] + [("allow", "net", "/p1/x"), (None, "org", "/"), ("allow", None, "/"), ("block", "h7.net", "/p0"), ("allow", "h7.net", "/p0")]
+    urls = [f"http://{h}.h{k % 600}.NET/p{k % 5}/{x}" for k, (h, x) in enumerate([("a", "x"), ("b", "y")] * 700)] + [f"x://w.bad{k * 17}.example.com/" for k in range(2000)] + [None, "x://a.org/b"]
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id bigint, url string").repartition(3)
+    given = spark.createDataFrame(rules, "verdict string, host string, path string").repartition(4)
+    got = {r.page_id: (r.rule, r.verdict) for r in url_filter.judged(pages, given, hosts.union(hosts)).collect()}
+    for k, url in enumerate(urls):
+        host, path = url_filter.parts(url)
+        fit = [(-len(h + p), v != "allow", h + p) for v, h, p in rules if h and (host == h or host.endswith("." + h)) and path.startswith(p)]
+        number = host.split(".")[1][3:] if host.startswith("w.bad") else ""
+        want = (min(fit)[2], "block" if min(fit)[1] else "allow") if fit else (None, "block" if number and int(number) < 30_000 else "allow")
+        assert got[k] == want, url
 
 
 def test_state_classes_mark_nothing():
@@ -378,17 +664,26 @@ def test_preferences(spark):
 def test_conversation_edges(spark):
     rows = [(0, 1, "assistant", "yes"), (0, 0, "user", "q"), (0, None, "system", None), (1, 0, "user", "q"), (1, 1, "assistant", "no"), (1, 1, "assistant", "no"), (2, 0, None, "x"), (None, 0, "user", "n")]
     df = spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string").withColumn("last", F.lit("c"))
-    got = {r.conv_id: r for r in chat.preferences(chat.mismatched_pairs(chat.conversations(df))).collect()}
+    rows = chat.preferences(chat.pairs(df.union(df.filter("conv_id is null")))).collect()
+    got = {r.conv_id: r for r in rows}
+    assert [(r.prompt, r.chosen, r.rejected) for r in rows if r.conv_id is None] == [("<|user|>\nn<|end|>\n", "", "")] * 2
     assert got[0].prompt == "<|system|>\n<|end|>\n<|user|>\nq<|end|>\n" and (got[0].chosen, got[0].rejected) == ("<|assistant|>\nyes<|end|>\n", "<|assistant|>\nno<|end|>\n")
     assert got[1].n_common == 2 and got[2].n_common == 1 and got[2].chosen == got[2].rejected == "" and len(got) == 4
-    assert chat.conversations(df.limit(0)).count() == 0
+    assert chat.pairs(df.limit(0)).count() == 0
+
+
+def test_one_shuffle_makes_the_pairs(spark, sf_dir):
+    plan = chat.op3_chat_format(spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1
 
 
 def test_whole_conversation_is_chosen(spark):
     rows = [(0, 0, "user", "q"), (0, 1, "assistant", "yes"), (0, 2, "user", "why"), (0, 3, "system", "end"), (1, 0, "user", "q"), (1, 1, "assistant", "no"), (2, 0, "user", "x"), (2, 1, "user", "y")]
     convs = chat.conversations(spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string"))
-    pairs = {r.conv_id: r for r in chat.mismatched_pairs(convs, whole=True).collect()}
+    pairs = {r.conv_id: r for r in chat.mismatched_pairs(convs).collect()}
     assert {i: [tuple(t) for t in r.chosen] for i, r in pairs.items()} == {i: [r[2:] for r in rows if r[0] == i] for i in (0, 1, 2)}
-    got = {r.conv_id: r for r in chat.preferences(chat.mismatched_pairs(convs, whole=True)).collect()}
+    cut = {r.conv_id: r for r in chat.mismatched_pairs(convs, whole=False).collect()}
+    assert [tuple(t) for t in cut[0].chosen] == [("user", "q"), ("assistant", "yes")] and len(cut[2].chosen) == 2
+    got = {r.conv_id: r for r in chat.preferences(chat.mismatched_pairs(convs)).collect()}
     assert got[0].chosen == "<|assistant|>\nyes<|end|>\n<|user|>\nwhy<|end|>\n<|system|>\nend<|end|>\n" and got[0].chosen_spans == "14:24"
     assert got[0].rejected == "<|assistant|>\nno<|end|>\n" and got[2].prompt == "<|user|>\nx<|end|>\n<|user|>\ny<|end|>\n"

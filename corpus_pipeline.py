@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from evidentia.llm import line_dedup, minhash, mixing, packing, quality
-from evidentia.llm._shared import table, written
+from evidentia.llm._shared import keep, scratch, table
 from evidentia.session import ship
 
 
@@ -19,16 +19,19 @@ def reject_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without the lines that an earlier document or line has, within one word; documents of which nothing but repeats, short lines included, is left go."""
+    """Texts without the lines that an earlier document or line has, equal at any length or within one word; documents that lose lines and keep none but blank ones go."""
     ship(spark)
     return _counted(docs, line_dedup.without_emptied(docs))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group that is linked at a similarity of 0.8, with the smallest id; documents without words stay."""
+    """One row of each group that is linked at a similarity of 0.8: that with the smallest id.
+
+    Decided by row, so an id with several texts loses only the text that is a copy. Rows without words stay, and rows without an id if no
+    row with an id has their set.
+    """
     ship(spark)
-    kept = minhash.near_duplicates(docs, percent=80).filter(~F.col("kept") & F.col("doc_id").isNotNull()).select("doc_id").distinct()
-    return docs.join(written(kept, "not-kept"), "doc_id", "left_anti").select(*docs.columns)
+    return minhash.without_near_duplicates(docs, percent=80)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -62,8 +65,7 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    for k, (name, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if k < len(STAGES) - 1:
-            docs = written(docs, f"stage-{name}")
-    return docs
+    for name, stage in STAGES[:-1]:
+        with scratch(spark):  # what a stage wrote on its way goes once its output is written
+            docs = keep(stage(spark, docs, sf_dir), f"stage-{name}")
+    return STAGES[-1][1](spark, docs, sf_dir)

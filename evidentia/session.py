@@ -13,8 +13,17 @@ PACKAGE = Path(__file__).resolve().parent
 _shipped: set[str] = set()
 
 
+#: Arrow batches end at so many bytes instead of Spark's 64 MB: a worker's memory then depends on the longest row and not on thousands of rows.
+BATCH_KEY, BATCH_BYTES, SPARKS_OWN = "spark.sql.execution.arrow.maxBytesPerBatch", 4 << 20, 64 << 20
+
+
 def ship(spark: SparkSession) -> SparkSession:
-    """Send the package's modules to the executors, once for an application, so that no executor needs a copy of the repository."""
+    """Send the package's modules to the executors, once for an application, so that no executor needs a copy of the repository.
+
+    Also bounds the session's Arrow batches, if their size is still Spark's own.
+    """
+    if spark.conf.get(BATCH_KEY, str(SPARKS_OWN)).rstrip("b") == str(SPARKS_OWN):
+        spark.conf.set(BATCH_KEY, str(BATCH_BYTES))
     app = spark.sparkContext.applicationId
     if app not in _shipped:
         path = os.path.join(tempfile.mkdtemp(prefix="evidentia-"), f"{PACKAGE.name}.zip")

@@ -40,22 +40,23 @@ def is_url(source: Column) -> Column:
     return source.rlike(r"^(?:https?://|git@|ssh://|git://)")
 
 
-def middleware_class(arg: Column) -> Column:
-    """(operator, control) of a route middleware, null for handlers and anything unknown. The order of the tests matters."""
-    a = F.trim(arg)
-    tail = F.trim(F.element_at(F.split(a, r"\."), -1))
-
-    def says(pattern: str) -> Column:
-        return a.rlike(pattern) | tail.rlike(pattern)
+#: Patterns of route middleware, in order, with the operator and the control that its removal stands for.
+MIDDLEWARE = (
+    (fixed.PASSPORT, "M1", "authentication"),
+    (fixed.MIDDLEWARE_VALIDATION, "M5", "validation"),
+    (fixed.MIDDLEWARE_AUTHORIZATION, "M1", "authorization"),
+    (fixed.MIDDLEWARE_AUTHENTICATION, "M1", "authentication"),
+)
 
-    def made(operator: str, control: str) -> Column:
-        return F.struct(F.lit(operator).alias("operator"), F.lit(control).alias("control"))
 
-    known = F.when(a.rlike(fixed.PASSPORT), made("M1", "authentication"))
-    known = known.when(says(fixed.MIDDLEWARE_VALIDATION), made("M5", "validation"))
-    known = known.when(says(fixed.MIDDLEWARE_AUTHORIZATION), made("M1", "authorization"))
-    known = known.when(says(fixed.MIDDLEWARE_AUTHENTICATION), made("M1", "authentication"))
-    return F.when((a != "") & ~a.rlike(fixed.INLINE_HANDLER), known)
+def middleware_class(arg: Column) -> Column:
+    """(operator, control) of a route middleware, by the whole argument or its last name; null for handlers and anything unknown."""
+    whole = F.trim(arg)
+    last = F.trim(F.element_at(F.split(whole, r"\."), -1))
+    known = F.lit(None)
+    for pattern, operator, control in reversed(MIDDLEWARE):
+        known = F.when(whole.rlike(pattern) | last.rlike(pattern), F.struct(F.lit(operator).alias("operator"), F.lit(control).alias("control"))).otherwise(known)
+    return F.when((whole != "") & ~whole.rlike(fixed.INLINE_HANDLER), known)
 
 
 def denies(body: Column) -> Column:

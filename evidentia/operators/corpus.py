@@ -15,11 +15,11 @@ BUCKETS = 256
 def fingerprints(files: DataFrame, app: str = "app", file: str = "file", text: str = "text", buckets: int = BUCKETS) -> DataFrame:
     """app and fingerprint: a hash over the hashes of its files in order of their names, in two levels.
 
-    Files are hashed where they are read, and only (name, hash) moves; names are dealt by their first hash byte, so that no task holds
-    more than a 256th of a program's. Any change of a name or a text changes it.
+    Files are hashed where they are read, and only (name, hash) moves; names are dealt by the first byte of their md5, so that no task holds
+    more than a 256th or so of a program's. Any change of a name or a text changes it.
     """
     item = F.struct(F.col(file).alias("f"), F.sha2(F.coalesce(F.col(text), F.lit("")).cast("binary"), 256).alias("h"))
-    bucket = F.pmod(F.crc32(F.col(file).cast("binary")), F.lit(buckets))
+    bucket = F.pmod(F.conv(F.substring(F.md5(F.col(file).cast("binary")), 1, 2), 16, 10).cast("int"), F.lit(buckets))
     parts = files.select(app, bucket.alias("b"), item.alias("x")).groupBy(app, "b").agg(F.array_sort(F.collect_list("x")).alias("xs"))
     hashed = lambda x: F.concat(x["f"], F.lit("\n"), x["h"], F.lit("\n"))
     parts = parts.select(app, "b", F.sha2(F.array_join(F.transform("xs", hashed), "").cast("binary"), 256).alias("h"))

@@ -115,12 +115,19 @@ def heldout_pick(matches: DataFrame, label: str, position: str) -> DataFrame:
 
 
 def unmatched(found: DataFrame, labels: DataFrame, keys: list[str], window: int = WINDOW, *, start: str = "start_line") -> DataFrame:
-    """Findings whose start lies near no label of the same keys. labels: keys, label_line."""
-    near = labels.select(*keys, (F.col("label_line") - window).alias("lo_"), (F.col("label_line") + window).alias("hi_"))
-    condition = F.col(start).between(F.col("lo_"), F.col("hi_"))
+    """Findings whose start lies near no label of the same keys. labels: keys, label_line, and label_last if a label has several lines.
+
+    Joined on equal keys and a bin of the window's size, so that a file with many of both isn't compared in pairs.
+    """
+    size = 2 * window + 1
+    last = "label_last" if "label_last" in labels.columns else "label_line"
+    near = labels.select(*keys, (F.col("label_line") - window).alias("lo_"), (F.col(last) + window).alias("hi_"))
+    near = near.withColumn("bin_", F.explode(F.sequence(F.floor(F.col("lo_") / size), F.floor(F.col("hi_") / size))))
+    binned = found.withColumn("bin_", F.floor(F.col(start) / size))
+    condition = (binned["bin_"] == near["bin_"]) & F.col(start).between(F.col("lo_"), F.col("hi_"))
     for k in keys:
-        condition = condition & (found[k] == near[k])
-    return found.join(near, condition, "left_anti")
+        condition = condition & (binned[k] == near[k])
+    return binned.join(near, condition, "left_anti").drop("bin_")
 
 
 def heldout_summary(results: DataFrame) -> DataFrame:
@@ -132,3 +139,42 @@ def heldout_summary(results: DataFrame) -> DataFrame:
 def benchmark(rows: DataFrame, bucket: str, detector: str, names: list[str]) -> DataFrame:
     """Recall of each detector for each bucket, one column a detector. rows: bucket, detector, tp, fn."""
     return rows.groupBy(bucket).agg(*[rate(F.sum(F.when(F.col(detector) == n, F.col("tp"))), F.sum(F.when(F.col(detector) == n, F.col("tp") + F.col("fn")))).alias(n) for n in names])
+
+
+def _buckets(results: DataFrame, column: str, name: str) -> DataFrame:
+    """app and, in order of the column's values, a map from each to tp, fn and recall."""
+    hit = F.sum(F.col("detected").cast("int"))
+    by = results.groupBy("app", column).agg(hit.alias("tp"), (F.count("*") - hit).alias("fn"))
+    entry = F.struct(F.col(column).alias("key"), F.struct("tp", "fn", rate(F.col("tp"), F.col("tp") + F.col("fn")).alias("recall")).alias("value"))
+    return by.groupBy("app").agg(F.map_from_entries(F.array_sort(F.collect_list(entry))).alias(name))
+
+
+def evaluate(labels: DataFrame, found: DataFrame, baseline: DataFrame, window: int = WINDOW) -> tuple[DataFrame, DataFrame]:
+    """A whole evaluation, whatever detector made the findings: a result for each label, and a summary for each app with its roll-ups.
+
+    labels, found and baseline as in score_mutations(); every row of baseline is a finding on an unmutated program.
+    """
+    results = score_mutations(labels, found, baseline, window)
+    out = summary(results, baseline.groupBy("app").agg(F.count("*").alias("baseline_fp")))
+    return results, out.join(_buckets(results, "operator", "by_operator"), "app").join(_buckets(results, "control_class", "by_control_class"), "app")
+
+
+def score_heldout(labels: DataFrame, found: DataFrame, window: int = WINDOW) -> tuple[DataFrame, DataFrame]:
+    """Findings against labels made elsewhere: a result for each label, and a summary for each app, with findings near no label and recall by class.
+
+    labels: app, label_id, file, start_line, end_line, control_class. found: app, position, and the columns of findings.
+    """
+    claims = control_classes("vulnerability_type", "cwe", "title", "description", "data_flow_summary")
+    f = found.withColumn("name", basename(F.col("file"))).withColumn("claims", claims)
+    ground = labels.withColumn("name", basename(F.col("file"))).withColumnsRenamed({"start_line": "label_start", "end_line": "label_end"})
+    matches = interval_matches(ground.select("app", "label_id", "name", "label_start", "label_end", "control_class"), f.select("app", "name", "start_line", "end_line", "position", "claims", "title"), ["app", "name"], window)
+    picked = heldout_pick(matches.withColumn("class_ok", F.array_contains("claims", F.col("control_class"))), "label_id", "position")
+    picked = picked.select("label_id", F.lit(True).alias("detected"), "class_ok", F.col("title").alias("matched_title"), F.col("start_line").alias("matched_line"))
+    results = labels.join(picked, "label_id", "left").withColumns({c: F.coalesce(c, F.lit(False)) for c in ("detected", "class_ok")})
+    spans = ground.select("app", "name", F.col("label_start").alias("label_line"), F.col("label_end").alias("label_last"))
+    stray = unmatched(f.select("app", "name", "start_line"), spans, ["app", "name"], window).groupBy("app").agg(F.count("*").alias("n_findings_unmatched"))
+    hit, ok = F.sum(F.col("detected").cast("int")), F.sum((F.col("detected") & F.col("class_ok")).cast("int"))
+    out = results.groupBy("app").agg(F.count("*").alias("n_labels"), hit.alias("n_detected"), rate(hit, F.count("*")).alias("recall"), rate(ok, hit).alias("class_ok_rate"))
+    out = out.join(found.groupBy("app").agg(F.count("*").alias("n_findings")), "app", "left").join(stray, "app", "left")
+    out = out.withColumns({c: F.coalesce(c, F.lit(0)) for c in ("n_findings", "n_findings_unmatched")})
+    return results, out.join(_buckets(results, "control_class", "by_control_class"), "app")

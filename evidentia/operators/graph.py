@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..session import cut
+
 
 def latest_definitions(methods: DataFrame, position: str) -> DataFrame:
     """One row for each full_name: of several definitions the last loaded counts."""
@@ -45,11 +47,18 @@ def resolved_handlers(exprs: DataFrame, methods: DataFrame, expr: str = "handler
 
 
 def reachable(edges: DataFrame, roots: DataFrame, hops: int) -> DataFrame:
-    """(root, node, hops): nodes within the given number of hops, with the least number. edges: source, target; roots: root."""
+    """(root, node, hops): nodes within the given number of hops, with the least number. edges: source, target; roots: root.
+
+    Beyond two hops each frontier is cut from its lineage, so that no hop makes those before it again.
+    """
     edges = edges.select("source", "target").distinct()
     seen = frontier = roots.select("root", F.col("root").alias("node"), F.lit(0).alias("hops")).distinct()
     for hop in range(1, hops + 1):
         step = frontier.join(edges, F.col("node") == F.col("source")).select("root", F.col("target").alias("node")).distinct()
         frontier = step.join(seen, ["root", "node"], "left_anti").withColumn("hops", F.lit(hop))
+        if hops > 2:
+            frontier = cut(frontier)
+            if frontier.isEmpty():
+                break
         seen = seen.unionByName(frontier)
     return seen

@@ -9,6 +9,7 @@ from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import fixed
@@ -132,10 +133,15 @@ def rank(column: Column, order: tuple[str, ...]) -> Column:
 def greedy_intervals(rows: DataFrame, keys: list[str], order: list[Column], start: str, end: str, *carry: str) -> DataFrame:
     """Rows of each key kept in order: one stays unless it overlaps one that stayed before. Overlap isn't passed on.
 
-    One fold for each key, over the intervals of one file and class: start, end and the order's columns only.
+    Rows of a key are sorted by their start and cut where an interval touches none before it: the pieces can't affect one another, and one fold
+    takes one piece, whose length is what overlaps and not what a file has.
     """
+    by_start = W.partitionBy(*keys).orderBy(start, end)
+    reached = F.max(end).over(by_start.rowsBetween(W.unboundedPreceding, -1))
+    cut = rows.withColumn("cut_", F.coalesce((F.col(start) > reached).cast("int"), F.lit(0)))
+    pieces = cut.withColumn("piece_", F.sum("cut_").over(by_start.rowsBetween(W.unboundedPreceding, W.currentRow)))
     item = F.struct(*[c.alias(f"o{k}") for k, c in enumerate(order)], F.col(start).alias("s"), F.col(end).alias("e"), *[F.col(c) for c in carry])
-    groups = rows.groupBy(*keys).agg(F.array_sort(F.collect_list(item)).alias("items"))
+    groups = pieces.groupBy(*keys, "piece_").agg(F.array_sort(F.collect_list(item)).alias("items"))
     none = F.filter("items", lambda x: F.lit(False))
     fold = F.aggregate("items", none, lambda acc, x: F.when(F.exists(acc, lambda y: (x["s"] <= y["e"]) & (y["s"] <= x["e"])), acc).otherwise(F.concat(acc, F.array(x))))
     out = groups.select(*keys, F.explode(fold).alias("x"))

@@ -7,7 +7,7 @@ import tempfile
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 PACKAGE = Path(__file__).resolve().parent
 _shipped: set[str] = set()
@@ -35,6 +35,20 @@ def ship(spark: SparkSession) -> SparkSession:
     return spark
 
 
+def cut(df: DataFrame) -> DataFrame:
+    """df from a checkpoint in the folder that the cluster names in spark.checkpoint.dir; only a session on one machine gets a folder of its own."""
+    context = df.sparkSession.sparkContext
+    named = context.getConf().get("spark.checkpoint.dir") or df.sparkSession.conf.get("spark.checkpoint.dir", None)
+    if not named:
+        if not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        named = tempfile.mkdtemp(prefix="evidentia-")
+        df.sparkSession.conf.set("spark.checkpoint.dir", named)
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(named)
+    return df.checkpoint()
+
+
 def local_session(cores: int = 8, partitions: int = 8, memory: str = "8g") -> SparkSession:
     """A session on one machine, for tests and the bench."""
     spark = (

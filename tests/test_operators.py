@@ -4,7 +4,7 @@ import random
 from pyspark.sql import functions as F
 
 from evidentia.functions.rules import rules
-from evidentia.operators import contexts, evaluation, evidence, graph, judge, metrics, mutation, shortlist
+from evidentia.operators import analysis, contexts, evaluation, evidence, graph, judge, metrics, mutation, shortlist
 
 ROUTER = """const express = require('express');
 app.get('/admin', requireAdmin, showAdmin);
@@ -237,3 +237,87 @@ def test_validation_needs_a_write_below(spark):
     g = spark.createDataFrame([("f", 1), ("f", 100), ("g", 5)], "file string, line int")
     w = spark.createDataFrame([("f", 61), ("f", 100)], "file string, line int")
     assert {(r.file, r.line) for r in mutation.validations_before_writes(g, w, ["file"], "line").collect()} == {("f", 1)}
+
+
+FLOW = "sink_id bigint, paths array<struct<source: string, sink: string, steps: array<struct<file: string, line_number: int, method: string, code: string>>>>"
+
+
+def program(spark):
+    methods, calls, files = relations(spark)
+    more = spark.createDataFrame([(14, "query", "db.query('x' + req.body.n)", "r.js", 6, "query", "r:showProfile"), (15, "body", "req.body.n", "r.js", 6, "body", "r:showProfile"), (16, "query", "db.query(q)", "r.js", 1, "query", "nobody")], CALLS)
+    flows = spark.createDataFrame([(14, [("a", "b", [("r.js", 6, "m", "c")])])], FLOW)
+    return analysis.Program(methods, calls.union(more), files, flows)
+
+
+def test_analysis_from_relations_to_findings(spark):
+    """A judge that reports every context once, and the absence of a guard on each route twice in overlapping lines."""
+
+    def answer(prompt):
+        kind, found = ("missing_access_control", [item(vulnerability_type="missing_access_control", cwe="CWE-862", required_control="auth", missing_control_reasoning="deletes any user's data")]), None
+        if prompt.startswith("### Candidate function"):
+            found = kind[1] * 2
+        elif "Static sink patterns matched" in prompt:
+            assert "Path 1:" in prompt and "Static source/taint-origin patterns matched: " in prompt
+            found = [item(), item(data_flow_summary="There are no data flow paths")]
+        return json.dumps({"findings": found or []}), False, 2, 1
+
+    told, p = [], program(spark)
+    out = analysis.analyze(p, lambda c: judge.judged_by(c, answer), mode="all", progress=lambda *a: told.append(a))
+    ctx = {(r.mode, r.context_id): r for r in out.contexts.collect()}
+    assert {k[0] for k in ctx} >= {"injection", "absence"} and ("injection", "r.js:r:showProfile:5") in ctx and sum(k[1].startswith("absence-route:") for k in ctx) == 2
+    assert "authorization" in ctx["absence", "absence-route:r.js:/admin:2"].guard_controls
+    found = analysis.report_order(out.findings).collect()
+    assert [f.severity for f in found] == ["high"] * len(found) and {f.mode for f in found} == {"injection", "absence"} and told == [("contexts", len(ctx)), ("findings", len(found))]
+    assert len({f.context_id for f in found if f.mode == "absence"}) == len([f for f in found if f.mode == "absence"]) and [f.vulnerability_type for f in found if f.mode == "injection"] == ["Sql Injection"]
+    # One budget: a single context is the first route; ungrounded contexts show the file and no guards.
+    few = analysis.extracted(p, mode="absence", lang="javascript", most=1, grounding="raw").collect()
+    assert [r.context_id for r in few] == ["absence-route:r.js:/admin:2"] and few[0].guard_controls == [] and "     1│const express" in few[0].prompt and few[0].grounding == "raw"
+
+
+def test_evaluate_in_one_call(spark):
+    labels = spark.createDataFrame([(f"{a}{k}", a, o, c, "src/i.js", 10 * k, 10 * k) for a, k, o, c in [("x", 1, "M1", "authentication"), ("x", 30, "M2", "ownership"), ("y", 1, "M1", "authentication")]], "run_id string, app string, operator string, control_class string, file string, start_line int, end_line int")
+    found = spark.createDataFrame([("x1", 0, "i.js", 11, 11, "Missing Authentication", "", "t", "", ""), ("x1", 1, "i.js", 500, 500, "z", "", "t", "", "")], FOUND)
+    results, total = evaluation.evaluate(labels, found, spark.createDataFrame([("x", "i.js", 77), ("x", "j.js", 5)], "app string, file string, start_line int"))
+    assert results.count() == 3
+    got = {r.app: r for r in total.collect()}
+    assert (got["x"].tp, got["x"].fn, got["x"].fp, got["x"].baseline_fp, got["x"].recall) == (1, 1, 3, 2, 0.5) and got["y"].recall == 0
+    assert got["x"].by_operator["M1"].recall == 1.0 and got["x"].by_operator["M2"].fn == 1 and set(got["x"].by_control_class) == {"authentication", "ownership"}
+
+
+def test_heldout_in_one_call(spark):
+    labels = spark.createDataFrame([("a", "l1", "routes/x.js", 10, 12, "authorization"), ("a", "l2", "y.js", 10, 10, "session"), ("b", "l3", "x.js", 1, 1, "session")], "app string, label_id string, file string, start_line int, end_line int, control_class string")
+    found = spark.createDataFrame([("a", 0, "x.js", 30, 31, "Weak Session", "", "t0", "", ""), ("a", 1, "lib/x.js", 12, 12, "Missing Role Check", "", "t1", "", ""), ("a", 2, "x.js", 33, 90, "z", "", "t2", "", ""), ("a", 3, "y.js", 31, 31, "session", "", "t3", "", "")], "app string, position int, file string, start_line int, end_line int, vulnerability_type string, cwe string, title string, description string, data_flow_summary string")
+    results, total = evaluation.score_heldout(labels, found)
+    by = {r.label_id: r for r in results.collect()}
+    assert (by["l1"].matched_title, by["l1"].class_ok, by["l2"].detected, by["l3"].detected) == ("t1", True, False, False)
+    got = {r.app: r for r in total.collect()}
+    assert (got["a"].n_labels, got["a"].n_detected, got["a"].recall, got["a"].class_ok_rate, got["a"].n_findings, got["a"].n_findings_unmatched) == (2, 1, 0.5, 1.0, 4, 2)
+    assert got["a"].by_control_class["session"].fn == 1 and (got["b"].n_findings, got["b"].n_findings_unmatched) == (0, 0)
+
+
+def test_unmatched_equals_all_pairs(spark):
+    random.seed(9)
+    labels = [(random.randint(0, 1), s := random.randint(0, 300), s + random.randint(0, 60)) for _ in range(12)]
+    found = [(i, random.randint(0, 1), random.randint(0, 400)) for i in range(200)]
+    a, b = spark.createDataFrame(found, "f int, k int, start_line int"), spark.createDataFrame(labels, "k int, label_line int, label_last int")
+    got = {r.f for r in evaluation.unmatched(a, b, ["k"], 7).collect()}
+    assert got == {f[0] for f in found if not any(k == f[1] and lo - 7 <= f[2] <= hi + 7 for k, lo, hi in labels)}
+
+
+def test_required_literals():
+    from evidentia.functions.rule_table import RULES
+    from evidentia.functions.rules import required_literal
+
+    assert [required_literal(p) for p in (r"[a-z]+@[a-z]+\.com", "a|b", "(?i)abc-d", r"x*yy(z)", r"\bexec\(")] == [".com", "", "-", "yy", "exec("]
+    import re
+
+    for rule in RULES:
+        literal = required_literal(rule[3])
+        for text in ("os.system(x)", "res.redirect(u)", "app.get('/x', isAdmin, h)", "db.query('a' + b)", literal):
+            assert not re.search(rule[3], text) or literal in text
+
+
+def test_reachable_far(spark):
+    e = spark.createDataFrame([(f"n{k}", f"n{k + 1}") for k in range(9)], "source string, target string")
+    got = {(r.node, r.hops) for r in graph.reachable(e, spark.createDataFrame([("n0",)], "root string"), 20).collect()}
+    assert got == {(f"n{k}", k) for k in range(10)}

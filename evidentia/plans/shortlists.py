@@ -31,15 +31,6 @@ def rule_shortlist(spark, d):
     return shortlist.shortlist(c.line_view(spark, d), c.LINE_RULES, "code").groupBy("source", "category").agg(F.count("*").alias("n"))
 
 
-@query("topk_candidates", f"""
-WITH {c.LINES}, H AS (SELECT doc_id, line FROM L WHERE {any_sql(c.LINE_RULES, "code")})
-SELECT doc_id, count(*) AS n_hits, min(line) AS first_position FROM H GROUP BY doc_id ORDER BY n_hits DESC, first_position, doc_id LIMIT 20""")
-def topk_candidates(spark, d):
-    """O1: documents with most hits."""
-    hits = shortlist.shortlist(c.line_view(spark, d), c.LINE_RULES, "code")
-    return hits.groupBy("doc_id").agg(F.count("*").alias("n_hits"), F.min("line").alias("first_position")).orderBy(F.desc("n_hits"), "first_position", "doc_id").limit(20)
-
-
 @query("source_semi", f"""
 WITH {c.LINES} SELECT doc_id, source FROM documents WHERE doc_id IN (SELECT doc_id FROM L WHERE {any_sql(c.SOURCE_RULES, "code")})""")
 def source_semi(spark, d):
@@ -66,15 +57,6 @@ def guard_anti(spark, d):
     return shortlist.without_guard(found, shortlist.guards(view, c.GUARD_RULES, "code"), "doc_id")
 
 
-@query("guard_evidence", f"""
-WITH {c.LINES}, G AS (SELECT doc_id, line, trim(code, ' ') AS code, {first_sql(c.GUARD_RULES, "code", "control")} AS control FROM L)
-SELECT doc_id, control, min(line) AS line, substr(code, 1, 400) AS code FROM G WHERE control IS NOT NULL GROUP BY doc_id, control, code""")
-def guard_evidence(spark, d):
-    """Distinct guards of a document, the first line of each."""
-    found = shortlist.guards(c.line_view(spark, d), c.GUARD_RULES, "code").withColumns({"file": F.lit(""), "at": F.col("line"), "line": F.lit(0)})
-    return shortlist.distinct_guards(found, "doc_id", "at").select("doc_id", "control", F.col("at").alias("line"), "code")
-
-
 @query("line_guard_scan", f"""WITH {c.LINES} SELECT doc_id, min(line) AS first_guard FROM L WHERE {any_sql(c.GUARD_RULES, "code")} GROUP BY doc_id""")
 def line_guard_scan(spark, d):
     """The first line with a guard."""
@@ -121,53 +103,6 @@ def lang_mode(spark, d):
     return language_counts(c.table(spark, d, "documents"), "source", "lang")
 
 
-@query("import_extract", """
-WITH X AS (SELECT page_id, list_slice(regexp_extract_all(html, 'href="([^"]*)"', 1), 1, 50) AS hrefs FROM pages)
-SELECT page_id, unnest(hrefs) AS href, generate_subscripts(hrefs, 1) - 1 AS pos FROM X""")
-def import_extract(spark, d):
-    """matches of a pattern in order, 50 at most."""
-    found = F.slice(F.regexp_extract_all("html", F.lit('href="([^"]*)"'), F.lit(1)), 1, 50)
-    return c.table(spark, d, "pages").select("page_id", F.posexplode(found).alias("pos", "href")).select("page_id", "href", F.col("pos").cast("bigint").alias("pos"))
-
-
-@query("text_window", f"""
-WITH {c.LINES}, H AS (SELECT doc_id, min(line) AS hit FROM L WHERE {any_sql(c.LINE_RULES, "code")} GROUP BY doc_id)
-SELECT H.doc_id, hit, string_agg(lpad(line::VARCHAR, 6, ' ') || '│' || code, chr(10) ORDER BY line) AS shown
-FROM H JOIN L ON H.doc_id = L.doc_id AND line BETWEEN hit - 2 AND hit + 2 GROUP BY H.doc_id, hit""")
-def text_window(spark, d):
-    """Numbered lines around the first hit."""
-    hit = shortlist.shortlist(c.line_view(spark, d), c.LINE_RULES, "code").groupBy("doc_id").agg(F.min("line").alias("hit"))
-    docs = c.table(spark, d, "documents").select("doc_id", "text").join(hit, "doc_id").withColumn("lines", F.split("text", "\n"))
-    first = F.greatest(F.col("hit") - 2, F.lit(1)).cast("int")
-    shown = F.transform(F.slice("lines", first, (F.col("hit") + 3 - first).cast("int")), lambda x, i: F.concat(F.lpad((first + i).cast("string"), 6, " "), F.lit("│"), x))
-    return docs.select("doc_id", "hit", F.array_join(shown, "\n").alias("shown"))
-
-
-@query("prompt_budget_cut", """
-WITH R AS (SELECT conv_id, turn, length(text) AS n, sum(length(text)) OVER (PARTITION BY conv_id ORDER BY turn) AS used FROM conversations)
-SELECT conv_id, turn, n, used::BIGINT AS used FROM R WHERE used <= 400""")
-def prompt_budget_cut(spark, d):
-    """Turns as long as their running length is within the budget."""
-    from pyspark.sql import Window as W
-
-    w = W.partitionBy("conv_id").orderBy("turn").rowsBetween(W.unboundedPreceding, W.currentRow)
-    rows = c.table(spark, d, "conversations").select("conv_id", "turn", F.length("text").cast("bigint").alias("n"))
-    return rows.withColumn("used", F.sum("n").over(w)).filter("used <= 400")
-
-
-@query("prompt_render", """
-WITH T AS (SELECT conv_id, list({'role': role, 'text': text} ORDER BY turn) AS ts FROM conversations GROUP BY conv_id)
-SELECT conv_id, concat_ws(chr(10), '### Conversation ' || conv_id, CASE WHEN ts[1].role = 'system' THEN 'System: ' || ts[1].text END,
-  array_to_string([x.role || ': ' || x.text for x in ts if x.role <> 'system'], chr(10))) AS prompt FROM T""")
-def prompt_render(spark, d):
-    """one text with conditional parts."""
-    turns = F.transform(F.array_sort(F.collect_list(F.struct("turn", "role", "text"))), lambda x: F.struct(x["role"].alias("role"), x["text"].alias("text")))
-    t = c.table(spark, d, "conversations").groupBy("conv_id").agg(turns.alias("ts"))
-    first = F.get("ts", F.lit(0))
-    body = F.array_join(F.transform(F.filter("ts", lambda x: x["role"] != "system"), lambda x: F.concat(x["role"], F.lit(": "), x["text"])), "\n")
-    return t.select("conv_id", F.concat_ws("\n", F.concat(F.lit("### Conversation "), F.col("conv_id").cast("string")), F.when(first["role"] == "system", F.concat(F.lit("System: "), first["text"])), body).alias("prompt"))
-
-
 @query("contextual_budget", """
 WITH RECURSIVE T AS (SELECT conv_id, list(text ORDER BY turn) AS ts FROM conversations GROUP BY conv_id),
 U AS (SELECT conv_id, ts, [list_sum([length(x) for x in ts[:i]]) for i in range(1, len(ts) + 1)] AS used FROM T)
@@ -195,34 +130,6 @@ def control_class_set(spark, d):
     return c.table(spark, d, "conversations").select("conv_id", "turn", F.array_join(predicates.control_classes(F.col("role"), F.col("text"), classes=classes), ",").alias("classes"))
 
 
-@query("contradiction_filter", """SELECT conv_id, turn FROM conversations WHERE NOT regexp_matches(text, '(?i)no (attacker|user)|(^|[^a-z])not |the the')""")
-def contradiction_filter(spark, d):
-    """Texts that don't take back what they say."""
-    return c.table(spark, d, "conversations").filter(~F.col("text").rlike(r"(?i)no (attacker|user)|(^|[^a-z])not |the the")).select("conv_id", "turn")
-
-
-@query("public_noise_filter", f"""
-WITH {c.PATHS}, X AS (SELECT page_id, path, regexp_replace(path, '^/[a-z]+', '') AS route, regexp_extract(html, '<title>([^<]*)', 1) AS title FROM P JOIN pages USING (page_id))
-SELECT page_id, route FROM X WHERE NOT (route <> '' AND regexp_matches(trim(route), {quote(fixed.PUBLIC_ROUTE)}) AND NOT regexp_matches(title, '(?i)secret|privileg|erth'))""")
-def public_noise_filter(spark, d):
-    """A public route is noise unless its text says that it exposes something."""
-    x = c.page_paths(spark, d).join(c.table(spark, d, "pages").select("page_id", "html"), "page_id")
-    x = x.select("page_id", F.regexp_replace("path", "^/[a-z]+", "").alias("route"), F.regexp_extract("html", "<title>([^<]*)", 1).alias("title"))
-    return x.filter(~(predicates.is_public_route(F.col("route")) & ~F.col("title").rlike("(?i)secret|privileg|erth"))).select("page_id", "route")
-
-
-@query("over_escalation_filter", f"""
-WITH {c.LINES}, G AS (SELECT doc_id, list({first_sql(c.GUARD_RULES, "code", "control")}) AS controls FROM L GROUP BY doc_id)
-SELECT doc_id FROM G JOIN documents USING (doc_id)
-WHERE NOT (list_has_any(controls, ['authentication', 'session']) AND regexp_matches(text, '(?i)owner|role|er of') AND NOT regexp_matches(text, '(?i)another|idor|secret'))""")
-def over_escalation_filter(spark, d):
-    """A claim beyond the controls that were found."""
-    found = shortlist.guards(c.line_view(spark, d), c.GUARD_RULES, "code").groupBy("doc_id").agg(F.collect_set("control").alias("controls"))
-    docs = c.table(spark, d, "documents").select("doc_id", "text").join(found, "doc_id", "left")
-    has = F.coalesce(F.exists("controls", lambda x: x.isin("authentication", "session")), F.lit(False))
-    return docs.filter(~(has & F.col("text").rlike("(?i)owner|role|er of") & ~F.col("text").rlike("(?i)another|idor|secret"))).select("doc_id")
-
-
 @query("mutation_apply", f"""
 WITH {c.LINES}, H AS (SELECT doc_id, min(line) AS hit FROM L WHERE {any_sql(c.LINE_RULES, "code")} GROUP BY doc_id)
 SELECT L.doc_id, hit, count(*) AS n_lines, md5(string_agg(CASE WHEN line = hit THEN '' ELSE code END, chr(10) ORDER BY line)) AS mutant
@@ -266,29 +173,6 @@ def compression_stats(spark, d):
     return compression(slices, c.table(spark, d, "documents").select(F.col("doc_id").alias("file"), "text"))
 
 
-@query("screen_candidates", f"""
-WITH {c.LINES}, K AS (SELECT source, lang, list(DISTINCT {first_sql(c.LINE_RULES, "code", "category")}) AS found FROM L GROUP BY source, lang)
-SELECT source, lang, array_to_string(list_sort(list_intersect(found, ['Hardcoded Credential', 'Licence Notice', 'Markup Debris'])), ',') AS kept FROM K
-WHERE len(list_intersect(found, ['Hardcoded Credential', 'Licence Notice', 'Markup Debris'])) > 1""")
-def screen_candidates(spark, d):
-    """Groups that have some of a set of marks."""
-    found = shortlist.shortlist(c.line_view(spark, d), c.LINE_RULES, "code").groupBy("source", "lang").agg(F.collect_set("category").alias("found"))
-    kept = F.array_sort(F.array_intersect("found", F.array(*map(F.lit, ("Hardcoded Credential", "Licence Notice", "Markup Debris")))))
-    return found.filter(F.size(kept) > 1).select("source", "lang", F.array_join(kept, ",").alias("kept"))
-
-
-@query("content_fingerprint", """
-WITH H AS (SELECT source, doc_id::VARCHAR AS f, sha256(text) AS h FROM documents)
-SELECT source, count(*) AS n_files, sha256(string_agg(f || chr(10) || h || chr(10), '' ORDER BY f)) AS fingerprint FROM H GROUP BY source""")
-def content_fingerprint(spark, d):
-    """a hash over the hashes of a source's documents, in order of their names; here in one bucket, as SQL has no crc32."""
-    from ..operators.corpus import fingerprints
-
-    docs = c.table(spark, d, "documents").select("source", F.col("doc_id").cast("string").alias("file"), "text")
-    n = docs.groupBy("source").agg(F.count("*").alias("n_files"))
-    return fingerprints(docs, "source", buckets=1).join(n, "source").select("source", "n_files", "fingerprint")
-
-
 @query("group_minimum", """
 SELECT doc_id, source FROM documents WHERE source IN (SELECT source FROM documents JOIN labels USING (doc_id) WHERE toxic = 1 GROUP BY source HAVING count(*) >= 2)""")
 def group_minimum(spark, d):

@@ -9,7 +9,7 @@ from ..functions.text import class_key, clean_type, rate
 from ..operators import evaluation, graph, judge, metrics, shortlist
 from ..sources import writers
 from . import common as c
-from .common import any_sql, first_sql, rate_sql
+from .common import any_sql, first_sql, quote, rate_sql
 
 QUERIES, ORACLES = {}, {}
 
@@ -85,12 +85,16 @@ def route_dedupe(spark, d):
 
 
 @query("type_clean", r"""
-WITH T(kind, cleaned) AS (VALUES ('SQL Injection (CWE-89)', 'SQL Injection'), ('missing_access_control', 'Missing Access Control'), ('open-redirect (cwe-601) ', 'Open Redirect'), ('XSS', 'XSS'), ('a b_c', 'a b_c'))
-SELECT kind, cleaned, CASE WHEN regexp_matches(kind, '(?i)cwe-\d+') THEN upper(regexp_extract(kind, '(?i)cwe-\d+')) ELSE lower(trim(kind)) END AS class_key FROM T""")
+WITH K AS (SELECT p_partkey, p_name, p_type, p_size, p_partkey % 4 AS k FROM part)
+SELECT p_partkey, CASE k WHEN 0 THEN p_name WHEN 3 THEN p_type ELSE array_to_string([upper(x[1]) || x[2:] for x in string_split(p_name, ' ')], ' ') END AS cleaned,
+  CASE k WHEN 0 THEN 'CWE-' || p_size WHEN 1 THEN lower(replace(p_name, ' ', '_')) WHEN 2 THEN 'CWE-' || p_size ELSE lower(p_type) END AS class_key FROM K""")
 def type_clean(spark, d):
-    """F1, A6."""
-    rows = spark.createDataFrame([("SQL Injection (CWE-89)",), ("missing_access_control",), ("open-redirect (cwe-601) ",), ("XSS",), ("a b_c",)], "kind string")
-    return rows.select("kind", clean_type(F.col("kind")).alias("cleaned"), class_key(F.col("kind"), F.col("kind")).alias("class_key"))
+    """Types with a CWE, in snake and kebab case, and as they are."""
+    name, cwe = F.col("p_name"), F.concat(F.lit("cwe-"), F.col("p_size").cast("string"), F.lit(")"))
+    k = F.col("p_partkey") % 4
+    kind = F.when(k == 0, F.concat(name, F.lit(" ("), cwe)).when(k == 1, F.replace(name, F.lit(" "), F.lit("_"))).when(k == 2, F.concat(F.replace(name, F.lit(" "), F.lit("-")), F.lit(" ("), cwe, F.lit(" "))).otherwise(F.col("p_type"))
+    rows = c.table(spark, d, "part").select("p_partkey", kind.alias("kind"))
+    return rows.select("p_partkey", clean_type(F.col("kind")).alias("cleaned"), class_key(F.col("kind"), F.col("kind")).alias("class_key"))
 
 
 @query("json_parse_findings", """
@@ -332,17 +336,44 @@ def report_sarif(spark, d):
     return writers.report_sarif(_document_findings(spark, d))
 
 
-@query("mutation_generate")
+#: A file with a mutation of each kind, below the comment that holds a document; and what comes of it: kind, control, first and last line, path, note.
+GUARDED = """app.get('/SOURCE', requireAuth, isAdmin, (req, res) => { res.send(1); });
+if (req.user.id !== doc.ownerId) {
+  return res.status(403).end();
+}
+if (!req.user.isAdmin) throw new Error('x');
+if (!req.session.user) return res.redirect('/login');
+const errors = validationResult(req);
+if (!errors.isEmpty()) {
+  return res.status(400).end();
+}
+User.save();
+"""
+MADE = (
+    ("M1", "authentication", 1, 1, "dropped route middleware: requireAuth"), ("M1", "authorization", 1, 1, "dropped route middleware: isAdmin"),
+    ("M2", "ownership", 2, 4, "removed ownership check: if (req.user.id !== doc.ownerId)"), ("M3", "authorization", 5, 5, "removed authorization check: if (!req.user.isAdmin)"),
+    ("M4", "session", 6, 6, "removed session check: if (!req.session.user)"), ("M5", "validation", 8, 10, "removed validation-error guard before a write"),
+    ("M5", "validation", 7, 7, "removed validator call before a write"),
+)
+_MADE = ", ".join(f"({', '.join(quote(x) if isinstance(x, str) else str(x) for x in m)})" for m in MADE)
+
+
+@query("mutation_generate", f"""
+WITH D AS (SELECT doc_id, source, len(string_split(text, chr(10))) + 2 AS above, string_split(replace({quote(GUARDED)}, 'SOURCE', source), chr(10)) AS code FROM documents),
+V(operator, control_class, a, b, note) AS (VALUES {_MADE})
+SELECT source AS app, 'd' || doc_id || '.js' AS file, operator, control_class, (above + a)::INTEGER AS start_line, (above + b)::INTEGER AS end_line, CASE operator WHEN 'M1' THEN '/' || source ELSE '' END AS route_path,
+  array_to_string(code[a:b], chr(10)) AS original_text,
+  CASE note WHEN 'dropped route middleware: requireAuth' THEN replace(code[1], 'requireAuth, ', '') WHEN 'dropped route middleware: isAdmin' THEN replace(code[1], 'isAdmin, ', '') ELSE repeat(chr(10), b - a) END AS mutated_text, note FROM D, V""")
 def mutation_generate(spark, d):
-    """M1-M6: mutations of a router and its guards, one file for each source."""
+    """Mutations of a file for each document, which holds it as a comment above the guards."""
     from ..operators.mutation import mutated
 
-    code = F.concat(F.lit("app.get('/"), "source", F.lit("', requireAuth, isAdmin, (req, res) => { res.send(1); });\nif (req.user.id !== doc.ownerId) {\n  return res.status(403).end();\n}\nUser.save();\n"))
-    files = c.table(spark, d, "documents").select("source").distinct().select(F.col("source").alias("app"), F.lit("routes.js").alias("file"), code.alias("text"))
-    return mutated(files)
+    code = F.concat(F.lit("/*\n"), "text", F.lit("\n*/\n"), F.replace(F.lit(GUARDED), F.lit("SOURCE"), F.col("source")))
+    files = c.table(spark, d, "documents").select(F.col("source").alias("app"), F.concat(F.lit("d"), F.col("doc_id").cast("string"), F.lit(".js")).alias("file"), code.alias("text"))
+    return mutated(files).drop("id")
 
 
-@query("call_arguments")
+@query("call_arguments", """SELECT p_partkey, unnest([p_name, ' g(1, 2)', ' ' || chr(39) || p_brand || ', x' || chr(39), ' [a, b]']) AS argument FROM part""")
 def call_arguments(spark, d):
     """P10: top-level arguments of calls."""
     from ..operators.mutation import split_call_args

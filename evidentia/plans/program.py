@@ -312,3 +312,65 @@ def content_fingerprint(spark, d):
     docs = c.table(spark, d, "documents").select("source", F.col("doc_id").cast("string").alias("file"), "text")
     n = docs.groupBy("source").agg(F.count("*").alias("n_files"))
     return fingerprints(docs, "source").join(n, "source").select("source", "n_files", "fingerprint")
+
+
+#: A trigger's category as the control that a label stands for, and a rule's severity as what its finding says.
+LABELLED = {"Shouting": "authorization", "Table": "session", "Noise": "validation"}
+SAID = {"high": "Missing role", "medium": "Session fixation", "low": "Unvalidated input", "info": "Unvalidated input"}
+MEANT = {"high": "authorization", "medium": "session", "low": "validation", "info": "validation"}
+
+
+def _case(table: dict[str, str], column: str) -> str:
+    return f"CASE {column} " + " ".join(f"WHEN {quote(k)} THEN {quote(v)}" for k, v in table.items()) + " END"
+
+
+def _labels(spark, d):
+    """Lines with a trigger as labels, of files named by document."""
+    found = shortlist.triggers(c.line_view(spark, d), c.TRIGGER_RULES, "code")
+    control = F.create_map(*[F.lit(x) for pair in LABELLED.items() for x in pair])[F.col("category")]
+    file, line = F.concat(F.lit("src/d"), F.col("doc_id").cast("string")), F.col("line").cast("int")
+    return found.select(F.col("source").alias("app"), "doc_id", (F.col("doc_id") * 1048576 + F.col("line")).alias("label_id"), file.alias("file"), line.alias("start_line"), line.alias("end_line"), control.alias("control_class"), F.col("category").alias("operator"))
+
+
+def _found(spark, d):
+    """Hits of the line rules as findings of another folder's files of the same names."""
+    hits = shortlist.shortlist(c.line_view(spark, d), c.LINE_RULES, "code")
+    said = F.create_map(*[F.lit(x) for pair in SAID.items() for x in pair])[F.col("severity")]
+    file, line, none = F.concat(F.lit("lib/d"), F.col("doc_id").cast("string")), F.col("line").cast("int"), F.lit("")
+    return hits.select(
+        F.col("source").alias("app"), "doc_id", (F.col("doc_id") * 1048576 + F.col("line")).alias("position"), file.alias("file"), line.alias("start_line"), line.alias("end_line"),
+        said.alias("vulnerability_type"), none.alias("cwe"), F.col("category").alias("title"), none.alias("description"), none.alias("data_flow_summary"),
+    )
+
+
+_SCORED = f"""{c.LINES}, B AS (SELECT source AS app, doc_id, line, {_case(LABELLED, first_sql(c.TRIGGER_RULES, "code", "category"))} AS control FROM L),
+H AS (SELECT source AS app, doc_id, line, {_case(MEANT, first_sql(c.LINE_RULES, "code", "severity"))} AS meant FROM L)"""
+
+
+@query("heldout_scored", f"""
+WITH {_SCORED}, G AS (SELECT * FROM B WHERE control IS NOT NULL), X AS (SELECT * FROM H WHERE meant IS NOT NULL),
+R AS (SELECT G.app, G.doc_id, G.line, count(X.line) > 0 AS detected, coalesce(bool_or(meant = control), false) AS ok FROM G LEFT JOIN X ON X.doc_id = G.doc_id AND X.line BETWEEN G.line - 20 AND G.line + 20 GROUP BY ALL),
+S AS (SELECT app, count(*) AS n_labels, sum(detected::INT)::BIGINT AS n_detected, {rate_sql("sum(detected::INT)", "count(*)")} AS recall, {rate_sql("sum(ok::INT)", "sum(detected::INT)")} AS class_ok_rate FROM R GROUP BY app),
+N AS (SELECT app, count(*) AS n, sum((NOT EXISTS (SELECT 1 FROM G WHERE G.doc_id = X.doc_id AND X.line BETWEEN G.line - 20 AND G.line + 20))::INT)::BIGINT AS stray FROM X GROUP BY app)
+SELECT S.*, coalesce(n, 0) AS n_findings, coalesce(stray, 0) AS n_findings_unmatched FROM S LEFT JOIN N USING (app)""")
+def heldout_scored(spark, d):
+    """A11, J6, J10, O8, eval-heldout: findings against labels made elsewhere, with those near none, for each app."""
+    _, out = evaluation.score_heldout(_labels(spark, d).drop("doc_id", "operator"), _found(spark, d).drop("doc_id"))
+    return out.drop("by_control_class")
+
+
+@query("evaluation_scored", f"""
+WITH {_SCORED}, G AS (SELECT app, doc_id, line, control FROM B WHERE control IS NOT NULL QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY line) = 1),
+X AS (SELECT *, line % 3 <> 0 AS novel FROM H WHERE meant IS NOT NULL), Z AS (SELECT doc_id, count(*) AS n FROM X GROUP BY doc_id),
+R AS (SELECT G.app, G.doc_id, count(X.line) > 0 AS raw, coalesce(bool_or(novel), false)::INT AS hit FROM G LEFT JOIN X ON X.doc_id = G.doc_id AND X.line BETWEEN G.line - 20 AND G.line + 20 GROUP BY ALL),
+P AS (SELECT R.app, count(*) AS n_mutations, sum(hit)::BIGINT AS tp, sum(raw::INT)::BIGINT AS raw, sum(greatest(coalesce(n, 0) - hit, 0))::BIGINT AS stray FROM R LEFT JOIN Z ON R.doc_id = Z.doc_id GROUP BY R.app),
+F AS (SELECT app, count(*) AS baseline_fp FROM X WHERE NOT novel GROUP BY app),
+Q AS (SELECT app, n_mutations, coalesce(baseline_fp, 0) AS baseline_fp, tp, coalesce(baseline_fp, 0) + stray AS fp, n_mutations - tp AS fn, {rate_sql("raw", "n_mutations")} AS recall_raw FROM P LEFT JOIN F USING (app)),
+V AS (SELECT *, coalesce(tp / nullif(tp + fp, 0), 0) AS p, coalesce(tp / nullif(tp + fn, 0), 0) AS r FROM Q)
+SELECT app, n_mutations, baseline_fp, tp, fp, fn, round(p, 3) AS precision, round(r, 3) AS recall, recall_raw, round(coalesce(2 * p * r / nullif(p + r, 0), 0), 3) AS f1 FROM V""")
+def evaluation_scored(spark, d):
+    """A8, J6, J7, O7, O10, corpus eval: one run for each document with its first trigger as the label, less what the baseline has."""
+    labels = shortlist.first_by(_labels(spark, d), ["doc_id"], [F.col("start_line")]).withColumnRenamed("doc_id", "run_id").drop("label_id")
+    found = _found(spark, d).withColumnRenamed("doc_id", "run_id")
+    _, out = evaluation.evaluate(labels, found.drop("app"), found.filter("start_line % 3 = 0").select("app", "file", "start_line"))
+    return out.drop("by_operator", "by_control_class")

@@ -35,17 +35,24 @@ SCHEMA = "doc_id {}, start bigint, length bigint, ids_crc32 bigint, doc_tokens b
 PROBE = " It's naïve—1,234 words\n\n\tthe  end… été ñandú 漢字 \U0001f642 don't!! <|endoftext|>x"
 
 
+def printable_bytes() -> dict[str, int]:
+    """The byte that each character of a byte-level vocabulary stands for: printable bytes are themselves, the others follow from code point 256 on."""
+    plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(b for b in range(256) if b not in plain)}
+
+
 @lru_cache
-def encoder(path: str):
+def encoder(path: str, special: bool = True):
     """A function from a text to the token ids, as uint32, that tokenizers gives for the file with add_special_tokens=False.
 
-    A byte-level BPE whose ids follow the order of its merges has the same ids under tiktoken, which reads its
+    Without `special` the strings of special tokens inside a text are plain text. A byte-level BPE whose ids follow the order of its merges has the same ids under tiktoken, which reads its
     vocabulary from the same file here and is three times as fast. This is checked on the file (form, order of merges)
     and on a probe text; any other file is left to tokenizers.
     """
     from tokenizers import Tokenizer
 
     own = Tokenizer.from_file(path)
+    own.encode_special_tokens = not special
 
     def slow(text: str) -> np.ndarray:
         return np.array(own.encode(text, add_special_tokens=False).ids, np.uint32)
@@ -56,19 +63,18 @@ def encoder(path: str):
         return slow
     import tiktoken
 
-    # Byte-level vocabularies write printable bytes as themselves and the others, in order, from code point 256 on.
-    plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
-    byte = {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(b for b in range(256) if b not in plain)}
-    special = {t["content"]: t["id"] for t in spec.get("added_tokens", []) if t.get("special")}
-    vocab = {bytes(byte[c] for c in t): i for t, i in model["vocab"].items() if t not in special}
+    byte = printable_bytes()
+    named = {t["content"]: t["id"] for t in spec.get("added_tokens", []) if t.get("special")}
+    vocab = {bytes(byte[c] for c in t): i for t, i in model["vocab"].items() if t not in named}
     merges = ["".join(m if isinstance(m, list) else m.split(" ")) for m in model["merges"]]
     made = [model["vocab"][m] for m in merges]
-    if made != sorted(made) or any(t["content"] not in special for t in spec.get("added_tokens", [])):
+    if made != sorted(made) or any(t["content"] not in named for t in spec.get("added_tokens", [])):
         return slow
-    fast = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=vocab, special_tokens=special)
+    fast = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=vocab, special_tokens=named)
+    allowed = {"allowed_special": "all"} if special else {"disallowed_special": ()}
 
     def quick(text: str) -> np.ndarray:
-        return fast.encode_to_numpy(text, allowed_special="all")
+        return fast.encode_to_numpy(text, **allowed)
 
     return quick if np.array_equal(quick(PROBE), slow(PROBE)) else slow
 

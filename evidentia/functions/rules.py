@@ -2,6 +2,10 @@
 
 A rule table is small and fixed for a query, so its patterns become literals of a WHEN chain: each is compiled once, the first that
 hits wins and ends the chain, and no join or regular expression from a column is needed.
+
+Regular expressions are slow on text that they don't match, which is nearly all of it. So each pattern's needed literals are read from its
+parsed form: plain strings of which every match has at least one. marked() looks for each distinct literal of all rule sets once, in the lower-cased text, and keeps
+what occurs as bits; a pattern is tried only where one of its literals does. The literals only rule rows out, so the hits are those of the patterns alone.
 """
 
 from __future__ import annotations
@@ -79,6 +83,84 @@ def required_literal(pattern: str) -> str:
     return best
 
 
+#: Literals of a mask word.
+WORD_BITS = 62
+
+
+def _better(a: frozenset[str] | None, b: frozenset[str] | None) -> frozenset[str] | None:
+    """Of two sets of which each is needed, the one whose shortest literal is longer; then the smaller."""
+    if not a or not b:
+        return a or b
+    return max(a, b, key=lambda x: (min(map(len, x)), -len(x)))
+
+
+def _needed(parsed) -> frozenset[str] | None:
+    """Lower-case literals of which every match of a parsed sequence has one; None if nothing is known."""
+    best, run = None, ""
+    for kind, value in [*parsed, (None, None)]:
+        if kind is _constants.LITERAL and value < 128:
+            run += chr(value).lower()
+            continue
+        if run:
+            best, run = _better(best, frozenset([run])), ""
+        inner = None
+        if kind is _constants.SUBPATTERN:
+            inner = _needed(value[-1])
+        elif kind is _constants.ATOMIC_GROUP:
+            inner = _needed(value)
+        elif kind in (_constants.MAX_REPEAT, _constants.MIN_REPEAT, _constants.POSSESSIVE_REPEAT) and value[0]:
+            inner = _needed(value[2])
+        elif kind is _constants.IN and all(k is _constants.LITERAL and c < 128 for k, c in value):
+            inner = frozenset(chr(c).lower() for _, c in value)
+        elif kind is _constants.BRANCH:
+            parts = [_needed(p) for p in value[1]]
+            inner = frozenset().union(*parts) if all(parts) else None
+        best = _better(best, inner)
+    return best
+
+
+@cache
+def needed_literals(pattern: str) -> frozenset[str]:
+    """Lower-case literals one of which is in the lower-cased text of every match of the pattern; empty if none are known."""
+    try:
+        return _needed(_parser.parse(pattern)) or frozenset()
+    except re.error:  # a pattern that only the other dialect has
+        return frozenset()
+
+
+def _quoted(text: str) -> str:
+    """A string literal of Spark's SQL."""
+    return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def marked(rows: DataFrame, sets: dict[str, list[Rule]], *columns: str) -> DataFrame:
+    """rows with a column for each named set: the ordinal of its first rule that hits any of the columns, null if none does.
+
+    One scan for all sets: every distinct literal is looked for once, and a pattern is tried on what has one of its literals. The
+    expressions go to Spark as text, as building some thousand of them one by one takes longer than matching.
+    """
+    literals = sorted({x for given in sets.values() for r in given for x in needed_literals(r.pattern)})
+    place = {x: divmod(k, WORD_BITS) for k, x in enumerate(literals)}
+    low, *words = [f"mark{k}_" for k in range(len(literals) // WORD_BITS + 2)]
+    masks = [" | ".join(f"IF(contains({low}, {_quoted(x)}), {1 << place[x][1]}L, 0L)" for x in literals if place[x][0] == w) or "0L" for w in range(len(words))]
+
+    def tried(pattern: str) -> str:
+        hit = " OR ".join(f"`{c}` RLIKE {_quoted(pattern)}" for c in columns)
+        needed: dict[int, int] = {}
+        for x in needed_literals(pattern):
+            w, bit = place[x]
+            needed[w] = needed.get(w, 0) | 1 << bit
+        some = " OR ".join(f"({words[w]} & {m}L) <> 0L" for w, m in sorted(needed.items()))
+        return f"({some}) AND ({hit})" if some else hit
+
+    def first(given: list[Rule]) -> str:
+        return f"CASE {' '.join(f'WHEN {tried(r.pattern)} THEN {k}' for k, r in enumerate(given))} END" if given else "CAST(NULL AS INT)"
+
+    out = rows.withColumn(low, F.lower(F.concat_ws("\n", *columns)))
+    out = out.selectExpr("*", *[f"{m} AS {w}" for m, w in zip(masks, words)])
+    return out.selectExpr(*[f"`{c}`" for c in rows.columns if c not in sets], *[f"{first(given)} AS `{name}`" for name, given in sets.items()])
+
+
 def hits(columns: Iterable[Column], pattern: str) -> Column:
     """Whether the pattern is found in a column. A literal that it needs is looked for first, which is far cheaper."""
     literal = required_literal(pattern)

@@ -66,14 +66,14 @@ def function_contexts(candidates: DataFrame, methods: DataFrame, calls: DataFram
     return base.withColumn("data_flow_paths", F.coalesce(F.transform("paths", flow_text), F.array().cast("array<string>"))).drop("paths")
 
 
-def absence_contexts(candidates: DataFrame, methods: DataFrame, calls: DataFrame, files: DataFrame, lang: str, guard_rules: list[Rule]) -> DataFrame:
+def absence_contexts(candidates: DataFrame, methods: DataFrame, calls: DataFrame, files: DataFrame, lang: str, guard_rules: list[Rule], *, mark: str | None = None, guard_lines: DataFrame | None = None) -> DataFrame:
     """candidates: full_name, hits (triggers). Each context has the guard evidence of its method; an empty array is the signal."""
     known = latest_definitions(methods, "id")
     wanted = known.join(candidates.select("full_name", "hits"), "full_name")
     base = _base(wanted, files, lang, "absence:").withColumnRenamed("hits", "control_triggers")
     edges = callers_of(calls, known).join(candidates.select("full_name"), "full_name", "left_semi")
     base = base.join(related(edges, "caller", known, files, RELATED_ABSENCE).withColumnRenamed("refs", "callers"), "full_name", "left").withColumn("callers", F.coalesce("callers", F.array().cast(REF)))
-    found = guard_evidence(known, calls, files, guard_rules, wanted)
+    found = guard_evidence(known, calls, files, guard_rules, wanted, mark=mark, lines=guard_lines)
     return _with_guards(base, found, "full_name").withColumn("route_path", F.lit(""))
 
 
@@ -84,7 +84,7 @@ def _with_guards(contexts: DataFrame, found: DataFrame, key: str) -> DataFrame:
     return contexts.join(evidence, key, "left").withColumn("guard_evidence", F.coalesce("guard_evidence", none))
 
 
-def route_contexts(routes: DataFrame, methods: DataFrame, calls: DataFrame, files: DataFrame, lang: str, guard_rules: list[Rule]) -> DataFrame:
+def route_contexts(routes: DataFrame, methods: DataFrame, calls: DataFrame, files: DataFrame, lang: str, guard_rules: list[Rule], *, mark: str | None = None, guard_lines: DataFrame | None = None) -> DataFrame:
     """One context for each route registration. routes: id, code, filename, line_number, containing, category, route_path.
 
     Guards come from the registration's middleware and from the body of the handler that its last argument names.
@@ -100,7 +100,7 @@ def route_contexts(routes: DataFrame, methods: DataFrame, calls: DataFrame, file
         F.lit("route-middleware").alias("scope"), F.struct(F.lit(0).alias("a"), F.col("pos").cast("bigint").alias("b")).alias("position"),
     )
     named = r.filter("handler is not null").select(F.col("id").alias("route_id"), "handler.*")
-    body = guard_evidence(methods, calls, files, guard_rules, named.select("full_name", "name").distinct()).filter("scope <> 'route-middleware'")
+    body = guard_evidence(methods, calls, files, guard_rules, named.select("full_name", "name").distinct(), mark=mark, lines=guard_lines).filter("scope <> 'route-middleware'")
     body = named.select("route_id", "full_name").join(body, "full_name").select(
         "route_id", "control", "category", "code", "file", "line", "node_id", "scope", F.struct(F.col("position.a").alias("a"), F.col("position.c").alias("b")).alias("position"),
     )

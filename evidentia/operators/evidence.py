@@ -20,26 +20,31 @@ def _bodies(methods: DataFrame, files: DataFrame) -> DataFrame:
     return methods.join(files.select(F.col("file").alias("filename"), "text"), "filename").select("full_name", F.col("filename").alias("file"), F.col("start_line").alias("line"), text.alias("code"))
 
 
-def guard_evidence(methods: DataFrame, calls: DataFrame, files: DataFrame, rules: list[Rule], of: DataFrame | None = None) -> DataFrame:
+def body_guards(methods: DataFrame, files: DataFrame, rules: list[Rule]) -> DataFrame:
+    """Guards in the first lines of each method: body (its full name), control, category, code, file, line."""
+    return guard_lines(_bodies(methods, files), rules).select(F.col("full_name").alias("body"), "control", "category", "code", "file", "line")
+
+
+def guard_evidence(methods: DataFrame, calls: DataFrame, files: DataFrame, rules: list[Rule], of: DataFrame | None = None, *, mark: str | None = None, lines: DataFrame | None = None) -> DataFrame:
     """full_name, control, category, code, file, line, node_id, scope, position.
 
     methods: full_name, name, filename, start_line, end_line. calls: id, name, code, filename, line_number, containing, callee.
-    files: file, text. of: the methods asked for (default all). Calls that name a method are found by a join on identifiers.
+    files: file, text. of: the methods asked for (default all). mark: a column of calls with the ordinal of its guard; lines: body_guards, where they are known already.
+    Calls are reduced to guards before their identifiers are looked at, and identifiers to names of wanted methods before they meet the methods.
     """
     wanted = (of if of is not None else methods).select("full_name", "name").distinct()
-    token = calls.withColumn("token", F.explode(F.array_distinct(F.regexp_extract_all("code", F.lit(r"(\w+)"), F.lit(1)))))
-    naming = guards(token, rules, "code", "name").join(wanted.withColumnRenamed("name", "token"), "token")
+    found = guards(calls, rules, "code", "name", mark=mark)
+    token = found.withColumn("token", F.explode(F.array_distinct(F.regexp_extract_all("code", F.lit(r"(\w+)"), F.lit(1)))))
+    naming = token.join(wanted.withColumnRenamed("name", "token"), "token")
     naming = naming.filter("containing <> full_name").select(
         "full_name", "control", "category", "code", F.col("filename").alias("file"), F.col("line_number").alias("line"), F.col("id").alias("node_id"),
         F.lit("route-middleware").alias("scope"), F.struct(F.lit(0).alias("a"), F.lit("").alias("b"), F.col("id").alias("c"), F.lit(0).alias("d")).alias("position"),
     )
 
-    own_calls = guards(calls, rules, "code", "name").select(
+    own_calls = found.select(
         F.col("containing").alias("body"), "control", "category", "code", F.col("filename").alias("file"), F.col("line_number").alias("line"), F.col("id").alias("node_id"), F.lit(0).alias("d"),
     )
-    own_lines = guard_lines(_bodies(methods, files), rules).select(
-        F.col("full_name").alias("body"), "control", "category", "code", "file", "line", F.lit(-1).cast("bigint").alias("node_id"), F.lit(1).alias("d"),
-    )
+    own_lines = (lines if lines is not None else body_guards(methods, files, rules)).withColumns({"node_id": F.lit(-1).cast("bigint"), "d": F.lit(1)})
     body = own_calls.withColumn("node_id", F.col("node_id").cast("bigint")).unionByName(own_lines)
     callers = at_most(callers_of(calls, methods), "full_name", "caller", CALLERS).join(wanted.select("full_name"), "full_name", "left_semi")
     scopes = wanted.select("full_name", F.col("full_name").alias("body"), F.lit("handler").alias("scope"), F.lit(1).alias("a"))

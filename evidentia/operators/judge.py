@@ -1,22 +1,26 @@
 """What comes after a judge: parsing its answers, filters on them, and greedy removal of overlapping findings.
 
-A judge is a function from a DataFrame (context_id, prompt) to (context_id, response_text, refused, input_tokens, output_tokens).
+A judge is a function from a DataFrame (context_id, prompt) to ASKED rows: what was said, whether it was refused, tokens, and the failure of a call that
+gave no answer (null if it did). Judges are dear and need not say the same twice: whoever uses answers more than once writes them first, as analysis and remembered() do.
 """
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import fixed
 from ..functions.predicates import is_public_route
 from ..functions.text import class_key, clean_type, json_object
+from ..session import hadoop, saved
 
 ANSWER = "context_id string, response_text string, refused boolean, input_tokens bigint, output_tokens bigint"
+ASKED = f"{ANSWER}, failure string"
 TEXTS = (
     "vulnerability_type", "cwe", "severity", "confidence", "title", "description", "context_reasoning", "data_flow_summary", "suggested_fix",
     "operation_class", "required_control", "missing_control_reasoning",
@@ -30,23 +34,69 @@ def replayed(contexts: DataFrame, answers: DataFrame) -> DataFrame:
 
 
 def judged_by(contexts: DataFrame, answer: Callable[[str], tuple[str, bool, int, int]], parallel: int = 4) -> DataFrame:
-    """A judge that calls answer(prompt) -> (text, refused, input tokens, output tokens) in `parallel` partitions; a failing call gives no row."""
+    """A judge that calls answer(prompt) -> (text, refused, input tokens, output tokens) in `parallel` partitions; a failing call gives a row that names its failure."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             rows = []
             for context_id, prompt in zip(pdf["context_id"], pdf["prompt"]):
                 try:
-                    rows.append((context_id, *answer(prompt)))
-                except Exception:  # noqa: BLE001, S112  one item's failure is no one else's
-                    continue
-            yield pd.DataFrame(rows, columns=["context_id", "response_text", "refused", "input_tokens", "output_tokens"])
+                    rows.append((context_id, *answer(prompt), None))
+                except Exception as e:  # noqa: BLE001  one item's failure is no one else's
+                    rows.append((context_id, None, False, 0, 0, f"{type(e).__name__}: {e}"))
+            yield pd.DataFrame(rows, columns=["context_id", "response_text", "refused", "input_tokens", "output_tokens", "failure"])
 
-    return contexts.select("context_id", "prompt").repartition(parallel).mapInPandas(run, ANSWER)
+    return contexts.select("context_id", "prompt").repartition(parallel).mapInPandas(run, ASKED)
+
+
+def whole(answers: DataFrame) -> DataFrame:
+    """Answers with all columns of ASKED; a judge may leave out what it doesn't know. Neither a text nor a refusal is a failure."""
+    kinds = dict(part.strip().rsplit(" ", 1) for part in ASKED.split(","))
+    out = answers.select(*[F.col(n).cast(t).alias(n) if n in answers.columns else F.lit(None).cast(t).alias(n) for n, t in kinds.items()])
+    silent = F.col("response_text").isNull() & ~F.coalesce("refused", F.lit(False))
+    return out.withColumn("failure", F.coalesce("failure", F.when(silent, "no answer")))
+
+
+def remembered(answer: Callable[[DataFrame], DataFrame], folder: str, *, model: str = "", slices: int = 1) -> Callable[[DataFrame], DataFrame]:
+    """A judge that keeps its answers in a folder of Parquet files, by the digest of model and prompt, and asks `answer` only for prompts without one.
+
+    Each distinct prompt is asked once, however many contexts have it. Prompts go in `slices`, each appended when all of it is answered, so a run that is
+    cut off goes on at the last slice; failures are kept too, and asked again by the next run. A context takes the first answer that its prompt got.
+    """
+    stored = f"digest string, run bigint, {ASKED}"
+
+    def known(spark: SparkSession) -> DataFrame:
+        where, files = hadoop(spark, folder)
+        return spark.read.schema(stored).parquet(folder) if files.exists(where) else spark.createDataFrame([], stored)
+
+    def run(contexts: DataFrame) -> DataFrame:
+        spark = contexts.sparkSession
+        asked = saved(contexts.select("context_id", "prompt", F.sha2(F.concat(F.lit(f"{model}\0"), "prompt"), 256).alias("digest")), "asked")
+        have = known(spark).filter("failure is null").select("digest").distinct()
+        todo = saved(asked.join(have, "digest", "left_anti").groupBy("digest").agg(F.min("prompt").alias("prompt")), "to-ask")
+        now = time.time_ns()
+        for k in range(slices):
+            part = todo.filter(F.pmod(F.xxhash64("digest"), F.lit(slices)) == k)
+            if not part.isEmpty():
+                said = whole(answer(part.select(F.col("digest").alias("context_id"), "prompt")))
+                said.select(F.col("context_id").alias("digest"), F.lit(now).cast("bigint").alias("run"), *said.columns).write.mode("append").parquet(folder)
+        said = known(spark).drop("context_id")
+        # An answer comes before any failure, the earliest answer before others, the latest failure before others.
+        order = F.struct(F.col("failure").isNotNull(), F.when(F.col("failure").isNull(), F.col("run")).otherwise(-F.col("run")), "response_text")
+        best = said.groupBy("digest").agg(F.min_by(F.struct(*[c for c in said.columns if c != "digest"]), order).alias("a"))
+        return asked.select("context_id", "digest").join(best, "digest").select("context_id", "a.*").drop("run")
+
+    return run
 
 
 def usage(answers: DataFrame) -> DataFrame:
-    return answers.agg(F.count("*").alias("calls"), F.coalesce(F.sum("input_tokens"), F.lit(0)).alias("input_tokens"), F.coalesce(F.sum("output_tokens"), F.lit(0)).alias("output_tokens"))
+    return whole(answers).agg(*[c.alias(n) for n, c in usage_figures().items()])
+
+
+def usage_figures() -> dict[str, Column]:
+    """What a run of a judge took: calls, those that failed, and tokens."""
+    total = lambda c: F.coalesce(F.sum(c), F.lit(0))
+    return {"calls": F.count("*"), "failures": F.count("failure"), "input_tokens": total("input_tokens"), "output_tokens": total("output_tokens")}
 
 
 def parsed(answers: DataFrame) -> DataFrame:
@@ -86,26 +136,33 @@ def is_placeholder() -> Column:
     return _text("description", "context_reasoning", "data_flow_summary").rlike(fixed.PLACEHOLDER)
 
 
-def kept(items: DataFrame, contexts: DataFrame, mode: str) -> DataFrame:
-    """Items that pass the filters of the mode, with their contexts' columns.
+def dropped(mode: str) -> Column:
+    """Whether the filters of a mode drop an item, next to its context's columns."""
+    return {
+        "injection": asserts_no_path,
+        "absence": lambda: concedes_control() | needs_no_control() | public_noise(F.col("route_path")) | over_escalated(F.col("guard_controls")),
+        "hygiene": is_placeholder,
+    }[mode]()
+
+
+def kept(items: DataFrame, contexts: DataFrame, mode: str | None = None) -> DataFrame:
+    """Items that pass the filters of the mode, or of each context's own (its column mode), with their contexts' columns.
 
     contexts: context_id, file, full_name, start_line, end_line, route_path, guard_controls (array). An item without a valid severity or
-    confidence, or without a type, voids its whole context, if it gets past the filters.
+    confidence, or without a type, voids its whole context, if it gets past the filters. One pass: a context's items, an answer's list, meet in a window.
     """
     rows = items.join(contexts, "context_id")
-    dropped = {
-        "injection": asserts_no_path(),
-        "absence": concedes_control() | needs_no_control() | public_noise(F.col("route_path")) | over_escalated(F.col("guard_controls")),
-        "hygiene": is_placeholder(),
-    }[mode]
-    rows = rows.filter(~dropped)
+    if mode:
+        gone = dropped(mode)
+    else:
+        gone = F.when(F.col("mode") == "injection", dropped("injection")).when(F.col("mode") == "absence", dropped("absence")).otherwise(dropped("hygiene"))
     item = F.col("item")
     valid = F.coalesce(item["severity"].isin(*fixed.SEVERITIES) & item["confidence"].isin(*fixed.CONFIDENCES) & item["vulnerability_type"].isNotNull(), F.lit(False))
-    void = rows.filter(~valid).select("context_id").distinct()
-    return rows.join(void, "context_id", "left_anti")
+    void = F.max((~valid).cast("int")).over(W.partitionBy("context_id"))
+    return rows.filter(~gone).withColumn("void_", void).filter("void_ = 0").drop("void_")
 
 
-def findings(items: DataFrame, model: str = "replay") -> DataFrame:
+def findings(items: DataFrame, model: str = "replay", *carry: str) -> DataFrame:
     """The kept items as findings, with defaults: lines of the context for 0 or none, the type as title."""
     item = F.col("item")
 
@@ -120,7 +177,7 @@ def findings(items: DataFrame, model: str = "replay") -> DataFrame:
         F.concat_ws("#", "context_id", "pos").alias("id"), "context_id", "file", start.alias("start_line"), end.alias("end_line"), F.col("full_name").alias("function"),
         kind.alias("vulnerability_type"), text("cwe").alias("cwe"), text("severity").alias("severity"), text("confidence").alias("confidence"),
         F.when(text("title") != "", text("title")).otherwise(kind).alias("title"), text("description").alias("description"), reason.alias("context_reasoning"),
-        text("data_flow_summary").alias("data_flow_summary"), text("suggested_fix").alias("suggested_fix"), F.lit(model).alias("model"),
+        text("data_flow_summary").alias("data_flow_summary"), text("suggested_fix").alias("suggested_fix"), F.lit(model).alias("model"), *carry,
     )
 
 
@@ -152,5 +209,5 @@ def deduplicated(found: DataFrame) -> DataFrame:
     """Findings of which no better one of the same file and class overlaps; severity, then confidence, then file order decide."""
     ranked = found.withColumn("class_key", class_key(F.col("cwe"), F.col("vulnerability_type")))
     order = [rank(F.col("severity"), fixed.SEVERITIES), rank(F.col("confidence"), fixed.CONFIDENCES), F.col("start_line"), F.col("end_line"), F.col("id")]
-    stay = greedy_intervals(ranked, ["file", "class_key"], order, "start_line", "end_line", "id").select("id")
-    return found.join(stay, "id", "left_semi")
+    stay = greedy_intervals(ranked, ["file", "class_key"], order, "start_line", "end_line", *[c for c in found.columns if c not in ("file", "start_line", "end_line")])
+    return stay.select(*found.columns)

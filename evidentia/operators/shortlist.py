@@ -7,19 +7,23 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.predicates import route_path
-from ..functions.rules import Rule, any_match, attribute, first_match
+from ..functions.rules import Rule, attribute, marked
 
 
-def shortlist(calls: DataFrame, rules: list[Rule], *columns: str) -> DataFrame:
+def ruled(rows: DataFrame, rules: list[Rule], *columns: str, mark: str | None = None) -> DataFrame:
+    """Rows that hit a rule, with rule, the ordinal of the first in order that does. mark: a column that has the ordinal already."""
+    found = rows.withColumn("rule", F.col(mark)) if mark else marked(rows, {"rule": rules}, *columns)
+    return found.filter("rule is not null")
+
+
+def shortlist(calls: DataFrame, rules: list[Rule], *columns: str, mark: str | None = None) -> DataFrame:
     """Rows that hit a rule, with rule (its ordinal) and its category, cwe and severity. The first rule in order wins."""
-    found = calls.withColumn("rule", first_match(rules, *[F.col(c) for c in columns])).filter("rule is not null")
-    return found.withColumns({a: attribute(rules, F.col("rule"), a) for a in ("category", "cwe", "severity")})
+    return ruled(calls, rules, *columns, mark=mark).withColumns({a: attribute(rules, F.col("rule"), a) for a in ("category", "cwe", "severity")})
 
 
-def triggers(calls: DataFrame, rules: list[Rule], *columns: str) -> DataFrame:
+def triggers(calls: DataFrame, rules: list[Rule], *columns: str, mark: str | None = None) -> DataFrame:
     """Rows that hit a trigger, with category, operation and, for routes, route_path."""
-    found = calls.withColumn("rule", first_match(rules, *[F.col(c) for c in columns])).filter("rule is not null")
-    found = found.withColumns({a: attribute(rules, F.col("rule"), a) for a in ("category", "operation")})
+    found = ruled(calls, rules, *columns, mark=mark).withColumns({a: attribute(rules, F.col("rule"), a) for a in ("category", "operation")})
     return found.withColumn("route_path", F.when(F.col("operation") == "route", route_path(F.col(columns[0]))).otherwise(""))
 
 
@@ -28,14 +32,13 @@ def triggers_within(calls: DataFrame, rules: list[Rule], *columns: str) -> DataF
     return triggers(calls, [r for r in rules if r.operation != "route"], *columns)
 
 
-def sources(calls: DataFrame, rules: list[Rule], *columns: str) -> DataFrame:
-    return calls.filter(any_match(rules, *[F.col(c) for c in columns]))
+def sources(calls: DataFrame, rules: list[Rule], *columns: str, mark: str | None = None) -> DataFrame:
+    return ruled(calls, rules, *columns, mark=mark).select(*calls.columns)
 
 
-def guards(rows: DataFrame, rules: list[Rule], *columns: str) -> DataFrame:
+def guards(rows: DataFrame, rules: list[Rule], *columns: str, mark: str | None = None) -> DataFrame:
     """Rows that hit a guard, with its control and category; the first guard in order wins."""
-    found = rows.withColumn("rule", first_match(rules, *[F.col(c) for c in columns])).filter("rule is not null")
-    return found.withColumns({a: attribute(rules, F.col("rule"), a) for a in ("control", "category")})
+    return ruled(rows, rules, *columns, mark=mark).withColumns({a: attribute(rules, F.col("rule"), a) for a in ("control", "category")})
 
 
 def guard_lines(texts: DataFrame, rules: list[Rule], *, text: str = "code", first_line: str = "line") -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import fixed, text
 from ..functions.rule_table import RULES
-from ..functions.rules import first_match, rules
+from ..functions.rules import marked, rules
 from ..operators import contexts, evaluation, evidence, judge, shortlist
 from ..sources import readers
 from . import common as c
@@ -52,8 +52,9 @@ def rule_table(spark, d):
     """Every default rule set over every line, in one pass; first hits by set and rule."""
     snippet = F.get(F.array(*map(F.lit, SNIPPETS)), ((F.col("doc_id") * 7 + F.col("line")) % len(SNIPPETS)).cast("int"))
     lines = c.line_view(spark, d).select(F.concat("code", F.lit(" "), snippet).alias("code"))
-    each = [F.struct(*[F.lit(v).alias(n) for n, v in zip(("ruleset", "lang", "kind"), one)], first_match(rules(*one), F.col("code")).alias("ordinal")) for one in SETS]
-    found = lines.select(F.explode(F.filter(F.array(*each), lambda x: x["ordinal"].isNotNull())).alias("x")).select("x.*")
+    sets = {"_".join(one): rules(*one) for one in SETS}
+    each = [F.struct(*[F.lit(v).alias(n) for n, v in zip(("ruleset", "lang", "kind"), one)], F.col("_".join(one)).alias("ordinal")) for one in SETS]
+    found = marked(lines, sets, "code").select(F.explode(F.filter(F.array(*each), lambda x: x["ordinal"].isNotNull())).alias("x")).select("x.*")
     return found.groupBy("ruleset", "lang", "kind", "ordinal").agg(F.count("*").alias("n"))
 
 

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 
 PACKAGE = Path(__file__).resolve().parent
 _shipped: set[str] = set()
@@ -35,20 +36,46 @@ def ship(spark: SparkSession) -> SparkSession:
     return spark
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """df from a checkpoint in the folder that the cluster names in spark.checkpoint.dir; only a session on one machine gets a folder of its own."""
-    context = df.sparkSession.sparkContext
-    named = context.getConf().get("spark.checkpoint.dir") or df.sparkSession.conf.get("spark.checkpoint.dir", None)
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that the cluster names in spark.checkpoint.dir, which all executors see; only a session on one machine gets a folder of its own."""
+    named = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not named:
-        if not context.master.startswith("local"):
+        if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         named = tempfile.mkdtemp(prefix="evidentia-")
-        df.sparkSession.conf.set("spark.checkpoint.dir", named)
+        spark.conf.set("spark.checkpoint.dir", named)
+    return named.rstrip("/")
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """df from a checkpoint in the shared folder."""
+    context = df.sparkSession.sparkContext
+    named = shared_dir(df.sparkSession)
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(named)
     return df.checkpoint()
 
 
+def hadoop(spark: SparkSession, path: str):
+    """The path and its file system, as Hadoop has them."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return where, where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def saved(df: DataFrame, name: str, figures: dict[str, Column] | None = None) -> DataFrame | tuple[DataFrame, dict[str, int]]:
+    """df, written as Parquet in the shared folder and read back; the folder goes when the application ends.
+
+    With figures, aggregates over df by name, also their values, which the writing job observes on its way.
+    """
+    spark, seen = df.sparkSession, Observation()
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    (df.observe(seen, *[c.alias(n) for n, c in figures.items()]) if figures else df).write.parquet(path)
+    where, files = hadoop(spark, path)
+    files.deleteOnExit(where)
+    back = spark.read.schema(df.schema).parquet(path)
+    return (back, {n: seen.get[n] or 0 for n in figures}) if figures else back
+
+
 def local_session(cores: int = 8, partitions: int = 8, memory: str = "8g") -> SparkSession:
     """A session on one machine, for tests and the bench."""
     spark = (

@@ -1,4 +1,5 @@
 import json
+import os
 import random
 
 from pyspark.sql import functions as F
@@ -249,18 +250,31 @@ def program(spark):
     return analysis.Program(methods, calls.union(more), files, flows)
 
 
-def test_analysis_from_relations_to_findings(spark):
-    """A judge that reports every context once, and the absence of a guard on each route twice in overlapping lines."""
+def asking(folder, fails=()):
+    """A judge that reports every context once, and the absence of a guard twice in overlapping lines; a file of the folder for each call. It stands alone, as workers don't have this module."""
 
     def answer(prompt):
-        kind, found = ("missing_access_control", [item(vulnerability_type="missing_access_control", cwe="CWE-862", required_control="auth", missing_control_reasoning="deletes any user's data")]), None
+        import json
+        import os
+        import uuid
+
+        open(os.path.join(folder, uuid.uuid4().hex), "w").close()
+        if any(word in prompt for word in fails):
+            raise TimeoutError("no answer")
+        base = {"vulnerability_type": "sql_injection", "cwe": "CWE-89", "severity": "high", "confidence": "high", "title": "t", "description": "d"}
+        found = []
         if prompt.startswith("### Candidate function"):
-            found = kind[1] * 2
+            found = [base | {"vulnerability_type": "missing_access_control", "cwe": "CWE-862", "required_control": "auth", "missing_control_reasoning": "deletes any user's data"}] * 2
         elif "Static sink patterns matched" in prompt:
             assert "Path 1:" in prompt and "Static source/taint-origin patterns matched: " in prompt
-            found = [item(), item(data_flow_summary="There are no data flow paths")]
-        return json.dumps({"findings": found or []}), False, 2, 1
+            found = [base, base | {"data_flow_summary": "There are no data flow paths"}]
+        return json.dumps({"findings": found}), False, 2, 1
 
+    return answer
+
+
+def test_analysis_from_relations_to_findings(spark, tmp_path):
+    answer = asking(str(tmp_path))
     told, p = [], program(spark)
     out = analysis.analyze(p, lambda c: judge.judged_by(c, answer), mode="all", progress=lambda *a: told.append(a))
     ctx = {(r.mode, r.context_id): r for r in out.contexts.collect()}
@@ -269,11 +283,37 @@ def test_analysis_from_relations_to_findings(spark):
     found = analysis.report_order(out.findings).collect()
     assert [f.severity for f in found] == ["high"] * len(found) and {f.mode for f in found} == {"injection", "absence"} and told == [("contexts", len(ctx)), ("findings", len(found))]
     assert len({f.context_id for f in found if f.mode == "absence"}) == len([f for f in found if f.mode == "absence"]) and [f.vulnerability_type for f in found if f.mode == "injection"] == ["Sql Injection"]
+    # Every context is asked about once, however often answers and findings are read.
+    assert len(os.listdir(tmp_path)) == len(ctx) == out.counts["calls"] and out.counts == {"contexts": len(ctx), "calls": len(ctx), "failures": 0, "input_tokens": 2 * len(ctx), "output_tokens": len(ctx), "findings": len(found)}
+    assert out.answers.count() == len(ctx) and set(out.seconds) == {"contexts", "answers", "findings"}
     # One budget: a single context is the first route; ungrounded contexts show the file and no guards.
     few = analysis.extracted(p, mode="absence", lang="javascript", most=1, grounding="raw").collect()
     assert [r.context_id for r in few] == ["absence-route:r.js:/admin:2"] and few[0].guard_controls == [] and "     1│const express" in few[0].prompt and few[0].grounding == "raw"
 
 
+def test_answers_are_kept_and_failures_asked_again(spark, tmp_path):
+    calls, store = tmp_path / "calls", tmp_path / "store"
+    calls.mkdir()
+    asked = spark.createDataFrame([(f"c{k}", f"prompt {k % 7}") for k in range(40)], "context_id string, prompt string")
+
+    def run(fails, **more):
+        own = asking(str(calls), fails)
+        out = {r.context_id: r for r in judge.remembered(lambda c: judge.judged_by(c, own, 2), str(store), **more)(asked).collect()}
+        return out, len(os.listdir(calls))
+
+    out, n = run(("prompt 3", "prompt 5"), slices=3)
+    assert n == 7 and len(out) == 40 and {k for k, r in out.items() if r.failure} == {f"c{k}" for k in range(40) if k % 7 in (3, 5)} and out["c3"].failure == "TimeoutError: no answer"
+    assert judge.parsed(spark.createDataFrame([tuple(out["c3"])], judge.ASKED)).count() == 0
+    out, n = run(("prompt 5",))  # only what failed is asked
+    assert n == 9 and {k for k, r in out.items() if r.failure} == {f"c{k}" for k in range(40) if k % 7 == 5}
+    out, n = run(())
+    assert n == 10 and not any(r.failure for r in out.values())
+    out, n = run(("prompt",))  # nothing left to ask
+    assert n == 10 and len(out) == 40
+    out, n = run((), model="another")
+    assert n == 17
+
+
 def test_evaluate_in_one_call(spark):
     labels = spark.createDataFrame([(f"{a}{k}", a, o, c, "src/i.js", 10 * k, 10 * k) for a, k, o, c in [("x", 1, "M1", "authentication"), ("x", 30, "M2", "ownership"), ("y", 1, "M1", "authentication")]], "run_id string, app string, operator string, control_class string, file string, start_line int, end_line int")
     found = spark.createDataFrame([("x1", 0, "i.js", 11, 11, "Missing Authentication", "", "t", "", ""), ("x1", 1, "i.js", 500, 500, "z", "", "t", "", "")], FOUND)

@@ -3,14 +3,15 @@
 A page becomes a sequence of tokens: runs of words and tags. Each word scores positive, each tag negative, by weights learned from
 labelled pages (LABELLED, small pages in the layouts of common publishing systems whose main elements carry the attribute data-main; other labelled
 pages may be given). One linear scan finds the contiguous run of tokens with the largest sum, which is widened to whole blocks. If it lies in an article or main element and
-holds at least half of its words, that element's text is taken, so that a short heading or last paragraph isn't lost; else the run's.
+has at least half of its words, or is a fragment of less than FRAGMENT words, that element's text is taken, so that a short heading or last paragraph isn't lost, nor a list of links; else the run's.
 
 Elements that are no article text wherever they stand are one token each, with their own negative weight, so that one inside an article doesn't
 cut it in two, and their text is dropped: by name (nav, header, footer, aside, form, script, ...), or by a class, id or role that names a menu, header,
 footer, sidebar, notice, advert or reader comment. Names count on block containers only, not on headings, inline elements or inside pre, and
 only if each of their parts is a word of layout, so that related-work or search-trees is none; names of a state (no-sidebar, menu-open) don't count. A name
 marks nothing on an element around an article, main or h1, or, on a page without these and on an article itself, on one with most of the
-page's words, unless it names comments. The headings of a header inside an article or main element stay, as the article's title.
+page's words, unless it names comments. Inside an article or main element a name of words such as related or social marks only what is mostly links, as sections are named so
+too. A form around an article or around most of the page's words is none. A tag or word that can't stand in a head ends it. The headings of a header inside an article or main element stay, as the article's title.
 
 The operator is one pass without a shuffle, linear in a page's length. Defined cases: null and empty html give empty text; a page without tags is all text; unclosed
 elements end where their parent ends; end tags without a start count as tags only, and those of inline elements close no block; a cut last tag counts
@@ -45,6 +46,7 @@ INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font
 INLINE_OTHER = frozenset("button canvas iframe input noscript object option script select style svg template".split())
 PARAGRAPH_ENDS = frozenset("address article aside blockquote div dl fieldset footer form h1 h2 h3 h4 h5 h6 header hr main nav ol p pre section table ul".split())
 OTHER = frozenset("aside button canvas dialog footer form head header iframe input menu nav noscript object option script select style svg template textarea title".split())
+IN_HEAD = frozenset("base basefont bgsound head html link meta noframes noscript script style template title".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6 hgroup".split())
 ROLES = frozenset("alert alertdialog banner complementary contentinfo dialog menu menubar navigation search toolbar".split())
 NEVER = frozenset("html body main pre".split()) | HEADINGS | INLINE
@@ -56,6 +58,8 @@ MARKS = COMMENTS | frozenset(
     " navigation newsletter notice notification outbrain pager pagination popular popup promo promotion recent recommended related search share sharing sidebar signup skip social sponsor"
     " sponsored subscribe taboola toolbar trending widget widgets".split()
 )
+#: Words that sections of an article are named by too: inside one they mark what is mostly links.
+AMBIGUOUS = frozenset("latest popular recent recommended related search share sharing social trending".split())
 LAYOUT = frozenset(
     "area article articles aside bar block blog body bottom box button buttons card cards center column component container content desktop entries entry fixed form global group header"
     " icon icons inner item items large left line link links list main message mobile module news outer page panel post posts primary region right row secondary section side site slot small"
@@ -65,6 +69,9 @@ LAYOUT = frozenset(
 STATE = re.compile(r"(?:no|not|has|with|without|hide|show)[_-].*|.*[_-](?:free|less|open|closed|collapsed|enabled|disabled)", re.I)
 HOLDS = frozenset(("article", "main", "h1"))
 
+#: A run of fewer words is no region of its own inside an article.
+FRAGMENT = 5
+
 LABELLED = (
     "<html><head><title>A day</title></head><body><nav><ul><li><a href='/'>Home</a></li><li><a href='/n'>News</a></li><li><a href='/a'>About us</a></li></ul></nav>"
     "<div class='ad'>Buy two and pay for one</div><article data-main><h1>A day at the lake</h1><p>We left early, before the sun was up, and walked to the lake.</p>"
@@ -108,13 +115,21 @@ def marks(value: str) -> frozenset | None:
     """The words for which a class or id names something other than article text; None if there is none."""
     for name in value.split():
         if not STATE.fullmatch(name):
-            words = [w.lower() for w in re.findall(r"[A-Z]?[a-z]+|[A-Z]+|[0-9]+", name)]
+            words = [p for w in re.findall(r"[A-Z]?[a-z]+|[A-Z]+|[0-9]+", name) for p in _parts(w.lower())]
             found = MARKS.intersection(words)
             if found and all(w in MARKS or w in LAYOUT or len(w) < 4 for w in words):
                 return found
     return None
 
 
+def _parts(word: str) -> list[str]:
+    """A word of a name, in two parts if it is a word for comments and one of layout written together."""
+    for c in COMMENTS:
+        if word.startswith(c) and word[len(c) :] in LAYOUT:
+            return [c, word[len(c) :]]
+    return [word]
+
+
 class Page:
     """Tokens of a page: (kind, value) with kind "text" or "tag" or "mark", and the article and main elements as token ranges."""
 
@@ -161,6 +176,8 @@ class Page:
                     blocks.pop()
 
         def text(value: str) -> None:
+            if stack and elements[stack[-1]][2] == "head" and value.strip():  # words end the head
+                close(len(stack) - 1)
             if value:
                 parts.append(("text", unescape(value), bool(main) and main[-1]))
 
@@ -179,6 +196,8 @@ class Page:
                     close(open_at[name][-1])
                 continue
             top = elements[stack[-1]][2] if stack else ""
+            if top == "head" and name not in IN_HEAD:
+                close(len(stack) - 1)
             if name in PARAGRAPH_ENDS and top == "p" or name == top and name in ("li", "p", "option", "dt", "dd"):
                 close(len(stack) - 1)
             found: dict[str, str] = {}
@@ -213,6 +232,12 @@ class Page:
         bodies = [e[0] for e in elements if e[2] in ("article", "main") and not e[4]]
         headings = [e for e in elements if e[2] in HEADINGS]
         starts, marked = [e[0] for e in headings], {}
+        inside = [0] * (len(self._parts) + 1)
+        for a, b, name, *_ in elements:
+            if name == "a":
+                inside[a] += 1
+                inside[b] -= 1
+        linked = [0, *accumulate(words[k + 1] - words[k] if depth else 0 for k, depth in enumerate(accumulate(inside[:-1])))]
 
         def first_in(places: list[int], a: int, b: int) -> int | None:
             k = bisect_right(places, a)
@@ -227,6 +252,10 @@ class Page:
                     continue
                 if not comments and (not holds or name == "article") and 2 * (words[b] - words[a]) > words[-1]:
                     continue
+                if in_holder and named <= AMBIGUOUS and 2 * (linked[b] - linked[a]) < words[b] - words[a]:
+                    continue
+            elif name == "form" and (first_in(holds, a, b) is not None or 2 * (words[b] - words[a]) > words[-1]):  # a form around the page
+                continue
             elif (body := first_in(bodies, a, b)) is not None:  # left open before the article
                 b = body
             if in_holder and (name == "header" or named and "header" in named):
@@ -310,7 +339,8 @@ def extract(html: str | None, weights: Weights) -> str:
     around = [(b - a, a, b) for a, b in page.holders if a <= first and last <= b]
     if around:
         _, a, b = min(around)
-        if 2 * sum(page.words[first:last]) >= sum(page.words[a:b]):
+        words = sum(page.words[first:last])
+        if 2 * words >= sum(page.words[a:b]) or words < FRAGMENT:
             first, last = a, b
     return page.text(first, last)
 

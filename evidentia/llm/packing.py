@@ -1,14 +1,15 @@
 """Packing into fixed windows by the sum-of-squares rule.
 
-Each partition packs its own documents, without a shuffle and with memory that doesn't grow with the partition beyond
-its open windows. A level array counts the partially filled windows at each fill. A document of s tokens goes to the
+Each partition packs its own documents, without a shuffle. A level array counts the partially filled windows at each fill. A document of s tokens goes to the
 fill h (or a new window) for which the sum of the squared counts after the step is least. Of a document longer than
 a window, full windows are cut first and only the rest is placed.
 
-At the end of a partition the still open windows, of which the rule keeps a mixture of fills, are joined: their pieces fill
-windows one after the other, cut where a window is full. What is left, less than one window, is cut into windows of
-powers of two, which need no padding. So all windows of all partitions are free of padding, and only the pieces of the
-last open windows (at most one window for each fill) are cut beyond need.
+The open windows are bounded. Where they have room for OPEN tokens (LARGE, for documents of more than half a window) no new one is begun; a document that fits into none of them is cut: it completes the window at a fill h and what is left is
+placed at the fill r = h + s - window, as a window of its own. The rule chooses here too: the growth of the sum of squares is that of one window leaving h and one
+coming to r. So a worker holds at most OPEN tokens in windows and the documents in them, whatever the partition.
+
+At the end of a partition no window may be begun any more: the emptiest open window is taken apart and its pieces are placed by the same rule, until one is
+left, which is cut into windows of powers of two, which need no padding. So all windows of all partitions are free of padding, and every shared window comes from the rule.
 
 Defined cases: a null or empty text has only its end token. A null id is carried as null. Repeated rows are packed as
 often as they occur. An empty table gives no rows. Other columns are left aside. Reruns over the same input
@@ -31,6 +32,8 @@ from pyspark.sql import DataFrame, SparkSession
 from ._shared import table
 
 TOKENIZER, END, WINDOW = public_tokenizers.path("byte_bpe_50k.json"), 1, 2048
+#: Tokens that partially filled windows of a partition have room for, and those from which on a document of more than half a window, which pairs with none of its kind, begins none.
+OPEN, LARGE = 384 * 2048, 96 * 2048
 SCHEMA = "doc_id {}, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint"
 PROBE = " It's naïve—1,234 words\n\n\tthe  end… été ñandú 漢字 \U0001f642 don't!! <|endoftext|>x"
 
@@ -84,8 +87,10 @@ class Packer:
 
     def __init__(self, window: int, emit):
         self.window, self.emit = window, emit
+        self.most, self.most_large = OPEN // window, LARGE // window
         self.count = np.zeros(window + 1, np.int64)  # open windows by fill
         self.open: dict[int, deque] = defaultdict(deque)
+        self.n_open = 0
 
     def add(self, doc: int, ids: np.ndarray) -> None:
         w, at = self.window, 0
@@ -93,49 +98,52 @@ class Packer:
             self.emit([(doc, at, ids[at : at + w])])
             at += w
         if at < len(ids):
-            self._place((doc, at, ids[at:]), len(ids) - at)
+            self._place((doc, at, ids[at:]))
+
+    def _take(self, fill: int) -> list:
+        self.count[fill] -= 1
+        self.n_open -= 1
+        return self.open[fill].popleft()
 
-    def _place(self, piece: tuple, s: int) -> None:
+    def _begin(self, fill: int, pieces: list) -> None:
+        self.open[fill].append(pieces)
+        self.count[fill] += 1
+        self.n_open += 1
+
+    def _place(self, piece: tuple) -> None:
         count, w = self.count, self.window
+        doc, start, ids = piece
+        s = len(ids)
         # Growth of the sum of squares when a window goes from fill h to h + s.
-        gain = 2 * (count[s : w + 1] - count[: w + 1 - s]) + 2
+        gain = np.full(w, np.iinfo(np.int64).max)
+        gain[: w + 1 - s] = 2 * (count[s : w + 1] - count[: w + 1 - s]) + 2
         gain[w - s] = 1 - 2 * count[w - s]  # the window is full and leaves
-        gain[count[: w + 1 - s] == 0] = np.iinfo(np.int64).max
-        gain[0] = 2 * count[s] + 1  # a new window
+        gain[count[:w] == 0] = np.iinfo(np.int64).max
+        if self.n_open < (self.most if 2 * s <= w else self.most_large):
+            gain[0] = 2 * count[s] + 1  # a new window
+        elif not count[1 : w + 1 - s].any():  # h too full: its window leaves, and the rest begins one
+            gain[w - s + 1 :] = np.where(count[w - s + 1 : w] > 0, 2 * (count[1:s] - count[w - s + 1 : w]) + 2, gain[w - s + 1 :])
         h = int(gain.argmin())
-        held = []
-        if h:
-            held = self.open[h].popleft()
-            count[h] -= 1
-        held.append(piece)
-        if h + s == w:
-            self.emit(held)
-        else:
-            self.open[h + s].append(held)
-            count[h + s] += 1
+        held = self._take(h) if h else []
+        room = w - h
+        held.append((doc, start, ids[:room]))
+        if s < room:
+            self._begin(h + s, held)
+            return
+        self.emit(held)
+        if s > room:
+            self._begin(s - room, [(doc, start + room, ids[room:])])
 
     def close(self) -> None:
-        window, room = [], self.window
-
-        def put(piece: tuple) -> None:
-            nonlocal window, room
-            doc, start, ids = piece
-            while len(ids):
-                window.append((doc, start, ids[:room]))
-                used = min(room, len(ids))
-                start, ids, room = start + used, ids[used:], room - used
-                if not room:
-                    self.emit(window)
-                    window, room = [], self.window
-
-        for fill in sorted(self.open, reverse=True):
-            for held in self.open[fill]:
-                for piece in held:
-                    put(piece)
-        rest, left = window, self.window - room
+        while self.n_open > 1:
+            pieces = self._take(min(fill for fill, own in self.open.items() if own))
+            self.most = self.most_large = 0
+            for piece in pieces:
+                self._place(piece)
+        pieces = next((own[0] for own in self.open.values() if own), [])
+        left = sum(len(ids) for _, _, ids in pieces)
         while left:
-            window, room = [], (size := 1 << (left.bit_length() - 1))
-            pieces, rest = rest, []
+            window, room, rest = [], (size := 1 << (left.bit_length() - 1)), []
             for k, (doc, start, ids) in enumerate(pieces):
                 window.append((doc, start, ids[:room]))
                 used = min(room, len(ids))
@@ -144,9 +152,10 @@ class Packer:
                     rest = ([(doc, start + used, ids[used:])] if used < len(ids) else []) + pieces[k + 1 :]
                     break
             self.emit(window)
-            left -= size
+            pieces, left = rest, left - size
         self.open.clear()
         self.count[:] = 0
+        self.n_open = 0
 
 
 def _pack(tokenizer: str, window: int, end: int):

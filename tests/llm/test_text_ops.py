@@ -96,6 +96,37 @@ def test_packing_follows_the_rule():
         assert int((p.count.astype(np.int64) ** 2).sum()) == min(trials)
 
 
+@pytest.mark.parametrize("low,high", [(1100, 1101), (1030, 2000), (700, 1500), (1, 4000)])
+def test_packing_bounds_open_windows(low, high):
+    """Documents that can't pair, too, close windows by the rule; few windows are open, and no more than the last ones are no full windows."""
+    closed, rng, most = [], np.random.default_rng(2), 0
+    p = packing.Packer(2048, closed.append)
+    for k in range(5000):
+        p.add(k, np.full(rng.integers(low, high), k, np.uint32))
+        most = max(most, p.n_open)
+        assert p.n_open == p.count.sum()
+    by_rule = sum(len(w) > 1 for w in closed)
+    p.close()
+    shared = [w for w in closed if len(w) > 1]
+    assert most <= packing.OPEN // 2048 and by_rule >= len(shared) - packing.OPEN // 2048
+    if low == 1100:
+        assert most < 100 and by_rule >= 0.9 * len(shared)
+    sizes = [sum(len(ids) for _, _, ids in w) for w in closed]
+    rest = [n for n in sizes if n < 2048]
+    assert len(rest) == len(set(rest)) and all(n & (n - 1) == 0 for n in rest)
+    found = {}
+    for w in closed:
+        for doc, start, ids in w:
+            assert (ids == doc).all()
+            found.setdefault(doc, []).append((start, len(ids)))
+    for doc, pieces in found.items():
+        at = 0
+        for start, n in sorted(pieces):
+            assert start == at
+            at += n
+    assert len(found) == 5000 and sum(sizes) == sum(sum(n for _, n in v) for v in found.values())
+
+
 # --- media -----------------------------------------------------------------------------------------------------------------------------------------------------------------
 
 
@@ -523,6 +554,25 @@ def labelled_text(page):
     return p.text(inside[0], inside[-1] + 1)
 
 
+def test_html_pages_that_lost_text():
+    """A head left open, a form round the page, sections named by words of layout, an article of linked words, and comments under a name written together."""
+    weights, words = html_text.Weights(html_text.LABELLED), " ".join(f"w{k}" for k in range(60))
+    get = lambda html: html_text.extract(html, weights)
+    assert get(f"<html><head><title>T</title><body><p>{words}") == words == get(f"<head><meta a=b><title>T</title>{words}")
+    assert get(f"<html><head><title>T</title><script>x</script></head><body><p>{words}</p>") == words
+    assert get(f"<body><form id='aspnetForm'><div class='content'><p>{words}</p></div></form>") == words
+    assert get(f"<body><form><input><p>Search here</p></form><div><p>{words}</p></div>") == words
+    for name in ("id='social'", "id='search'", "class='latest'", "class='related'"):
+        part = f"<section {name}><h2>Social effects</h2><p>In the latest version it is said.</p></section>"
+        assert get(f"<article><h1>A</h1><p>{words}</p>{part}<p>End.</p></article>") == f"A {words} Social effects In the latest version it is said. End."
+        links = f"<div {name}><ul><li><a href=1>Another story</a></li><li><a href=2>And one more</a></li></ul></div>"
+        assert get(f"<article><h1>A</h1><p>{words}</p>{links}<p>End.</p></article>") == f"A {words} End."
+    linked = "".join(f"<p><a href={k}>w{k}</a></p>" for k in range(20))
+    assert get(f"<body><article>{linked}</article>") == " ".join(f"w{k}" for k in range(20))
+    assert get(f"<article><p>{words}</p></article><ol class='commentlist'><li><p>I like {words}</p></li></ol>") == words
+    assert html_text.marks("commentlist") and html_text.marks("comment-form") and not html_text.marks("commentary") and not html_text.marks("commenting")
+
+
 def test_html_weights_are_learned_and_decide():
     """Each labelled page comes out right with the weights of the others but one page; other weights change pages of both kinds."""
     pages, right = html_text.LABELLED, 0

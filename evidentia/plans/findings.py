@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import fixed
 from ..functions.text import class_key, clean_type, rate
-from ..operators import evaluation, graph, judge, metrics, shortlist
+from ..operators import evaluation, graph, judge, metrics, shortlist, taint
 from ..sources import writers
 from . import common as c
 from .common import any_sql, first_sql, quote, rate_sql
@@ -78,6 +78,30 @@ def reachability(spark, d):
     return graph.reachable(edges, methods.select(F.col("full_name").alias("root")), 2).select("root", "node", "hops")
 
 
+_FLOWS = """E AS (SELECT DISTINCT 'c' || o_custkey AS source, 'p' || l_partkey AS target FROM orders JOIN lineitem ON o_orderkey = l_orderkey
+UNION SELECT 'p' || l_partkey, 's' || l_suppkey FROM lineitem WHERE l_returnflag = 'R' UNION SELECT 'c' || o_custkey, 's' || l_suppkey FROM orders JOIN lineitem ON o_orderkey = l_orderkey WHERE l_returnflag = 'A'
+UNION SELECT 's' || s_suppkey, 'n' || s_nationkey FROM supplier)"""
+
+
+@query("taint_paths", f"""
+WITH RECURSIVE {_FLOWS}, W AS (SELECT 'c' || c_custkey AS source, ['c' || c_custkey] AS steps FROM customer
+UNION ALL SELECT W.source, list_append(steps, E.target) FROM W JOIN E ON steps[-1] = E.source WHERE len(steps) <= 4 AND NOT list_contains(steps, E.target)),
+R AS (SELECT 'n' || n_nationkey AS sink, source, steps, row_number() OVER (PARTITION BY n_nationkey, source ORDER BY len(steps), steps) AS k FROM W JOIN nation ON steps[-1] = 'n' || n_nationkey)
+SELECT sink, source, k::INTEGER AS rank, (len(steps) - 1)::INTEGER AS length, array_to_string(steps, ' > ') AS steps FROM R WHERE k <= 3""")
+def taint_paths(spark, d):
+    """S3: the first paths from each customer to each nation: by the parts that the customer ordered and the suppliers that ever got them back, or straight by a supplier."""
+    node = lambda letter, c: F.concat(F.lit(letter), F.col(c).cast("string"))
+    items = c.table(spark, d, "lineitem").select("l_orderkey", "l_partkey", "l_suppkey", "l_returnflag")
+    bought = items.join(c.table(spark, d, "orders").select("o_orderkey", "o_custkey"), F.col("o_orderkey") == F.col("l_orderkey"))
+    edges = bought.select(node("c", "o_custkey").alias("source"), node("p", "l_partkey").alias("target"))
+    edges = edges.union(items.filter("l_returnflag = 'R'").select(node("p", "l_partkey"), node("s", "l_suppkey")))
+    edges = edges.union(bought.filter("l_returnflag = 'A'").select(node("c", "o_custkey"), node("s", "l_suppkey")))
+    edges = edges.union(c.table(spark, d, "supplier").select(node("s", "s_suppkey"), node("n", "s_nationkey")))
+    sources, sinks = c.table(spark, d, "customer").select(node("c", "c_custkey").alias("node")), c.table(spark, d, "nation").select(node("n", "n_nationkey").alias("node"))
+    found = taint.flow_paths(edges, sources, sinks, most=3, hops=4)
+    return found.select("sink", "source", "rank", "length", F.array_join("steps", " > ").alias("steps"))
+
+
 @query("route_dedupe", f"""WITH {c.PATHS}, R AS (SELECT *, row_number() OVER (PARTITION BY path ORDER BY page_id) AS k FROM P) SELECT path, page_id FROM R WHERE k = 1""")
 def route_dedupe(spark, d):
     """A4: the first page of each path."""

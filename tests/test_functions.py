@@ -1,3 +1,5 @@
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -86,3 +88,25 @@ def test_control_classes_languages_verbs(spark):
 def test_hash_split_is_near_its_share(spark, share, least, most):
     rows = spark.range(1000).select(text.hash_split(F.col("id").cast("string"), "s", share).alias("h"))
     assert least <= rows.filter("h").count() <= most
+
+
+def test_needed_literals_and_marks(spark):
+    from evidentia.functions.rule_table import RULES
+
+    assert sorted(rules.needed_literals(r"(?:os\.system|popen)\s*\(")) == ["os.system", "popen"]
+    assert [sorted(rules.needed_literals(p)) for p in (r"a[bc]d|xyz", r"(?i)Api_?key", r"\w+", r"re(cv|ad)+", r"(x|\d)yy")] == [["abd", "acd", "xyz"], ["api"], [], ["re"], ["yy"]]
+    texts = ["os.system(x)", "OS.SYSTEM", "res.redirect(req.query.u)", "app.get('/x', isAdmin, h)", "db.query('a' + b)", "eval", "open\n", "", None, "Ünïcode API_KEY = 'abcdefghijklmnop'", "plain prose of no interest", "popen recv read SHA1 SHA12"]
+    for rule in RULES:
+        for text in filter(None, texts):
+            assert not re.search(rule[3], text) or any(x in text.lower() for x in rules.needed_literals(rule[3]))
+    sets = {f"{a}_{b}_{k}": rules.rules(a, b, k) for a, b, k in dict.fromkeys(r[:3] for r in RULES)} | {"none": [], "free": [rules.Rule(r"^\w+$", "any"), rules.Rule("popen", "p")]}
+    rows = spark.createDataFrame([(k, t, "eval" if k % 2 else None) for k, t in enumerate(texts)], "id int, code string, name string")
+    columns = [F.col("code"), F.col("name")]
+    want = {r.id: r for r in rows.select("id", *[rules.first_match(given, *columns).alias(n) for n, given in sets.items()]).collect()}
+    for singly in (10**6, 0):  # one by one, and by an automaton
+        rules.SINGLY, before = singly, rules.SINGLY
+        try:
+            got = {r.id: r for r in rules.marked(rows, sets, "code", "name").collect()}
+        finally:
+            rules.SINGLY = before
+        assert all(got[i][n] == want[i][n] for i in want for n in sets)

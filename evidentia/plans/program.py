@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import fixed, text
 from ..functions.rule_table import RULES
-from ..functions.rules import marked, rules
-from ..operators import contexts, evaluation, evidence, judge, shortlist
+from ..functions.rules import Rule, marked, rules
+from ..operators import analysis, contexts, evaluation, evidence, judge, shortlist
 from ..sources import readers
 from . import common as c
 from .common import any_sql, first_sql, quote, rate_sql
@@ -375,3 +376,48 @@ def evaluation_scored(spark, d):
     found = _found(spark, d).withColumnRenamed("doc_id", "run_id")
     _, out = evaluation.evaluate(labels, found.drop("app"), found.filter("start_line % 3 = 0").select("app", "file", "start_line"))
     return out.drop("by_operator", "by_control_class")
+
+
+CHECK_RULES = [Rule(r"[0-9]{4}", "Long Number", "CWE-547", "low")]
+#: What the judge below says of a context of each mode: type, CWE, and words that its mode's filters drop.
+SAID_OF = {"injection": ("sql_injection", "CWE-89", "no data flow path was shown"), "absence": ("missing_access_control", "CWE-862", "the required control is present"), "hygiene": ("weak_number", "CWE-547", "a dummy key")}
+
+
+def _document_program(spark, d) -> analysis.Program:
+    """Documents as files of one method each, whose lines are its calls."""
+    docs = c.table(spark, d, "documents")
+    me, file = F.concat(F.lit("m"), F.col("doc_id").cast("string")), F.concat(F.lit("d"), F.col("doc_id").cast("string"))
+    methods = docs.select(F.col("doc_id").alias("id"), me.alias("name"), me.alias("full_name"), file.alias("filename"), F.lit(1).alias("start_line"), F.size(F.split("text", "\n")).alias("end_line"), F.array().cast("array<string>").alias("parameters"), F.lit("").alias("return_type"))
+    line = F.col("line").cast("int")
+    calls = c.line_view(spark, d).select((F.col("doc_id") * 1048576 + F.col("line")).alias("id"), F.lit("line").alias("name"), "code", file.alias("filename"), line.alias("line_number"), F.lit("").alias("callee"), me.alias("containing"))
+    return analysis.Program(methods, calls, docs.select(file.alias("file"), "text"))
+
+
+def _says(asked: DataFrame) -> DataFrame:
+    """A judge made of expressions: of each context a finding, the same with less weight, and one that the filters drop; a void item for injections in every seventh document."""
+    mode, number = F.split("context_id", r"\|")[0], F.regexp_extract("context_id", r"d([0-9]+):", 1).cast("int")
+    said = lambda k: F.create_map(*[F.lit(x) for m, v in SAID_OF.items() for x in (m, v[k])])[mode]
+
+    def item(severity, told):
+        reason = F.when(mode == "absence", told).otherwise("another user's row is returned")
+        rest = F.when(mode == "absence", "").otherwise(told)
+        return F.struct(said(0).alias("vulnerability_type"), said(1).alias("cwe"), severity.alias("severity"), F.lit("high").alias("confidence"), F.lit("t").alias("title"), rest.alias("description"), rest.alias("data_flow_summary"), reason.alias("missing_control_reasoning"), F.lit(0).alias("start_line"))
+
+    plain, first = F.lit("another user's row is returned"), F.when((mode == "injection") & (number % 7 == 0), "grave").otherwise("high")
+    text = F.to_json(F.struct(F.array(item(F.lit("low"), plain), item(first, plain), item(F.lit("critical"), said(2))).alias("findings")))
+    return asked.select("context_id", text.alias("response_text"), F.lit(False).alias("refused"), F.length("prompt").cast("bigint").alias("input_tokens"), F.lit(1).cast("bigint").alias("output_tokens"))
+
+
+@query("analyze_end_to_end", f"""
+WITH {c.LINES}, N AS (SELECT doc_id, len(string_split(text, chr(10)))::INTEGER AS n FROM documents), T AS (SELECT doc_id, line::INTEGER AS line, {first_sql(c.TRIGGER_RULES, "code", "operation")} AS op FROM L),
+M AS (SELECT DISTINCT doc_id FROM T WHERE op <> 'route'),
+R AS (SELECT 'injection' AS mode, doc_id, 1 AS start_line, n AS end_line FROM N WHERE doc_id % 7 <> 0 AND doc_id IN (SELECT doc_id FROM L WHERE {any_sql(c.LINE_RULES, "code")})
+UNION ALL SELECT 'hygiene', doc_id, 1, n FROM N WHERE doc_id IN (SELECT doc_id FROM L WHERE {any_sql(CHECK_RULES, "code")})
+UNION ALL SELECT 'absence', doc_id, 1, n FROM N WHERE doc_id IN (SELECT doc_id FROM M)
+UNION ALL SELECT 'absence', doc_id, line, line FROM T WHERE op = 'route' AND doc_id NOT IN (SELECT doc_id FROM M))
+SELECT mode, 'd' || doc_id AS file, start_line, end_line, CASE mode WHEN 'injection' THEN 'Sql Injection' WHEN 'absence' THEN 'Missing Access Control' ELSE 'Weak Number' END AS vulnerability_type, 'high' AS severity FROM R""")
+def analyze_end_to_end(spark, d):
+    """analyze, O1-O3, O9, U1, U3, A5: all three modes over a program of all documents, from calls to findings without repeats."""
+    rulesets = {"sink": c.LINE_RULES, "source": c.SOURCE_RULES, "trigger": c.TRIGGER_RULES, "guard": c.GUARD_RULES, "check": CHECK_RULES}
+    out = analysis.analyze(_document_program(spark, d), _says, mode="all", rulesets=rulesets, most=0)
+    return out.findings.select("mode", "file", "start_line", "end_line", "vulnerability_type", "severity")

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..functions import fixed
 from ..functions.text import class_key, clean_type, rate
 from ..operators import evaluation, graph, judge, metrics, shortlist, taint
+from ..session import shared_dir
 from ..sources import writers
 from . import common as c
 from .common import any_sql, first_sql, quote, rate_sql
@@ -348,16 +351,34 @@ def severity_counts(spark, d):
     return writers.severity_counts(_document_findings(spark, d))
 
 
-@query("report_markdown")
+_HITS_SQL = f"""{c.LINES}, H AS (SELECT doc_id, source, line, code, {first_sql(c.LINE_RULES, "code", "category")} AS category, {first_sql(c.LINE_RULES, "code", "cwe")} AS cwe, {first_sql(c.LINE_RULES, "code", "severity")} AS severity FROM L),
+X AS (SELECT *, category || ' in document ' || doc_id AS title FROM H WHERE category IS NOT NULL)"""
+_MARK = "CASE severity " + " ".join(f"WHEN {quote(k)} THEN {quote(v)}" for k, v in fixed.SEVERITY_MARKS.items()) + " END"
+
+
+@query("report_markdown", f"""
+WITH {_HITS_SQL}, T AS (SELECT concat_ws(chr(10), '### ' || {_MARK} || ' [' || upper(severity) || '] ' || title, '', '- **File:** `' || source || ':' || line || '-' || line || '`', '- **Function:** ``', '- **Type:** ' || category || ' (' || cwe || ')', '- **Confidence:** medium', '', code || chr(10), '---' || chr(10)) AS text FROM X
+UNION ALL SELECT {quote(writers.header(writers.Run("documents", model="rules")))} UNION ALL SELECT '## Summary' || chr(10) || chr(10) || '| Severity | Count |' || chr(10) || '|---|---|' UNION ALL SELECT '| ' || {_MARK} || ' ' || upper(severity) || ' | ' || count(*) || ' |' FROM X GROUP BY severity
+UNION ALL SELECT chr(10) || '## Findings' || chr(10))
+SELECT line, count(*) AS n FROM (SELECT unnest(string_split(text, chr(10))) AS line FROM T) GROUP BY line""")
 def report_markdown(spark, d):
-    """K4: the report as one text."""
-    return writers.report_markdown(_document_findings(spark, d), "documents", "rules")
+    """K4, K6: the report as a document in parts, read back: its lines and how often each occurs."""
+    folder = f"{shared_dir(spark)}/report-{uuid.uuid4().hex}"
+    writers.write_sections(spark, folder, writers.markdown_sections(_document_findings(spark, d), writers.Run("documents", model="rules")))
+    return writers.read_document(spark, folder).groupBy("line").agg(F.count("*").alias("n"))
 
 
-@query("report_sarif")
+@query("report_sarif", f"""
+WITH {_HITS_SQL} SELECT cwe AS rule_id, CASE WHEN severity IN ('critical', 'high') THEN 'error' WHEN severity = 'medium' THEN 'warning' ELSE 'note' END AS level, title || ': ' || code AS message, source AS uri, line::INTEGER AS start_line FROM X""")
 def report_sarif(spark, d):
-    """K5: the report as one SARIF document."""
-    return writers.report_sarif(_document_findings(spark, d))
+    """K5, K6: the results of a SARIF document in parts, read back; each is a line."""
+    folder = f"{shared_dir(spark)}/report-{uuid.uuid4().hex}"
+    writers.write_sections(spark, folder, writers.sarif_sections(_document_findings(spark, d)))
+    place = "array<struct<physicalLocation: struct<artifactLocation: struct<uri: string>, region: struct<startLine: int>>>>"
+    result = F.from_json(F.regexp_replace("line", "^,", ""), f"ruleId string, level string, message struct<text: string>, locations {place}")
+    rows = writers.read_document(spark, folder).select(result.alias("r")).filter("r.ruleId is not null")
+    at = F.get("r.locations", F.lit(0))["physicalLocation"]
+    return rows.select(F.col("r.ruleId").alias("rule_id"), "r.level", F.col("r.message.text").alias("message"), at["artifactLocation"]["uri"].alias("uri"), at["region"]["startLine"].alias("start_line"))
 
 
 #: A file with a mutation of each kind, below the comment that holds a document; and what comes of it: kind, control, first and last line, path, note.

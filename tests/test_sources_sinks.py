@@ -28,6 +28,40 @@ def test_reports(spark, tmp_path):
     assert spark.read.text(f"{tmp_path}/report.md").count() > 5
 
 
+def test_reports_in_parts(spark, tmp_path):
+    """The parts make the same documents as the single rows, in order, whatever the number of files; a failure leaves what was there."""
+    rows = [(str(k), "c", f"f{k % 7}.js", k % 5, 9, "fn", f"Type {k % 3}", f"CWE-{k % 3}" if k % 2 else "", ["critical", "low", "info"][k % 3], "low", f"T{k}", f"x \"{k}\"\né", "", "", "", "m") for k in range(300)]
+    found = spark.createDataFrame(rows, NAMES).repartition(5)
+    run = writers.Run("r", "c", "m", ("javascript",), "now", 3, 9, 12, 4, 5, 6, 7.25, (("contexts", 1.0), ("none", 0.0)))
+
+    def document(name):
+        parts = sorted((tmp_path / name).glob("*.txt"))
+        return "".join(p.read_text() for p in parts), len(parts)
+
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        for _ in range(2):  # once more over what is there
+            writers.write_report(found, str(tmp_path), "r", "c", "m")
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    text, n = document("report.md")
+    assert text.rstrip("\n") == writers.report_markdown(found, "r", "m").first().report.replace("- **Model:**", "- **Commit:** `c`\n- **Model:**").rstrip("\n") and n > 3
+    assert json.loads(document("report.json")[0]) == json.loads(writers.report_json(found, "r", "c", "m").first().report)
+    assert json.loads(document("report.sarif.json")[0]) == json.loads(writers.report_sarif(found).first().report)
+    writers.write_report(found.limit(0), str(tmp_path / "none"), "r", "c", "m")
+    assert "No findings" in document("none/report.md")[0] and json.loads(document("none/report.json")[0])["findings"] == [] and json.loads(document("none/report.sarif.json")[0])["runs"][0]["results"] == []
+    head = writers.header(run)
+    assert "- **Languages:** javascript\n" in head and "- **Contexts analyzed:** 3 (of 9 functions discovered, 12 sink pattern matches)\n- **LLM calls:** 4 (5 input / 6 output tokens)\n- **Duration:** 7.2s\n  - stages: contexts 1.0s\n" in head
+    broken = found.withColumn("title", F.raise_error(F.lit("broken")).cast("string"))
+    try:
+        writers.write_report(broken, str(tmp_path), "r", "c", "m")
+        raise AssertionError("no failure")
+    except Exception as e:  # noqa: BLE001
+        assert "broken" in str(e)
+    assert document("report.json")[0].count("ruleId") == 0 and len(json.loads(document("report.json")[0])["findings"]) == 300
+    assert sorted(p.name for p in tmp_path.iterdir()) == ["none", "report.json", "report.md", "report.sarif.json"]
+
+
 def test_graph_relations(spark, tmp_path):
     (tmp_path / "m.json").write_text("\n".join(json.dumps(x) for x in [{"id": 1, "name": "f", "fullName": "a:f", "filename": "a.py", "lineNumber": 2, "lineNumberEnd": -1}, {"id": 2, "name": "g", "fullName": "t:g", "filename": "tests/t.py", "lineNumber": 1}]))
     (tmp_path / "c.json").write_text(json.dumps({"id": 5, "name": "system", "code": "os.system(x)", "filename": "a.py", "lineNumber": 3, "calleeFullName": "os.system", "containingMethodFullName": "a:f"}))

@@ -7,7 +7,9 @@ gave no answer (null if it did). Judges are dear and need not say the same twice
 from __future__ import annotations
 
 import time
+from bisect import bisect_right
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -187,21 +189,70 @@ def rank(column: Column, order: tuple[str, ...]) -> Column:
     return F.when(place > 0, place - 1).otherwise(len(order)).cast("int")
 
 
+#: Intervals of a piece from which on it is folded with a search in sorted order.
+LONG = 500
+
+
+def _pieces(rows: DataFrame, keys: list[str], start: str, end: str) -> DataFrame:
+    """rows with piece_: within a key, intervals that a chain of overlaps joins have one number.
+
+    Rows are dealt by ranges of (key, start), so a hot key is many ranges, and each is scanned by itself. What a range needs from those before it is its first
+    key's greatest end and number of cuts there: a row for each range at most, which is small by its nature and broadcast.
+    """
+    dealt = saved(rows.repartitionByRange(*keys, start, end).withColumn("range_", F.spark_partition_id()), "interval-ranges")
+    by_start = W.partitionBy("range_", *keys).orderBy(start, end)
+    before = W.partitionBy(*keys).orderBy("range_").rowsBetween(W.unboundedPreceding, -1)
+
+    def carried(df: DataFrame, value: Column, name: str, fold: Callable[[str], Column]) -> DataFrame:
+        each = df.groupBy("range_", *keys).agg(value.alias("v_"))
+        return each.withColumn(name, fold("v_").over(before)).filter(F.col(name).isNotNull()).select("range_", *[F.col(k).alias(f"{k}_c") for k in keys], name)
+
+    def joined(df: DataFrame, more: DataFrame) -> DataFrame:
+        on = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"{k}_c")) for k in keys], F.col("l.range_") == F.col("r.range_"))
+        return df.alias("l").join(F.broadcast(more.alias("r")), on, "left").drop(*[f"{k}_c" for k in keys], F.col("r.range_"))
+
+    reached = joined(dealt, carried(dealt, F.max(end), "carry_", F.max))
+    local = F.max(end).over(by_start.rowsBetween(W.unboundedPreceding, -1))
+    marked = reached.withColumn("cut_", F.coalesce((F.col(start) > F.greatest(local, "carry_")).cast("int"), F.lit(0)))
+    numbered = joined(marked, carried(marked, F.sum("cut_"), "cuts_", F.sum))
+    return numbered.withColumn("piece_", F.sum("cut_").over(by_start.rowsBetween(W.unboundedPreceding, W.currentRow)) + F.coalesce("cuts_", F.lit(0)))
+
+
+def _folded(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Of each piece, (s, e) in order of preference, the places of those that stay: kept intervals are apart, so a search finds the only ones that can overlap."""
+    for pdf in batches:
+        stay = []
+        for firsts, lasts in zip(pdf["ss"], pdf["es"]):
+            starts, ends, kept = [], [], []
+            for place, (s, e) in enumerate(zip(firsts.tolist(), lasts.tolist())):
+                k = bisect_right(starts, e)
+                if not k or ends[k - 1] < s:
+                    at = bisect_right(starts, s)
+                    starts.insert(at, s)
+                    ends.insert(at, e)
+                    kept.append(place)
+            stay.append(kept)
+        yield pd.DataFrame({"piece_id": pdf["piece_id"], "stay": stay})
+
+
 def greedy_intervals(rows: DataFrame, keys: list[str], order: list[Column], start: str, end: str, *carry: str) -> DataFrame:
     """Rows of each key kept in order: one stays unless it overlaps one that stayed before. Overlap isn't passed on.
 
     Rows of a key are sorted by their start and cut where an interval touches none before it: the pieces can't affect one another, and one fold
-    takes one piece, whose length is what overlaps and not what a file has.
+    takes one piece, whose length is what overlaps and not what a file has. Long pieces are folded with a search in sorted order, in n log n.
     """
-    by_start = W.partitionBy(*keys).orderBy(start, end)
-    reached = F.max(end).over(by_start.rowsBetween(W.unboundedPreceding, -1))
-    cut = rows.withColumn("cut_", F.coalesce((F.col(start) > reached).cast("int"), F.lit(0)))
-    pieces = cut.withColumn("piece_", F.sum("cut_").over(by_start.rowsBetween(W.unboundedPreceding, W.currentRow)))
     item = F.struct(*[c.alias(f"o{k}") for k, c in enumerate(order)], F.col(start).alias("s"), F.col(end).alias("e"), *[F.col(c) for c in carry])
-    groups = pieces.groupBy(*keys, "piece_").agg(F.array_sort(F.collect_list(item)).alias("items"))
+    groups = _pieces(rows, keys, start, end).groupBy(*keys, "piece_").agg(F.array_sort(F.collect_list(item)).alias("items"))
     none = F.filter("items", lambda x: F.lit(False))
     fold = F.aggregate("items", none, lambda acc, x: F.when(F.exists(acc, lambda y: (x["s"] <= y["e"]) & (y["s"] <= x["e"])), acc).otherwise(F.concat(acc, F.array(x))))
-    out = groups.select(*keys, F.explode(fold).alias("x"))
+    groups = saved(groups, "interval-pieces")
+    out = groups.filter(F.size("items") <= LONG).select(*keys, F.explode(fold).alias("x"))
+    long = groups.filter(F.size("items") > LONG).withColumn("piece_id", F.to_json(F.struct(*keys, "piece_")))
+    if not long.isEmpty():
+        inner = lambda f: F.transform("items", lambda x: x[f].cast("bigint"))
+        stay = long.select("piece_id", inner("s").alias("ss"), inner("e").alias("es")).mapInPandas(_folded, "piece_id string, stay array<int>")
+        kept = F.transform("stay", lambda k: F.element_at("items", k + 1))
+        out = out.unionByName(long.join(stay.hint("merge"), "piece_id").select(*keys, F.explode(kept).alias("x")))
     return out.select(*keys, F.col("x.s").alias(start), F.col("x.e").alias(end), *[F.col(f"x.{c}").alias(c) for c in carry])
 
 

@@ -6,21 +6,22 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import nonblank_lines
+from ..session import saved
+from .selection import medians
 
 
 def compression(contexts: DataFrame, files: DataFrame) -> DataFrame:
-    """One row. contexts: file, code; files: file, text. Files without lines take no part in ratios."""
-    of_file = files.select("file", nonblank_lines(F.col("text")).alias("f"))
-    repo = of_file.agg(F.sum("f").alias("repo_source_loc"))
+    """One row. contexts: file, code; files: file, text. Files without lines take no part in ratios. Medians are selected by counting, so nothing holds all ratios."""
+    of_file = saved(files.select("file", nonblank_lines(F.col("text")).alias("f")), "file-lines")
     rows = contexts.select("file", nonblank_lines(F.col("code")).alias("s")).join(of_file, "file", "left").withColumn("f", F.coalesce("f", F.lit(0)))
-    rows = rows.withColumn("ratio", F.when(F.col("f") > 0, F.col("s") / F.col("f")))
-    out = rows.agg(
-        F.count("*").alias("contexts"), F.median("s").cast("bigint").alias("slice_loc_median"), F.round(F.avg("s"), 1).alias("slice_loc_mean"),
-        F.median("f").cast("bigint").alias("file_loc_median"), F.round(F.median("ratio"), 4).alias("slice_over_file_median"),
-        F.round(F.avg("ratio"), 4).alias("slice_over_file_mean"), F.avg("s").alias("mean_"),
+    rows = saved(rows.select("s", "f", F.when(F.col("f") > 0, F.col("s") / F.col("f")).alias("ratio")), "context-lines")
+    middle = {c: F.lit(v).cast("double") for c, v in medians(rows, "s", "f", "ratio").items()}
+    repo = F.lit(of_file.agg(F.sum("f")).first()[0]).cast("bigint")
+    out = rows.agg(F.count("*").alias("contexts"), F.round(F.avg("s"), 1).alias("slice_loc_mean"), F.round(F.avg("ratio"), 4).alias("slice_over_file_mean"), F.avg("s").alias("mean_"))
+    return out.select(
+        repo.alias("repo_source_loc"), "contexts", middle["s"].cast("bigint").alias("slice_loc_median"), "slice_loc_mean", middle["f"].cast("bigint").alias("file_loc_median"),
+        F.round(middle["ratio"], 4).alias("slice_over_file_median"), "slice_over_file_mean", F.round(F.try_divide(F.col("mean_"), F.nullif(repo, F.lit(0))), 6).alias("slice_over_repo_mean"),
     )
-    over_repo = F.round(F.try_divide(F.col("mean_"), F.nullif(F.col("repo_source_loc"), F.lit(0))), 6)
-    return out.crossJoin(F.broadcast(repo)).withColumn("slice_over_repo_mean", over_repo).drop("mean_")  # one row by one row
 
 
 def shown(grounding: Column, start: Column, end: Column, code: Column) -> tuple[Column, Column]:

@@ -410,7 +410,7 @@ def _says(asked: DataFrame) -> DataFrame:
 
 @query("analyze_end_to_end", f"""
 WITH {c.LINES}, N AS (SELECT doc_id, len(string_split(text, chr(10)))::INTEGER AS n FROM documents), T AS (SELECT doc_id, line::INTEGER AS line, {first_sql(c.TRIGGER_RULES, "code", "operation")} AS op FROM L),
-M AS (SELECT DISTINCT doc_id FROM T WHERE op <> 'route'),
+M AS (SELECT DISTINCT doc_id FROM T WHERE op <> 'route' AND doc_id NOT IN (SELECT doc_id FROM T WHERE op = 'route' AND line = 1)),
 R AS (SELECT 'injection' AS mode, doc_id, 1 AS start_line, n AS end_line FROM N WHERE doc_id % 7 <> 0 AND doc_id IN (SELECT doc_id FROM L WHERE {any_sql(c.LINE_RULES, "code")})
 UNION ALL SELECT 'hygiene', doc_id, 1, n FROM N WHERE doc_id IN (SELECT doc_id FROM L WHERE {any_sql(CHECK_RULES, "code")})
 UNION ALL SELECT 'absence', doc_id, 1, n FROM N WHERE doc_id IN (SELECT doc_id FROM M)

@@ -98,6 +98,47 @@ def item(**more):
     return {"vulnerability_type": "sql_injection", "cwe": "CWE-89", "severity": "high", "confidence": "high", "title": "t", "description": "d", **more}
 
 
+def kept_in_turn(rows):
+    """rows: key, start, end, id, in order of preference."""
+    kept = []
+    for key, s, e, i in rows:
+        if not any(k == key and s <= b and a <= e for k, a, b, _ in kept):
+            kept.append((key, s, e, i))
+    return {i for *_, i in kept}
+
+
+def test_greedy_intervals_of_a_hot_key(spark, monkeypatch):
+    """One key over many ranges, with gaps, with one interval over all ranges, and pieces folded both ways."""
+    rng = random.Random(8)
+    for reach, long in ((4, 500), (60, 20), (60, 500)):
+        monkeypatch.setattr(judge, "LONG", long)
+        rows = [("hot" if rng.random() < 0.8 else rng.choice(["b", None, "c"]), s := rng.randrange(4000), s + rng.randrange(reach), k) for k in range(1500)]
+        rows += [("hot", 500, 3500, 2000)] if reach == 60 else []
+        rows.sort(key=lambda r: (r[3] * 7919) % 2003)
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+        try:
+            df = spark.createDataFrame([(*r, k) for k, r in enumerate(rows)], "key string, a bigint, b bigint, id int, place int")
+            got = judge.greedy_intervals(df, ["key"], [F.col("place")], "a", "b", "id").collect()
+        finally:
+            spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+        assert len(got) == len({r.id for r in got}) and {r.id for r in got} == kept_in_turn(rows)
+
+
+def test_medians_by_counting(spark, monkeypatch):
+    from statistics import median
+
+    from evidentia.operators import selection
+
+    rng = random.Random(4)
+    rows = [(rng.randrange(50), rng.choice([1.5, -2.25, 1e-9, 3e12]) * rng.random(), None if k % 3 else k, 7, None) for k in range(501)]
+    monkeypatch.setattr(selection, "BINS", 8)
+    for n in (501, 500, 2, 1):
+        got = selection.medians(spark.createDataFrame(rows[:n], "a int, b double, c int, d int, e int"), "a", "b", "c", "d", "e")
+        for k, c in enumerate("abcde"):
+            values = [r[k] for r in rows[:n] if r[k] is not None]
+            assert got[c] == (median(values) if values else None)
+
+
 def test_judge_parsing_filters_and_defaults(spark):
     texts = {
         "a": json.dumps({"findings": [item(start_line=0)]}), "b": "```json\n" + json.dumps({"findings": [item(data_flow_summary="There are no data flow paths here"), item(title="")]}) + "\n```",

@@ -262,16 +262,11 @@ def common_counts(sets: list[np.ndarray], wanted: np.ndarray):
     often = size > COMMON
     column = np.repeat(np.where(often, np.cumsum(often) - 1, -1), size)
     width, rare = int(often.sum()), np.repeat((size > 1) & ~often, size)
-    few_values, few_rows = values[rare], rows[rare]
-    pairs = []
-    for d in range(1, COMMON):  # the d-th next set with the same shingle
-        at = np.flatnonzero(few_values[d:] == few_values[:-d])
-        if not len(at):
-            break
-        pairs.append(few_rows[at] * n + few_rows[at + d])
-    pairs, times = np.unique(np.concatenate(pairs), return_counts=True) if pairs else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+    few_values, few_rows = values[rare], rows[rare].astype(np.int32)
+    held = column >= 0
+    rows, column = rows[held].astype(np.int32), column[held].astype(np.int32)
+    del values, order, begin, rare, held
     place = np.full(n, -1)
-    rows, column = rows[column >= 0], column[column >= 0]
     for k in range(0, len(wanted), STRIP):
         strip = wanted[k : k + STRIP]
         place[:] = -1
@@ -282,9 +277,16 @@ def common_counts(sets: list[np.ndarray], wanted: np.ndarray):
             dense = np.zeros((n, min(STRIP, width - c)), np.float32)
             dense[rows[here], column[here] - c] = 1
             out += dense[strip] @ dense.T
-        for i, j in ((pairs // n, pairs % n), (pairs % n, pairs // n)):
-            mine = place[i] >= 0
-            out[place[i[mine]], j[mine]] += times[mine]
+        mine = place[few_rows] >= 0  # pairs of the strip only, so what is held doesn't grow with their number
+        for d in range(1, COMMON):  # the d-th next set with the same shingle
+            same = few_values[d:] == few_values[:-d]
+            if not same.any():
+                break
+            for i, j, ours in ((few_rows[:-d], few_rows[d:], mine[:-d]), (few_rows[d:], few_rows[:-d], mine[d:])):
+                at = np.flatnonzero(same & ours)
+                for part in range(0, len(at), BLOCK):
+                    some = at[part : part + BLOCK]
+                    np.add.at(out.ravel(), place[i[some]] * n + j[some], np.float32(1))
         yield strip, out
 
 

@@ -291,3 +291,18 @@ def test_long_texts_in_pieces(monkeypatch):
         assert everything() == whole
     finally:
         _text._powers.clear()
+
+
+def test_counts_of_long_sets_stay_small():
+    """Two dozen long sets that share nearly everything: the counts are right and need little more than the sets."""
+    import tracemalloc
+
+    rng = np.random.default_rng(3)
+    base = np.unique(rng.integers(0, 1 << 63, 174_762, np.uint64))
+    sets = [np.unique(np.concatenate([base[k:], rng.integers(0, 1 << 63, 50, np.uint64)])) for k in range(24)]
+    tracemalloc.start()
+    got = {int(i): row for strip, out in minhash.common_counts(sets, np.arange(24)) for i, row in zip(strip, out)}
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert all(got[i][j] == (len(sets[i]) if i == j else len(np.intersect1d(sets[i], sets[j]))) for i in (0, 11, 23) for j in range(24) if i != j)
+    assert peak < 400 << 20

@@ -42,11 +42,12 @@ def nonblank_lines(text: Column) -> Column:
     return F.size(F.filter(lines(text), lambda x: ~x.rlike(r"^\s*$"))).cast("bigint")
 
 
-def line_range(all_lines: Column, start: Column, end: Column, most: int = 400) -> Column:
-    """Lines start to end, of which most + 1 at most, joined. A range beyond the text is cut."""
+def line_range(all_lines: Column, start: Column, end: Column, most: int | None = 400) -> Column:
+    """Lines start to end, of which most + 1 at most (None: all), joined. A range beyond the text is cut."""
     first = F.greatest(start, F.lit(1))
     last = F.least(F.size(all_lines), F.when(end >= first, end).otherwise(first))
-    last = F.least(last, first + most)
+    if most is not None:
+        last = F.least(last, first + most)
     return F.array_join(F.slice(all_lines, first, F.greatest(last - first + 1, F.lit(0))), "\n")
 
 

@@ -34,6 +34,26 @@ def test_query(spark, duck, sf_dir, name):
         assert got == rows(names, result.fetchall())
 
 
+@pytest.fixture(scope="module")
+def long_texts(spark, tmp_path_factory):
+    """Documents of 300 lines, with a guard in each line of the second half."""
+    folder = tmp_path_factory.mktemp("long")
+    text = "\n".join(f"{k} " + ("words without any mark " * 5 if k < 150 else f"a licence of x{k}@y.org ") * (1 + k % 2) for k in range(300))
+    spark.createDataFrame([(k, text, "en", "s") for k in range(3)], "doc_id long, text string, lang string, source string").write.parquet(f"{folder}/documents.parquet")
+    return str(folder)
+
+
+@pytest.mark.parametrize("name", ["guard_evidence"])
+def test_long_documents(spark, long_texts, name):
+    """No query reads only the head of a long text."""
+    df = catalogue.QUERIES[name](spark, long_texts)
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{long_texts}/documents.parquet/*.parquet'")
+    result = con.execute(catalogue.ORACLES[name])
+    got = rows(df.columns, [tuple(r) for r in df.collect()])
+    assert got and got == rows([c[0] for c in result.description], result.fetchall())
+
+
 def test_entry(spark):
     import __spark_entry__ as entry
 

@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from . import fixed
 
+#: Characters of a text that a window shows whole.
+WINDOW = 24_000
+
 
 def title_case(text: Column) -> Column:
     """Upper case after every character that isn't a letter, lower case elsewhere."""
@@ -51,13 +54,21 @@ def line_range(all_lines: Column, start: Column, end: Column, most: int | None =
     return F.array_join(F.slice(all_lines, first, F.greatest(last - first + 1, F.lit(0))), "\n")
 
 
-def numbered_window(text: Column, around: Column, most: int = 24_000, per_line: int = 160) -> Column:
-    """The text with numbered lines; of a text longer than most characters, only most / per_line lines before and after `around`."""
-    each, reach, long = lines(text), most // per_line, F.length(text) > most
+def numbered(all_lines: Column, first: Column, last: Column) -> Column:
+    """Lines first + 1 to last with their numbers."""
+    return F.transform(F.slice(all_lines, first + 1, F.greatest(last - first, F.lit(0))), lambda x, i: F.concat(F.lpad((first + i + 1).cast("string"), 6, " "), F.lit("│"), x))
+
+
+def numbered_window(text: Column, around: Column, most: int | None = WINDOW, per_line: int = 160) -> Column:
+    """The text with numbered lines; of a text longer than most characters (None: of none), only most / per_line lines before and after `around`."""
+    each = lines(text)
+    if most is None:
+        return F.array_join(numbered(each, F.lit(0), F.size(each)), "\n")
+    reach, long = most // per_line, F.length(text) > most
     middle = F.greatest(around - 1, F.lit(0))
     first = F.when(long, F.greatest(middle - reach, F.lit(0))).otherwise(0)
     last = F.when(long, F.least(F.size(each), middle + reach)).otherwise(F.size(each))
-    shown = F.transform(F.slice(each, first + 1, F.greatest(last - first, F.lit(0))), lambda x, i: F.concat(F.lpad((first + i + 1).cast("string"), 6, " "), F.lit("│"), x))
+    shown = numbered(each, first, last)
     none = F.array().cast("array<string>")
     before = F.when(first > 0, F.array(F.concat(F.lit("// ... lines 1-"), first.cast("string"), F.lit(" omitted ...")))).otherwise(none)
     omitted = F.concat(F.lit("// ... lines "), (last + 1).cast("string"), F.lit("-"), F.size(each).cast("string"), F.lit(" omitted ..."))

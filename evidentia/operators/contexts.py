@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.predicates import is_public_route, route_verb
 from ..functions.rules import Rule
-from ..functions.text import flow_text, imports, line_range, lines, numbered_window
+from ..functions.text import WINDOW, flow_text, imports, line_range, lines, numbered_window
 from .evidence import guard_evidence
 from .graph import at_most, callees_of, callers_of, latest_definitions, resolved_handlers
 from .mutation import split_call_args
@@ -137,10 +137,10 @@ def distinct_routes(routes: DataFrame) -> DataFrame:
     return routes.groupBy("filename", "line_number").agg(F.min_by(F.struct(*routes.columns), "id").alias("r")).select("r.*")
 
 
-def raw(contexts: DataFrame, files: DataFrame, *arrays: str) -> DataFrame:
-    """The ungrounded form: the numbered file in place of the code, and the given arrays empty."""
+def raw(contexts: DataFrame, files: DataFrame, *arrays: str, most: int | None = WINDOW) -> DataFrame:
+    """The ungrounded form: the numbered file in place of the code (of one longer than most characters a window; None: all), and the given arrays empty."""
     text = files.select("file", "text")
-    out = contexts.join(text, "file", "left").withColumn("code", F.coalesce(numbered_window(F.col("text"), F.col("start_line")), F.lit(""))).drop("text")
+    out = contexts.join(text, "file", "left").withColumn("code", F.coalesce(numbered_window(F.col("text"), F.col("start_line"), most), F.lit(""))).drop("text")
     return out.withColumns({a: F.filter(a, lambda x: F.lit(False)) for a in arrays}).withColumn("grounding", F.lit("raw"))
 
 

@@ -43,7 +43,7 @@ def long_texts(spark, tmp_path_factory):
     return str(folder)
 
 
-@pytest.mark.parametrize("name", ["guard_evidence"])
+@pytest.mark.parametrize("name", ["guard_evidence", "raw_prompt"])
 def test_long_documents(spark, long_texts, name):
     """No query reads only the head of a long text."""
     df = catalogue.QUERIES[name](spark, long_texts)

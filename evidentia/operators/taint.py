@@ -2,19 +2,19 @@
 
 For each pair of a sink and a source that reaches it the first paths come out: no node twice, at most `hops` edges, shorter ones first and then by their nodes in order.
 
-1. A search backwards from the sinks gives each node its least distance to a sink. A partial path goes on only to nodes from which a sink is still within
-   reach, so no work is spent on ways that end nowhere.
-2. Partial paths of a source grow by one edge a layer, for all sinks at once. All those that meet in a node at a layer can go on alike, so only the first `most`
-   of them stay; Spark limits groups before the shuffle. Layers are written, so a lost executor costs one layer.
-3. A path that would come back to a node of its own is cut. Where a source had both a cut path and paths that were left out, one of those left out may be needed: such sources (and no
-   others) run again with more paths kept, until none is left. Without cycles that never happens.
-
-A path has a source other than its sink; edges from a node to itself count for nothing. Nulls among nodes are left out, and repeated edges, sources and sinks count once.
+1. A search from the sources gives each node the least number of edges after which it is reached. Only such nodes get ways to sinks, and only ways that still fit.
+2. Ways grow backwards from the sinks by one edge a layer. Of a node's ways of one length to one sink the first `most` stay: paths that come to the node go on by those, whatever they were
+   before. A row holds the ways of a node to at most `SINKS` sinks, so an edge carries them in one row to the node before. Rows are dealt by that node once, and it picks the first.
+   Sources pick theirs last, from the ways of all lengths at once.
+3. A way that would come back to the node before is cut. Where the node after had a cut way and left others out, one of those may be needed: the sinks concerned (and no
+   others) run again with more ways kept, until none is left. Without cycles that never happens.
+
+Layers are written, so a lost executor costs one layer. A path has a source other than its sink; edges from a node to itself count for nothing. Nulls among nodes are left out, and repeated edges, sources and sinks count once.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -22,61 +22,102 @@ from ..session import saved
 
 #: Paths of a sink, and edges of a path.
 MOST, HOPS = 3, 6
-#: How many times more paths are kept when a pair runs again.
-MORE = 4
+#: How many times more ways are kept when a sink runs again, and sinks of a row.
+MORE, SINKS = 4, 64
 
 
 def flow_paths(edges: DataFrame, sources: DataFrame, sinks: DataFrame, *, most: int = MOST, hops: int = HOPS) -> DataFrame:
     """sink, source, rank (from 1), length (edges), steps (nodes, the source first). edges: source, target; sources and sinks: node."""
     edges = saved(edges.select("source", "target").filter("source <> target").distinct(), "flow-edges")
     ends = saved(sinks.select(F.col("node").alias("sink")).filter("sink is not null").distinct(), "sinks")
-    away = saved(_distances(edges, ends, hops), "sink-distances")
-    starts = sources.select(F.col("node").alias("source")).filter("source is not null").distinct()
-    starts = saved(starts.join(away.filter("near < %d" % hops), F.col("source") == F.col("at"), "left_semi"), "flow-sources")
+    starts = saved(sources.select(F.col("node").alias("source")).filter("source is not null").distinct(), "flow-sources")
+    since = _reached(edges, starts, hops)
+    known = starts.withColumn("start", F.lit(True)).join(since, "source", "full_outer")
+    edges = saved(edges.join(known, "source"), "flow-known-edges")
     out, kept = None, most
     while True:
-        found, again = _searched(edges, away, ends, starts, most, kept, hops)
-        starts = saved(again, "flow-sources")
-        last = starts.isEmpty()
-        found = found if last else found.join(starts, "source", "left_anti")
+        found, again = _searched(edges, ends, most, kept, hops)
+        ends = saved(again, "sinks")
+        last = ends.isEmpty()
+        found = found if last else found.join(ends, "sink", "left_anti")
         out = found if out is None else out.unionByName(found)
         if last:
-            return out
+            break
         kept *= MORE
+    rows = out.select("sink", "source", F.posexplode("ways").alias("pos", "way"))
+    steps = F.concat(F.array("source"), "way", F.array("sink"))
+    return rows.select("sink", "source", (F.col("pos") + 1).alias("rank"), (F.size("way") + 1).alias("length"), steps.alias("steps"))
 
 
-def _distances(edges: DataFrame, ends: DataFrame, hops: int) -> DataFrame:
-    """at and near, the least number of edges from it to any sink, for nodes within reach: sinks have 0."""
-    seen = front = ends.select(F.col("sink").alias("at"), F.lit(0).alias("near"))
-    for hop in range(1, hops + 1):
-        step = edges.join(front.select(F.col("at").alias("target")), "target", "left_semi").select(F.col("source").alias("at")).distinct()
-        front = saved(step.join(seen, "at", "left_anti").withColumn("near", F.lit(hop)), "flow-front")
+def _reached(edges: DataFrame, starts: DataFrame, hops: int) -> DataFrame:
+    """source and since, the least number of edges (from 1) after which a walk from any of the starts is there, for nodes from which it can go on."""
+    front, seen = starts, starts.limit(0).withColumn("since", F.lit(0))
+    for hop in range(1, hops):
+        step = edges.join(front, "source", "left_semi").select(F.col("target").alias("source")).distinct()
+        front = saved(step.join(seen, "source", "left_anti").withColumn("since", F.lit(hop)), "flow-front")
         if front.isEmpty():
             break
         seen = seen.unionByName(front)
     return seen
 
 
-def _searched(edges: DataFrame, away: DataFrame, ends: DataFrame, starts: DataFrame, most: int, kept: int, hops: int) -> tuple[DataFrame, DataFrame]:
-    """The paths of the sources, and the sources for which `kept` partial paths may have been too few."""
-    every = None
-    front = starts.select("source", F.col("source").alias("at"), F.array("source").alias("steps"))
-    group = W.partitionBy("source", "at", "back").orderBy("steps")
-    for hop in range(1, hops + 1):
-        step = front.join(edges.toDF("from_", "to_"), F.col("at") == F.col("from_")).select("source", F.col("to_").alias("at"), "steps")
-        step = step.join(away.filter(F.col("near") + hop <= hops).select("at"), "at", "left_semi")
-        step = step.withColumn("back", F.array_contains("steps", F.col("at"))).withColumn("k", F.row_number().over(group)).filter(F.col("k") <= kept + 1)
-        layer = saved(step.select("source", "at", F.concat("steps", F.array("at")).alias("steps"), "back", "k"), "flow-layer")
-        every = layer if every is None else every.unionByName(layer)
-        front = layer.filter((~F.col("back")) & (F.col("k") <= kept)).select("source", "at", "steps")
-        if front.isEmpty():
+def _searched(edges: DataFrame, ends: DataFrame, most: int, kept: int, hops: int) -> tuple[DataFrame, DataFrame]:
+    """source, sink and ways, the first of all lengths; and the sinks for which `kept` ways of a node may have been too few.
+
+    A way is its nodes between the two ends. edges: source, target, start (whether the source is one), since (null where nothing comes by).
+    """
+    way = F.filter(F.array("sink"), lambda _: F.lit(False))
+    one = F.array(F.struct("sink", F.array(way).alias("ways"), F.lit(False).alias("more")))
+    layer = ends.select(F.col("sink").alias("at"), one.alias("sinks"))
+    every, lost = _carried(edges.filter("start"), layer, 1), None
+    for hop in range(1, hops):
+        inner = edges.filter(F.col("since") + hop <= hops)
+        picked = saved(_picked(_carried(inner, layer, hop), kept), "flow-layer")
+        if picked.isEmpty():
             break
-    short = every.groupBy("source").agg(F.bool_or("back").alias("cut"), F.bool_or((~F.col("back")) & (F.col("k") > kept)).alias("left_out"))
-    done = every.filter((~F.col("back")) & (F.col("k") <= kept)).join(ends, F.col("at") == F.col("sink"))
-    order = W.partitionBy("sink", "source").orderBy(F.size("steps"), "steps")
-    done = done.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= most)
-    found = done.select("sink", "source", "rank", (F.size("steps") - 1).alias("length"), "steps")
-    return found, short.filter("cut and left_out").select("source")
+        gone = picked.filter("lost").select("sink")
+        lost = gone if lost is None else lost.union(gone)
+        few = picked.withColumn("part", F.floor((F.row_number().over(W.partitionBy("source").orderBy("sink")) - 1) / SINKS))
+        few = few.groupBy("source", "part").agg(F.collect_list(F.struct("sink", "ways", "more")).alias("sinks"))
+        layer = few.select(F.col("source").alias("at"), "sinks")
+        every = every.unionByName(_carried(edges.filter("start"), layer, hop + 1))
+    found = saved(_picked(every, most), "flow-paths")
+    gone = found.filter("lost").select("sink")
+    return found.select("source", "sink", "ways"), (gone if lost is None else lost.union(gone)).distinct()
+
+
+def _carried(edges: DataFrame, layer: DataFrame, length: int) -> DataFrame:
+    """source, length, target, sinks: what the edges' targets have, less the ways that come back to the source; cut tells where one did and others had been left out."""
+
+    def free(s: Column) -> Column:
+        ways = F.filter(s["ways"], lambda w: ~F.array_contains(w, F.col("source")))
+        return F.struct(s["sink"], ways.alias("ways"), s["more"], (s["more"] & (F.size(ways) < F.size(s["ways"]))).alias("cut"))
+
+    sinks = F.filter(F.transform("sinks", free), lambda s: (s["sink"] != F.col("source")) & ((F.size(s["ways"]) > 0) | s["cut"]))
+    carried = edges.join(layer, F.col("target") == F.col("at")).select("source", F.lit(length).alias("length"), "target", sinks.alias("sinks"))
+    return carried.filter(F.size("sinks") > 0)
+
+
+def _picked(carried: DataFrame, kept: int) -> DataFrame:
+    """source, sink, ways (the first `kept`), more (whether there may be others), lost (whether one that was left out before may belong among them)."""
+    each = carried.repartition("source").select("source", "length", "target", F.explode("sinks").alias("s")).select("source", "length", "target", "s.*")
+    # Each row has a way or a loss, so those behind the first kept + 1 change nothing.
+    order = W.partitionBy("source", "sink").orderBy("length", "target")
+    each = each.withColumn("k", F.row_number().over(order)).filter(F.col("k") <= kept + 1)
+    rows = each.groupBy("source", "sink").agg(F.array_sort(F.collect_list(F.struct("length", "target", "ways", "more", "cut"))).alias("rows"))
+
+    def ways(r: Column) -> Column:
+        via = F.filter(F.array(r["target"]), lambda x: x != F.col("sink"))
+        return F.transform(r["ways"], lambda w: F.concat(via, w))
+
+    def walked(s: Column, r: Column) -> Column:
+        n = s["n"] + F.size(r["ways"])
+        return F.struct(n.alias("n"), (s["lost"] | (r["cut"] & (n < kept))).alias("lost"))
+
+    all_ways = F.flatten(F.transform("rows", ways))
+    more = (F.size(all_ways) > kept) | F.exists("rows", lambda r: r["more"])
+    lost = F.aggregate("rows", F.struct(F.lit(0).alias("n"), F.lit(False).alias("lost")), walked)["lost"]
+    return rows.select("source", "sink", F.slice(all_ways, 1, kept).alias("ways"), more.alias("more"), lost.alias("lost"))
 
 
 def sink_flows(edges: DataFrame, calls: DataFrame, sinks: DataFrame, origins: DataFrame, *, most: int = MOST, hops: int = HOPS) -> DataFrame:

@@ -95,10 +95,11 @@ def taint_paths(spark, d):
     """S3: the first paths from each customer to each nation: by the parts that the customer ordered and the suppliers that ever got them back, or straight by a supplier."""
     node = lambda letter, c: F.concat(F.lit(letter), F.col(c).cast("string"))
     items = c.table(spark, d, "lineitem").select("l_orderkey", "l_partkey", "l_suppkey", "l_returnflag")
-    bought = items.join(c.table(spark, d, "orders").select("o_orderkey", "o_custkey"), F.col("o_orderkey") == F.col("l_orderkey"))
-    edges = bought.select(node("c", "o_custkey").alias("source"), node("p", "l_partkey").alias("target"))
-    edges = edges.union(items.filter("l_returnflag = 'R'").select(node("p", "l_partkey"), node("s", "l_suppkey")))
-    edges = edges.union(bought.filter("l_returnflag = 'A'").select(node("c", "o_custkey"), node("s", "l_suppkey")))
+    bought = items.join(c.table(spark, d, "orders").select("o_orderkey", "o_custkey"), F.col("o_orderkey") == F.col("l_orderkey"), "left")
+    customer, part, supplier = node("c", "o_custkey"), node("p", "l_partkey"), node("s", "l_suppkey")
+    edge = lambda source, target: F.struct(source.alias("source"), target.alias("target"))
+    flag = F.col("l_returnflag")
+    edges = bought.select(F.explode(F.array(edge(customer, part), F.when(flag == "R", edge(part, supplier)), F.when(flag == "A", edge(customer, supplier)))).alias("e")).select("e.*")
     edges = edges.union(c.table(spark, d, "supplier").select(node("s", "s_suppkey"), node("n", "s_nationkey")))
     sources, sinks = c.table(spark, d, "customer").select(node("c", "c_custkey").alias("node")), c.table(spark, d, "nation").select(node("n", "n_nationkey").alias("node"))
     found = taint.flow_paths(edges, sources, sinks, most=3, hops=4)

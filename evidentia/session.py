@@ -12,6 +12,8 @@ from pyspark.sql import Column, DataFrame, Observation, SparkSession
 
 PACKAGE = Path(__file__).resolve().parent
 _shipped: set[str] = set()
+#: Whether shuffle files go as soon as their job has ended; what is written needs them no longer.
+CLEAN_KEY = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 #: Arrow batches end at so many bytes instead of Spark's 64 MB: a worker's memory then depends on the longest row and not on thousands of rows.
@@ -69,7 +71,12 @@ def saved(df: DataFrame, name: str, figures: dict[str, Column] | None = None) ->
     """
     spark, seen = df.sparkSession, Observation()
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    (df.observe(seen, *[c.alias(n) for n, c in figures.items()]) if figures else df).write.parquet(path)
+    before = spark.conf.get(CLEAN_KEY, "false")
+    spark.conf.set(CLEAN_KEY, "true")
+    try:
+        (df.observe(seen, *[c.alias(n) for n, c in figures.items()]) if figures else df).write.parquet(path)
+    finally:
+        spark.conf.set(CLEAN_KEY, before)
     where, files = hadoop(spark, path)
     files.deleteOnExit(where)
     back = spark.read.schema(df.schema).parquet(path)

@@ -58,3 +58,13 @@ def test_sink_flows_have_steps(spark):
     got = {r.sink_id: r.paths for r in taint.sink_flows(edges, calls, sinks, calls.filter("id < 2"), most=3).collect()}
     assert set(got) == {3} and [[s.code for s in p.steps] for p in got[3]] == [["c0", "c3"], ["c1", "c3"], ["c0", "c2", "c3"]]
     assert (got[3][2].source, got[3][2].sink, got[3][2].steps[1].line_number, got[3][2].steps[1].method) == ("c0", "Injection: c3", 20, "m")
+
+
+def test_layers_grow_with_nodes_and_not_with_pairs(spark, monkeypatch):
+    """Every source reaches every node: what a layer holds are ways of nodes to sinks, not of sources to nodes."""
+    edges = [(f"s{a}", f"x{b}") for a in range(40) for b in range(10)] + [(f"x{a}", f"y{b}") for a in range(10) for b in range(10)] + [(f"y{a}", f"t{b}") for a in range(10) for b in range(2)]
+    rows, write = [], taint.saved
+    monkeypatch.setattr(taint, "saved", lambda df, name: rows.append((name, (out := write(df, name)).count())) or out)
+    got = taint.flow_paths(*frames(spark, edges, [f"s{a}" for a in range(40)], ["t0", "t1"]), most=3, hops=3)
+    assert got.count() == 40 * 2 * 3 and [r.steps for r in got.filter("sink = 't1' and source = 's7'").orderBy("rank").collect()] == [["s7", "x0", f"y{k}", "t1"] for k in range(3)]
+    assert sum(n for name, n in rows if name == "flow-layer") <= 2 * 20

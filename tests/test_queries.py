@@ -54,6 +54,27 @@ def test_long_documents(spark, long_texts, name):
     assert got and got == rows([c[0] for c in result.description], result.fetchall())
 
 
+@pytest.mark.parametrize("name", ["evaluation_scored", "heldout_scored"])
+def test_lines_are_read_once(spark, sf_dir, monkeypatch, name):
+    """Labels, findings and baseline come from one scan of the lines."""
+    from evidentia.plans import program
+
+    calls, view = [], program.c.line_view
+    monkeypatch.setattr(program.c, "line_view", lambda *a: calls.append(a) or view(*a))
+    files = catalogue.QUERIES[name](spark, sf_dir).inputFiles()
+    assert len(calls) == 1 and not any("documents" in f for f in files)
+
+
+def test_report_reads_written_findings(spark, sf_dir, monkeypatch):
+    """The jobs of a report (counts, bounds, parts) don't scan the documents again."""
+    from evidentia.plans import findings
+
+    read, sections = [], findings.writers.markdown_sections
+    monkeypatch.setattr(findings.writers, "markdown_sections", lambda found, run: read.extend(found.inputFiles()) or sections(found, run))
+    catalogue.QUERIES["report_markdown"](spark, sf_dir)
+    assert read and not any("documents" in f for f in read)
+
+
 def test_entry(spark):
     import __spark_entry__ as entry
 

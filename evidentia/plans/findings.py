@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from ..functions import fixed
 from ..functions.text import class_key, clean_type, rate
 from ..operators import evaluation, graph, judge, metrics, shortlist, taint
-from ..session import shared_dir
+from ..session import saved, shared_dir
 from ..sources import writers
 from . import common as c
 from .common import any_sql, first_sql, quote, rate_sql
@@ -327,6 +327,7 @@ def corpus_summary(spark, d):
 
 
 def _document_findings(spark, d):
+    """Hits of the line rules as findings. Written where a query reads them more than once, as a report does: for its counts, for the bounds of its parts and for the parts."""
     hits = shortlist.shortlist(c.line_view(spark, d), c.LINE_RULES, "code")
     return hits.select(
         F.concat_ws(":", "doc_id", "line").alias("id"), "cwe", F.col("category").alias("vulnerability_type"), "severity", F.lit("medium").alias("confidence"), F.col("source").alias("file"),
@@ -341,7 +342,7 @@ R AS (SELECT *, row_number() OVER (PARTITION BY rule_id ORDER BY {_RANK}, source
 SELECT rule_id, name, substr(code, 1, 500) AS description, CASE WHEN severity IN ('critical', 'high') THEN 'error' WHEN severity = 'medium' THEN 'warning' ELSE 'note' END AS level FROM R WHERE k = 1""")
 def sarif_rules(spark, d):
     """K5: the first finding of each rule describes it."""
-    found = _document_findings(spark, d)
+    found = saved(_document_findings(spark, d), "findings")
     levels = writers.sarif_results(found).select("rule_id", "level").distinct()
     return writers.sarif_rules(found).join(levels, "rule_id").select("rule_id", "name", "description", "level")
 
@@ -365,8 +366,8 @@ SELECT line, count(*) AS n FROM (SELECT unnest(string_split(text, chr(10))) AS l
 def report_markdown(spark, d):
     """K4, K6: the report as a document in parts, read back: its lines and how often each occurs."""
     folder = f"{shared_dir(spark)}/report-{uuid.uuid4().hex}"
-    writers.write_sections(spark, folder, writers.markdown_sections(_document_findings(spark, d), writers.Run("documents", model="rules")))
-    return writers.read_document(spark, folder).groupBy("line").agg(F.count("*").alias("n"))
+    writers.write_sections(spark, folder, writers.markdown_sections(saved(_document_findings(spark, d), "findings"), writers.Run("documents", model="rules")))
+    return writers.read_lines(spark, folder).groupBy("line").agg(F.count("*").alias("n"))
 
 
 @query("report_sarif", f"""
@@ -374,10 +375,10 @@ WITH {_HITS_SQL} SELECT cwe AS rule_id, CASE WHEN severity IN ('critical', 'high
 def report_sarif(spark, d):
     """K5, K6: the results of a SARIF document in parts, read back; each is a line."""
     folder = f"{shared_dir(spark)}/report-{uuid.uuid4().hex}"
-    writers.write_sections(spark, folder, writers.sarif_sections(_document_findings(spark, d)))
+    writers.write_sections(spark, folder, writers.sarif_sections(saved(_document_findings(spark, d), "findings")))
     place = "array<struct<physicalLocation: struct<artifactLocation: struct<uri: string>, region: struct<startLine: int>>>>"
     result = F.from_json(F.regexp_replace("line", "^,", ""), f"ruleId string, level string, message struct<text: string>, locations {place}")
-    rows = writers.read_document(spark, folder).select(result.alias("r")).filter("r.ruleId is not null")
+    rows = writers.read_lines(spark, folder).select(result.alias("r")).filter("r.ruleId is not null")
     at = F.get("r.locations", F.lit(0))["physicalLocation"]
     return rows.select(F.col("r.ruleId").alias("rule_id"), "r.level", F.col("r.message.text").alias("message"), at["artifactLocation"]["uri"].alias("uri"), at["region"]["startLine"].alias("start_line"))
 

@@ -236,6 +236,11 @@ def read_document(spark: SparkSession, folder: str) -> DataFrame:
     return raw.select("file", F.posexplode(F.split(F.expr("IF(endswith(value, '\\n'), left(value, length(value) - 1), value)"), "\n")).alias("pos", "line"))
 
 
+def read_lines(spark: SparkSession, folder: str) -> DataFrame:
+    """line: the lines of a document in parts without their places, so that a large part is read in splits and never held as one text."""
+    return spark.read.text(folder, lineSep="\n").select(F.col("value").alias("line"))
+
+
 def _cell(c: str, digits: int = 2) -> Column:
     return F.format_string(f"%.{digits}f", F.col(c).cast("double"))
 

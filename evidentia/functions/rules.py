@@ -200,7 +200,8 @@ def marked(rows: DataFrame, sets: dict[str, list[Rule]], *columns: str) -> DataF
     """rows with a column for each named set: the ordinal of its first rule that hits any of the columns, null if none does.
 
     One scan for all sets: the texts are searched for the distinct literals of all rules, and a pattern is tried on what has one of its literals. The
-    expressions go to Spark as text, as building some thousand of them one by one takes longer than matching.
+    expressions go to Spark as text, as building some thousand of them one by one takes longer than matching. The marks come out of a generator of one row, because a filter on
+    them would else be pushed below the search, where each of its mentions of a mark lower-cases and searches the text again.
     """
     patterns = tuple(p for p in dict.fromkeys(r.pattern for given in sets.values() for r in given) if needed_literals(p))
     place = {p: divmod(k, WORD_BITS) for k, p in enumerate(patterns)}
@@ -230,7 +231,8 @@ def marked(rows: DataFrame, sets: dict[str, list[Rule]], *columns: str) -> DataF
         any_of = lambda p: " OR ".join(f"contains({low}, {_quoted(x)})" for x in sorted(needed_literals(p)))
         mask = [" | ".join(f"IF({any_of(p)}, {1 << bit}L, 0L)" for p, (w, bit) in place.items() if w == k) for k in range(len(words))]
         out = rows.withColumn(low, F.lower(text)).selectExpr("*", *[f"{m} AS {w}" for m, w in zip(mask, words) if m])
-    return out.selectExpr(*[f"`{c}`" for c in rows.columns if c not in sets], *[f"{first(given)} AS `{name}`" for name, given in sets.items()])
+    marks = ", ".join(f"{first(given)} AS `{name}`" for name, given in sets.items())
+    return out.selectExpr(*[f"`{c}`" for c in rows.columns if c not in sets], f"inline(array(struct({marks})))")
 
 
 def hits(columns: Iterable[Column], pattern: str) -> Column:

@@ -110,3 +110,14 @@ def test_needed_literals_and_marks(spark):
         finally:
             rules.SINGLY = before
         assert all(got[i][n] == want[i][n] for i in want for n in sets)
+
+
+@pytest.mark.parametrize("singly", [10**6, 0])
+def test_a_filter_on_marks_searches_texts_once(spark, singly, monkeypatch):
+    """A filter on marks stays above the search, one by one or by an automaton, and takes the same rows."""
+    monkeypatch.setattr(rules, "SINGLY", singly)
+    rows = spark.createDataFrame([(1, "a TOKEN"), (2, "popen x"), (3, "plain"), (4, None)], "id int, code string")
+    found = rules.marked(rows, {"one": [rules.Rule("(?i)token", "t")], "two": [rules.Rule("popen", "p"), rules.Rule("x$", "x")]}, "code").filter("one is not null or two is not null")
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("lower(concat_ws(" if singly else "ArrowEvalPython") == 1
+    assert sorted(map(tuple, found.collect())) == [(1, "a TOKEN", 0, None), (2, "popen x", None, 0)]

@@ -35,10 +35,14 @@ def json_object(text: Column) -> Column:
     return F.regexp_extract(text, r"(?s)\{.*\}", 0)
 
 
+#: What ends a line. Java's \R is \r\n or one of \n \x0B \f \r \x85 U+2028 U+2029, and is found twice as fast as a class of them.
+LINE_END = r"\R|[\x1C-\x1E]"
+
+
 def lines(text: Column) -> Column:
-    """Lines without a last empty one."""
-    cut = F.split(F.regexp_replace(text, r"\r\n|[\r\x0B\x0C\x1C-\x1E\u0085  ]", "\n"), "\n")
-    return F.when(text == "", F.array().cast("array<string>")).when(F.element_at(cut, -1) == "", F.slice(cut, F.lit(1), F.size(cut) - 1)).otherwise(cut)
+    """Lines without a last empty one. The cut text is bound by a transform, as it would be cut anew wherever it is named."""
+    bare = lambda cut: F.when(F.element_at(cut, -1) == "", F.slice(cut, F.lit(1), F.size(cut) - 1)).otherwise(cut)
+    return F.get(F.transform(F.array(F.split(text, LINE_END)), bare), F.lit(0))
 
 
 def nonblank_lines(text: Column) -> Column:

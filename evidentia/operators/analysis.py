@@ -1,6 +1,6 @@
 """From a program's relations to findings: shortlists, contexts, judge, filters and de-duplication, for each mode and for all.
 
-Calls are scanned once: one pass marks each with the rules that it hits in all modes, and is written. So are the contexts, the answers and the findings,
+Calls are scanned once: one pass marks each with the rules that it hits in all modes, and is written, with code where a rule hit: of others only the names are used. So are the contexts, the answers and the findings,
 because each is used more than once and because a judge is dear and need not say the same twice: every prompt goes to it once. The figures of a run are observed by the jobs that
 write, so that no job runs only to count.
 
@@ -99,7 +99,9 @@ def extracted(program: Program, *, mode: str, lang: str, rulesets: dict[str, lis
     """The contexts of a mode, or of several: COMMON columns. rulesets: rules by kind, the default ones where a kind is missing."""
     parts, rules = [], {kind: given for one in MODES[mode] for kind, given in rule_sets(one, lang).items()} | (rulesets or {})
     kinds = {k: rules[k] for one in MODES[mode] for k in rule_sets(one, lang)}
-    calls = saved(marked(program.calls, {MARK(k): given for k, given in kinds.items()}, "code", "name"), "marked-calls")
+    calls = marked(program.calls, {MARK(k): given for k, given in kinds.items()}, "code", "name")
+    hit = F.coalesce(*[F.col(MARK(k)) for k in kinds]).isNotNull()
+    calls = saved(calls.withColumn("code", F.when(hit, F.col("code"))), "marked-calls")
     program = Program(program.methods, calls, program.files, program.flows)
     for one in MODES[mode]:
         if one == "absence":

@@ -35,9 +35,11 @@ def guard_evidence(methods: DataFrame, calls: DataFrame, files: DataFrame, rules
     """
     wanted = (of if of is not None else methods).select("full_name", "name").distinct()
     found = guards(calls, rules, "code", "name", mark=mark)
-    token = found.withColumn("token", F.explode(F.array_distinct(F.regexp_extract_all("code", F.lit(r"(\w+)"), F.lit(1)))))
-    naming = token.join(wanted.withColumnRenamed("name", "token"), "token")
-    naming = naming.filter("containing <> full_name").select(
+    # Identifiers go without their code, of which there would be a copy for each of its words; a digest of the row tells calls of one id apart.
+    told = found.withColumn("row_", F.xxhash64("code", "containing", "filename", "line_number"))
+    token = told.select("id", "row_", F.explode(F.array_distinct(F.regexp_extract_all("code", F.lit(r"(\w+)"), F.lit(1)))).alias("token"))
+    names = token.join(wanted.withColumnRenamed("name", "token"), "token").select("id", "row_", "full_name").distinct()
+    naming = told.join(names, ["id", "row_"]).filter("containing <> full_name").select(
         "full_name", "control", "category", "code", F.col("filename").alias("file"), F.col("line_number").alias("line"), F.col("id").alias("node_id"),
         F.lit("route-middleware").alias("scope"), F.struct(F.lit(0).alias("a"), F.lit("").alias("b"), F.col("id").alias("c"), F.lit(0).alias("d")).alias("position"),
     )

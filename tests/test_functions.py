@@ -121,3 +121,10 @@ def test_a_filter_on_marks_searches_texts_once(spark, singly, monkeypatch):
     plan = found._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("lower(concat_ws(" if singly else "ArrowEvalPython") == 1
     assert sorted(map(tuple, found.collect())) == [(1, "a TOKEN", 0, None), (2, "popen x", None, 0)]
+
+
+def test_lines_cut_a_text_once(spark):
+    rows = spark.createDataFrame([("a\r\nb\rc\x0bd\x1ce\x85f\u2028g\u2029\n\n",), ("\n",), ("",), (None,)], "x string")
+    df = rows.select(text.lines(F.col("x")).alias("l"))
+    assert df._jdf.queryExecution().optimizedPlan().toString().count("split(") == 1
+    assert [r.l for r in df.collect()] == [["a", "b", "c", "d", "e", "f", "g", "", ""], [""], [], None]

@@ -332,6 +332,21 @@ def test_analysis_from_relations_to_findings(spark, tmp_path):
     assert [r.context_id for r in few] == ["absence-route:r.js:/admin:2"] and few[0].guard_controls == [] and "     1│const express" in few[0].prompt and few[0].grounding == "raw"
 
 
+def test_code_goes_no_further_than_its_hits(spark, monkeypatch):
+    """Marked calls are written with code where a rule hits only; identifiers of guards are dealt out without it."""
+    kept, write = {}, analysis.saved
+    monkeypatch.setattr(analysis, "saved", lambda df, name, *a: kept.setdefault(name, write(df, name, *a)))
+    p = program(spark)
+    analysis.extracted(p, mode="all", lang="javascript")
+    marks = [c for c in kept["marked-calls"].columns if c.startswith(analysis.MARK(""))]
+    calls = kept["marked-calls"].collect()
+    assert len(calls) == p.calls.count() and {any(r[m] is not None for m in marks) for r in calls} == {True, False}
+    assert all((r.code is not None) == any(r[m] is not None for m in marks) for r in calls)
+    found = evidence.guard_evidence(p.methods, kept["marked-calls"], p.files, [], mark=analysis.MARK("guard"))
+    exploded = [line for line in found._jdf.queryExecution().optimizedPlan().toString().split("\n") if "explode(array_distinct(" in line]
+    assert exploded and all("code#" not in line.split("), ", 1)[1].split("false", 1)[0].rsplit("[", 1)[-1] for line in exploded)
+
+
 def test_answers_are_kept_and_failures_asked_again(spark, tmp_path):
     calls, store = tmp_path / "calls", tmp_path / "store"
     calls.mkdir()

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -45,6 +47,11 @@ def lines(text: Column) -> Column:
     return F.get(F.transform(F.array(F.split(text, LINE_END)), bare), F.lit(0))
 
 
+def fed_lines(text: Column) -> Column:
+    """Lines as line feeds alone part them, a last empty one too (SQL's string_split)."""
+    return F.split(text, "\n")
+
+
 def nonblank_lines(text: Column) -> Column:
     return F.size(F.filter(lines(text), lambda x: ~x.rlike(r"^\s*$"))).cast("bigint")
 
@@ -63,9 +70,9 @@ def numbered(all_lines: Column, first: Column, last: Column) -> Column:
     return F.transform(F.slice(all_lines, first + 1, F.greatest(last - first, F.lit(0))), lambda x, i: F.concat(F.lpad((first + i + 1).cast("string"), 6, " "), F.lit("│"), x))
 
 
-def numbered_window(text: Column, around: Column, most: int | None = WINDOW, per_line: int = 160) -> Column:
-    """The text with numbered lines; of a text longer than most characters (None: of none), only most / per_line lines before and after `around`."""
-    each = lines(text)
+def numbered_window(text: Column, around: Column, most: int | None = WINDOW, per_line: int = 160, cut: Callable[[Column], Column] = lines) -> Column:
+    """The text with numbered lines (as cut parts them); of a text longer than most characters (None: of none), only most / per_line lines before and after `around`."""
+    each = cut(text)
     if most is None:
         return F.array_join(numbered(each, F.lit(0), F.size(each)), "\n")
     reach, long = most // per_line, F.length(text) > most

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -137,10 +139,10 @@ def distinct_routes(routes: DataFrame) -> DataFrame:
     return routes.groupBy("filename", "line_number").agg(F.min_by(F.struct(*routes.columns), "id").alias("r")).select("r.*")
 
 
-def raw(contexts: DataFrame, files: DataFrame, *arrays: str, most: int | None = WINDOW) -> DataFrame:
-    """The ungrounded form: the numbered file in place of the code (of one longer than most characters a window; None: all), and the given arrays empty."""
+def raw(contexts: DataFrame, files: DataFrame, *arrays: str, most: int | None = WINDOW, cut: Callable[[Column], Column] = lines) -> DataFrame:
+    """The ungrounded form: the numbered file in place of the code (of one longer than most characters a window; None: all), and the given arrays empty. cut parts a text into lines."""
     text = files.select("file", "text")
-    out = contexts.join(text, "file", "left").withColumn("code", F.coalesce(numbered_window(F.col("text"), F.col("start_line"), most), F.lit(""))).drop("text")
+    out = contexts.join(text, "file", "left").withColumn("code", F.coalesce(numbered_window(F.col("text"), F.col("start_line"), most, cut=cut), F.lit(""))).drop("text")
     return out.withColumns({a: F.filter(a, lambda x: F.lit(False)) for a in arrays}).withColumn("grounding", F.lit("raw"))
 
 

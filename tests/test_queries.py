@@ -54,6 +54,27 @@ def test_long_documents(spark, long_texts, name):
     assert got and got == rows([c[0] for c in result.description], result.fetchall())
 
 
+ODD_TEXTS = ["", "\n", "a\n", "a\n\n", "a\r\nb\rc", "a\x0bb\x0cc\x1cd\x85e\u2028f\u2029g\nh", " ", "\r\n", "ß│\n日本 \U0001f600", None]
+
+
+@pytest.fixture(scope="module")
+def odd_texts(spark, tmp_path_factory):
+    """Documents that are empty, null, without a language, or have other line ends than line feeds."""
+    folder = tmp_path_factory.mktemp("odd")
+    found = [(k, text, lang, "s") for k, (text, lang) in enumerate((t, lang) for t in ODD_TEXTS for lang in ("en", "", None))]
+    spark.createDataFrame([*found, (None, "a", "en", "s")], "doc_id long, text string, lang string, source string").write.parquet(f"{folder}/documents.parquet")
+    return str(folder)
+
+
+def test_raw_prompt_of_odd_texts(spark, odd_texts):
+    df = catalogue.QUERIES["raw_prompt"](spark, odd_texts)
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{odd_texts}/documents.parquet/*.parquet'")
+    result = con.execute(catalogue.ORACLES["raw_prompt"])
+    got = rows(df.columns, [tuple(r) for r in df.collect()])
+    assert len(got) == 2 * (len(ODD_TEXTS) - 1) and got == rows([c[0] for c in result.description], result.fetchall())
+
+
 @pytest.mark.parametrize("name", ["evaluation_scored", "heldout_scored"])
 def test_lines_are_read_once(spark, sf_dir, monkeypatch, name):
     """Labels, findings and baseline come from one scan of the lines."""

@@ -5,11 +5,12 @@ For each pair of a sink and a source that reaches it the first paths come out: n
 1. A search from the sources gives each node the least number of edges after which it is reached. Only such nodes get ways to sinks, and only ways that still fit.
 2. Ways grow backwards from the sinks by one edge a layer. Of a node's ways of one length to one sink the first `most` stay: paths that come to the node go on by those, whatever they were
    before. A row holds the ways of a node to at most `SINKS` sinks, so an edge carries them in one row to the node before. Rows are dealt by that node once, and it picks the first.
-   Sources pick theirs last, from the ways of all lengths at once.
+   Sources pick theirs last, from the ways of all lengths at once. An edge from a source carries only how many ways its target has to which sinks, so what is sorted is small, and
+   sources are dealt into runs of a bounded number of edges, so that no more than a run's rows are on disk at once. What is picked is a way's place at the target; the ways are joined last.
 3. A way that would come back to the node before is cut. Where the node after had a cut way and left others out, one of those may be needed: the sinks concerned (and no
    others) run again with more ways kept, until none is left. Without cycles that never happens.
 
-Layers are written, so a lost executor costs one layer. A path has a source other than its sink; edges from a node to itself count for nothing. Nulls among nodes are left out, and repeated edges, sources and sinks count once.
+Layers are written, so a lost executor costs one layer; edges and what they carry go as soon as no later step reads them. A path has a source other than its sink; edges from a node to itself count for nothing. Nulls among nodes are left out, and repeated edges, sources and sinks count once.
 """
 
 from __future__ import annotations
@@ -18,35 +19,37 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..session import saved
+from ..session import dealt, dropped, saved
 
 #: Paths of a sink, and edges of a path.
 MOST, HOPS = 3, 6
-#: How many times more ways are kept when a sink runs again, and sinks of a row.
-MORE, SINKS = 4, 64
+#: How many times more ways are kept when a sink runs again, sinks of a row, and edges from sources whose offers are sorted at once.
+MORE, SINKS, EDGES = 4, 64, 1 << 24
 
 
 def flow_paths(edges: DataFrame, sources: DataFrame, sinks: DataFrame, *, most: int = MOST, hops: int = HOPS) -> DataFrame:
     """sink, source, rank (from 1), length (edges), steps (nodes, the source first). edges: source, target; sources and sinks: node."""
-    edges = saved(edges.select("source", "target").filter("source <> target").distinct(), "flow-edges")
-    ends = saved(sinks.select(F.col("node").alias("sink")).filter("sink is not null").distinct(), "sinks")
+    plain = saved(edges.select("source", "target").filter("source <> target").distinct(), "flow-edges")
+    ends = saved(sinks.select(F.col("node").alias("sink")).filter("sink is not null").distinct().withColumn("no", F.monotonically_increasing_id()), "sinks")
     starts = saved(sources.select(F.col("node").alias("source")).filter("source is not null").distinct(), "flow-sources")
-    since = _reached(edges, starts, hops)
+    since = _reached(plain, starts, hops)
     known = starts.withColumn("start", F.lit(True)).join(since, "source", "full_outer")
-    edges = saved(edges.join(known, "source"), "flow-known-edges")
+    edges = saved(plain.join(known, "source"), "flow-known-edges")
+    dropped(plain)
     out, kept = None, most
     while True:
-        found, again = _searched(edges, ends, most, kept, hops)
-        ends = saved(again, "sinks")
+        layers, lost = _layers(edges, ends, kept, hops)
+        picks = _chosen(edges, layers, most)
+        lost = picks.filter("way < 0").select("no").union(lost)
+        ends = saved(ends.join(lost.distinct(), "no", "left_semi").select("sink", "no"), "sinks")
         last = ends.isEmpty()
-        found = found if last else found.join(ends, "sink", "left_anti")
+        picks = picks.filter("way >= 0")
+        found = _paths(picks if last else picks.join(ends, "no", "left_anti"), layers)
         out = found if out is None else out.unionByName(found)
         if last:
-            break
+            dropped(edges)
+            return out
         kept *= MORE
-    rows = out.select("sink", "source", F.posexplode("ways").alias("pos", "way"))
-    steps = F.concat(F.array("source"), "way", F.array("sink"))
-    return rows.select("sink", "source", (F.col("pos") + 1).alias("rank"), (F.size("way") + 1).alias("length"), steps.alias("steps"))
 
 
 def _reached(edges: DataFrame, starts: DataFrame, hops: int) -> DataFrame:
@@ -61,29 +64,79 @@ def _reached(edges: DataFrame, starts: DataFrame, hops: int) -> DataFrame:
     return seen
 
 
-def _searched(edges: DataFrame, ends: DataFrame, most: int, kept: int, hops: int) -> tuple[DataFrame, DataFrame]:
-    """source, sink and ways, the first of all lengths; and the sinks for which `kept` ways of a node may have been too few.
+def _layers(edges: DataFrame, ends: DataFrame, kept: int, hops: int) -> tuple[DataFrame, DataFrame]:
+    """at, length, no, sink, ways, more: nodes with their ways of each length to sinks; and no of the sinks for which `kept` ways of a node may have been too few.
 
     A way is its nodes between the two ends. edges: source, target, start (whether the source is one), since (null where nothing comes by).
     """
     way = F.filter(F.array("sink"), lambda _: F.lit(False))
-    one = F.array(F.struct("sink", F.array(way).alias("ways"), F.lit(False).alias("more")))
-    layer = ends.select(F.col("sink").alias("at"), one.alias("sinks"))
-    every, lost = _carried(edges.filter("start"), layer, 1), None
+    every = ends.select(F.col("sink").alias("at"), F.lit(1).alias("length"), "no", "sink", F.array(way).alias("ways"), F.lit(False).alias("more"))
+    layer, lost = every, ends.select("no").limit(0)
     for hop in range(1, hops):
         inner = edges.filter(F.col("since") + hop <= hops)
-        picked = saved(_picked(_carried(inner, layer, hop), kept), "flow-layer")
+        picked = saved(_picked(_carried(inner, _rows(layer), hop), kept), "flow-layer")
         if picked.isEmpty():
             break
-        gone = picked.filter("lost").select("sink")
-        lost = gone if lost is None else lost.union(gone)
-        few = picked.withColumn("part", F.floor((F.row_number().over(W.partitionBy("source").orderBy("sink")) - 1) / SINKS))
-        few = few.groupBy("source", "part").agg(F.collect_list(F.struct("sink", "ways", "more")).alias("sinks"))
-        layer = few.select(F.col("source").alias("at"), "sinks")
-        every = every.unionByName(_carried(edges.filter("start"), layer, hop + 1))
-    found = saved(_picked(every, most), "flow-paths")
-    gone = found.filter("lost").select("sink")
-    return found.select("source", "sink", "ways"), (gone if lost is None else lost.union(gone)).distinct()
+        lost = lost.union(picked.filter("lost").select("no"))
+        layer = picked.select(F.col("source").alias("at"), F.lit(hop + 1).alias("length"), "no", "sink", "ways", "more")
+        every = every.unionByName(layer)
+    return every, lost
+
+
+def _rows(layers: DataFrame) -> DataFrame:
+    """at, length, sinks: the ways of a node of one length to at most `SINKS` sinks."""
+    few = layers.withColumn("part", F.floor((F.row_number().over(W.partitionBy("at", "length").orderBy("no")) - 1) / SINKS))
+    return few.groupBy("at", "length", "part").agg(F.collect_list(F.struct("no", "sink", "ways", "more")).alias("sinks")).drop("part")
+
+
+def _offered(edges: DataFrame, layers: DataFrame) -> DataFrame:
+    """source, length, target, and of each sink that the target has ways to: nos, counts (of ways), frees (which of them don't come back to the source; null: all) and cuts (null: none)."""
+    ways, has = F.flatten(F.flatten("sinks.ways")), F.col("source")
+    thin = _rows(layers).withColumns({"nos": F.col("sinks.no"), "counts": F.transform("sinks.ways", F.size), "through": F.array_distinct(F.concat("sinks.sink", ways))})
+
+    def some(s: Column) -> Column:
+        free = F.transform(s["ways"], lambda w, i: F.when(~F.array_contains(w, has), i))
+        free = F.when(s["sink"] != has, F.filter(free, lambda i: i.isNotNull())).otherwise(F.array().cast("array<int>"))
+        return F.struct(s["no"], free.alias("free"), (s["more"] & (s["sink"] != has) & (F.size(free) < F.size(s["ways"]))).alias("cut"))
+
+    # Where the source is on none of the ways, which is all but always, what the layer has goes on as it is.
+    here = F.when(F.array_contains("through", has), F.transform("sinks", some))
+    found = edges.join(thin, F.col("target") == F.col("at")).select("source", "length", "target", "nos", "counts", here.alias("some"))
+    counts = F.coalesce(F.transform("some.free", F.size), "counts")
+    return found.select("source", "length", "target", "nos", counts.alias("counts"), F.col("some.free").alias("frees"), F.col("some.cut").alias("cuts"))
+
+
+def _chosen(edges: DataFrame, layers: DataFrame, most: int) -> DataFrame:
+    """source, no, rank, length, target, way: the first ways from each source to each sink, by their places among those of the target; way -1 tells that one left out may belong among them."""
+    starts = edges.filter("start")
+    runs = max(1, -(-starts.count() // EDGES))
+    offers = dealt(_offered(starts, layers).withColumn("run", F.pmod(F.xxhash64("source"), F.lit(runs)).cast("int")), "flow-offers", "run")
+    out = None
+    for run in range(runs):
+        each = offers.filter(F.col("run") == run).drop("run").repartition("source")
+        each = each.select("source", "length", "target", "counts", "frees", "cuts", F.posexplode("nos").alias("pos", "no"))
+        of = lambda c: F.get(c, F.col("pos"))
+        each = each.select("source", "no", "length", "target", of("counts").alias("n"), of("frees").alias("free"), F.coalesce(of("cuts"), F.lit(False)).alias("cut")).filter("n > 0 or cut")
+        # Each row has a way or a loss, so those behind the first most + 1 change nothing.
+        order = W.partitionBy("source", "no").orderBy("length", "target")
+        each = each.withColumn("k", F.row_number().over(order)).filter(F.col("k") <= most + 1)
+        each = each.withColumn("before", (F.sum("n").over(order.rowsBetween(W.unboundedPreceding, W.currentRow)) - F.col("n")).cast("int")).filter(F.col("before") < most)
+        none = F.array().cast("array<int>")
+        ways = F.slice(F.when(F.col("n") > 0, F.coalesce("free", F.sequence(F.lit(0), F.col("n") - 1))).otherwise(none), F.lit(1), F.lit(most) - F.col("before"))
+        lost = F.when(F.col("cut") & (F.col("before") + F.col("n") < most), F.array(F.lit(-1))).otherwise(none)
+        each = each.select("source", "no", "before", "length", "target", F.posexplode(F.concat(ways, lost)).alias("pos", "way"))
+        picks = saved(each.select("source", "no", (F.col("before") + F.col("pos") + 1).alias("rank"), "length", "target", "way"), "flow-picks")
+        out = picks if out is None else out.unionByName(picks)
+    dropped(offers)
+    return out
+
+
+def _paths(picks: DataFrame, layers: DataFrame) -> DataFrame:
+    """sink, source, rank, length, steps: the picks with the ways that they name."""
+    known = layers.select(F.col("at").alias("target"), "length", "no", "sink", "ways")
+    via = F.slice(F.array("target"), F.lit(1), F.when(F.col("target") == F.col("sink"), 0).otherwise(1))
+    steps = F.concat(F.array("source"), via, F.get("ways", F.col("way")), F.array("sink"))
+    return picks.join(known, ["target", "length", "no"]).select("sink", "source", "rank", "length", steps.alias("steps"))
 
 
 def _carried(edges: DataFrame, layer: DataFrame, length: int) -> DataFrame:
@@ -91,20 +144,20 @@ def _carried(edges: DataFrame, layer: DataFrame, length: int) -> DataFrame:
 
     def free(s: Column) -> Column:
         ways = F.filter(s["ways"], lambda w: ~F.array_contains(w, F.col("source")))
-        return F.struct(s["sink"], ways.alias("ways"), s["more"], (s["more"] & (F.size(ways) < F.size(s["ways"]))).alias("cut"))
+        return F.struct(s["no"], s["sink"], ways.alias("ways"), s["more"], (s["more"] & (F.size(ways) < F.size(s["ways"]))).alias("cut"))
 
     sinks = F.filter(F.transform("sinks", free), lambda s: (s["sink"] != F.col("source")) & ((F.size(s["ways"]) > 0) | s["cut"]))
-    carried = edges.join(layer, F.col("target") == F.col("at")).select("source", F.lit(length).alias("length"), "target", sinks.alias("sinks"))
+    carried = edges.join(layer.drop("length"), F.col("target") == F.col("at")).select("source", F.lit(length).alias("length"), "target", sinks.alias("sinks"))
     return carried.filter(F.size("sinks") > 0)
 
 
 def _picked(carried: DataFrame, kept: int) -> DataFrame:
-    """source, sink, ways (the first `kept`), more (whether there may be others), lost (whether one that was left out before may belong among them)."""
+    """source, no, sink, ways (the first `kept`), more (whether there may be others), lost (whether one that was left out before may belong among them)."""
     each = carried.repartition("source").select("source", "length", "target", F.explode("sinks").alias("s")).select("source", "length", "target", "s.*")
     # Each row has a way or a loss, so those behind the first kept + 1 change nothing.
     order = W.partitionBy("source", "sink").orderBy("length", "target")
     each = each.withColumn("k", F.row_number().over(order)).filter(F.col("k") <= kept + 1)
-    rows = each.groupBy("source", "sink").agg(F.array_sort(F.collect_list(F.struct("length", "target", "ways", "more", "cut"))).alias("rows"))
+    rows = each.groupBy("source", "no", "sink").agg(F.array_sort(F.collect_list(F.struct("length", "target", "ways", "more", "cut"))).alias("rows"))
 
     def ways(r: Column) -> Column:
         via = F.filter(F.array(r["target"]), lambda x: x != F.col("sink"))
@@ -117,7 +170,7 @@ def _picked(carried: DataFrame, kept: int) -> DataFrame:
     all_ways = F.flatten(F.transform("rows", ways))
     more = (F.size(all_ways) > kept) | F.exists("rows", lambda r: r["more"])
     lost = F.aggregate("rows", F.struct(F.lit(0).alias("n"), F.lit(False).alias("lost")), walked)["lost"]
-    return rows.select("source", "sink", F.slice(all_ways, 1, kept).alias("ways"), more.alias("more"), lost.alias("lost"))
+    return rows.select("source", "no", "sink", F.slice(all_ways, 1, kept).alias("ways"), more.alias("more"), lost.alias("lost"))
 
 
 def sink_flows(edges: DataFrame, calls: DataFrame, sinks: DataFrame, origins: DataFrame, *, most: int = MOST, hops: int = HOPS) -> DataFrame:

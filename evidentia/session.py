@@ -7,11 +7,14 @@ import tempfile
 import uuid
 import zipfile
 from pathlib import Path
+from weakref import WeakKeyDictionary
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 
 PACKAGE = Path(__file__).resolve().parent
 _shipped: set[str] = set()
+#: Where written tables are.
+_places: WeakKeyDictionary[DataFrame, str] = WeakKeyDictionary()
 #: Whether shuffle files go as soon as their job has ended; what is written needs them no longer.
 CLEAN_KEY = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
@@ -69,18 +72,37 @@ def saved(df: DataFrame, name: str, figures: dict[str, Column] | None = None) ->
 
     With figures, aggregates over df by name, also their values, which the writing job observes on its way.
     """
-    spark, seen = df.sparkSession, Observation()
+    seen = Observation()
+    back = _written(df.observe(seen, *[c.alias(n) for n, c in figures.items()]) if figures else df, name)
+    return (back, {n: seen.get[n] or 0 for n in figures}) if figures else back
+
+
+def dealt(df: DataFrame, name: str, by: str) -> DataFrame:
+    """df as saved() has it, with a folder for each value of by, so that a filter on it reads no other rows."""
+    return _written(df, name, by)
+
+
+def _written(df: DataFrame, name: str, *by: str) -> DataFrame:
+    spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     before = spark.conf.get(CLEAN_KEY, "false")
     spark.conf.set(CLEAN_KEY, "true")
     try:
-        (df.observe(seen, *[c.alias(n) for n, c in figures.items()]) if figures else df).write.parquet(path)
+        (df.write.partitionBy(*by) if by else df.write).parquet(path)
     finally:
         spark.conf.set(CLEAN_KEY, before)
     where, files = hadoop(spark, path)
     files.deleteOnExit(where)
     back = spark.read.schema(df.schema).parquet(path)
-    return (back, {n: seen.get[n] or 0 for n in figures}) if figures else back
+    _places[back] = path
+    return back
+
+
+def dropped(df: DataFrame) -> None:
+    """Delete what saved() or dealt() wrote for df before the application ends. Nothing that is still to run may read it."""
+    if path := _places.pop(df, None):
+        where, files = hadoop(df.sparkSession, path)
+        files.delete(where, True)
 
 
 def local_session(cores: int = 8, partitions: int = 8, memory: str = "8g") -> SparkSession:

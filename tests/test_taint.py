@@ -1,8 +1,10 @@
+import os
 import random
 
 import pytest
 
 from evidentia.operators import taint
+from evidentia.session import shared_dir
 
 
 def brute(edges, sources, sinks, most, hops):
@@ -68,3 +70,36 @@ def test_layers_grow_with_nodes_and_not_with_pairs(spark, monkeypatch):
     got = taint.flow_paths(*frames(spark, edges, [f"s{a}" for a in range(40)], ["t0", "t1"]), most=3, hops=3)
     assert got.count() == 40 * 2 * 3 and [r.steps for r in got.filter("sink = 't1' and source = 's7'").orderBy("rank").collect()] == [["s7", "x0", f"y{k}", "t1"] for k in range(3)]
     assert sum(n for name, n in rows if name == "flow-layer") <= 2 * 20
+
+
+def test_edges_carry_no_ways(spark):
+    """What is shuffled for an edge from a source doesn't grow with the names of the nodes on the ways behind it."""
+    rng = random.Random(1)
+    name = lambda k: f"{k}" + "".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=400))
+    inner = [(f"a{k}", name(3 * k + j)) for k in range(200) for j in range(3)]
+    edges = inner + [(b, "t") for _, b in inner]
+    store = spark.sparkContext._jsc.sc().statusStore()
+    written = lambda: sum(store.executorList(False).apply(k).totalShuffleWrite() for k in range(store.executorList(False).size()))
+    took = []
+    for n in (20, 120):
+        starts, before = [f"s{k}" for k in range(n)], written()
+        got = taint.flow_paths(*frames(spark, edges + [(s, f"a{k}") for s in starts for k in rng.sample(range(200), 40)], starts, ["t"]), most=3, hops=3)
+        assert got.count() == 3 * n
+        took.append(written() - before)
+    assert took[1] - took[0] < 100 * 40 * 300
+
+
+def test_sources_go_in_runs(spark, monkeypatch):
+    """No run has the offers of all sources, and what no later step reads is gone at the end."""
+    rng = random.Random(5)
+    nodes = [f"n{k}" for k in range(9)]
+    edges, sources, sinks = [(rng.choice(nodes), rng.choice(nodes)) for _ in range(26)], nodes[:5], nodes[4:7]
+    runs, write = [], taint.saved
+    monkeypatch.setattr(taint, "saved", lambda df, name: runs.append(name) or write(df, name))
+    monkeypatch.setattr(taint, "EDGES", 4)
+    there = set(os.listdir(shared_dir(spark)))
+    got = taint.flow_paths(*frames(spark, edges, sources, sinks), most=2, hops=5).collect()
+    assert sorted((r.sink, r.source, r["rank"], r.length, r.steps) for r in got) == brute(edges, sources, sinks, 2, 5)
+    assert runs.count("flow-picks") > 1
+    left = {f.rsplit("-", 1)[0] for f in set(os.listdir(shared_dir(spark))) - there}
+    assert "flow-picks" in left and not left & {"flow-edges", "flow-known-edges", "flow-offers"}

@@ -29,16 +29,15 @@ MORE, SINKS, EDGES = 4, 64, 1 << 24
 
 def flow_paths(edges: DataFrame, sources: DataFrame, sinks: DataFrame, *, most: int = MOST, hops: int = HOPS) -> DataFrame:
     """sink, source, rank (from 1), length (edges), steps (nodes, the source first). edges: source, target; sources and sinks: node."""
-    plain = saved(edges.select("source", "target").filter("source <> target").distinct(), "flow-edges")
+    starts = sources.select(F.col("node").alias("source")).filter("source is not null").distinct().withColumn("start", F.lit(True))
+    # Dealt by source once, for both the repeats and the mark.
+    edges = edges.select("source", "target").filter("source <> target").repartition("source").distinct()
+    edges = saved(edges.join(starts, "source", "left"), "flow-edges")
     ends = saved(sinks.select(F.col("node").alias("sink")).filter("sink is not null").distinct().withColumn("no", F.monotonically_increasing_id()), "sinks")
-    starts = saved(sources.select(F.col("node").alias("source")).filter("source is not null").distinct(), "flow-sources")
-    since = _reached(plain, starts, hops)
-    known = starts.withColumn("start", F.lit(True)).join(since, "source", "full_outer")
-    edges = saved(plain.join(known, "source"), "flow-known-edges")
-    dropped(plain)
+    inner = _reached(edges, hops)
     out, kept = None, most
     while True:
-        layers, lost = _layers(edges, ends, kept, hops)
+        layers, lost = _layers(inner, ends, kept, hops)
         picks = _chosen(edges, layers, most)
         lost = picks.filter("way < 0").select("no").union(lost)
         ends = saved(ends.join(lost.distinct(), "no", "left_semi").select("sink", "no"), "sinks")
@@ -48,33 +47,39 @@ def flow_paths(edges: DataFrame, sources: DataFrame, sinks: DataFrame, *, most:
         out = found if out is None else out.unionByName(found)
         if last:
             dropped(edges)
+            dropped(inner)
             return out
         kept *= MORE
 
 
-def _reached(edges: DataFrame, starts: DataFrame, hops: int) -> DataFrame:
-    """source and since, the least number of edges (from 1) after which a walk from any of the starts is there, for nodes from which it can go on."""
-    front, seen = starts, starts.limit(0).withColumn("since", F.lit(0))
-    for hop in range(1, hops):
-        step = edges.join(front, "source", "left_semi").select(F.col("target").alias("source")).distinct()
+def _reached(edges: DataFrame, hops: int) -> DataFrame:
+    """source, target, since: edges that a walk from a start can go on by, and the least number of edges (from 1) after which it is at their source. Only what has an edge to it is searched."""
+    ended = edges.select(F.col("target").alias("source"))
+    able = saved(edges.join(ended.distinct(), "source", "left_semi").select("source", "target"), "flow-able-edges")
+    front = saved(edges.filter("start").select(F.col("target").alias("source")).distinct().withColumn("since", F.lit(1)), "flow-front")
+    seen = front
+    for hop in range(2, hops):
+        step = able.join(front, "source", "left_semi").select(F.col("target").alias("source")).distinct()
         front = saved(step.join(seen, "source", "left_anti").withColumn("since", F.lit(hop)), "flow-front")
         if front.isEmpty():
             break
         seen = seen.unionByName(front)
-    return seen
+    known = saved(able.join(seen, "source"), "flow-known-edges")
+    dropped(able)
+    return known
 
 
-def _layers(edges: DataFrame, ends: DataFrame, kept: int, hops: int) -> tuple[DataFrame, DataFrame]:
+def _layers(inner: DataFrame, ends: DataFrame, kept: int, hops: int) -> tuple[DataFrame, DataFrame]:
     """at, length, no, sink, ways, more: nodes with their ways of each length to sinks; and no of the sinks for which `kept` ways of a node may have been too few.
 
-    A way is its nodes between the two ends. edges: source, target, start (whether the source is one), since (null where nothing comes by).
+    A way is its nodes between the two ends. inner: source, target, since.
     """
     way = F.filter(F.array("sink"), lambda _: F.lit(False))
     every = ends.select(F.col("sink").alias("at"), F.lit(1).alias("length"), "no", "sink", F.array(way).alias("ways"), F.lit(False).alias("more"))
     layer, lost = every, ends.select("no").limit(0)
     for hop in range(1, hops):
-        inner = edges.filter(F.col("since") + hop <= hops)
-        picked = saved(_picked(_carried(inner, _rows(layer), hop), kept), "flow-layer")
+        near = inner.filter(F.col("since") + hop <= hops)
+        picked = saved(_picked(_carried(near, _rows(layer), hop), kept), "flow-layer")
         if picked.isEmpty():
             break
         lost = lost.union(picked.filter("lost").select("no"))

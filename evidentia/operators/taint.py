@@ -70,34 +70,35 @@ def _reached(edges: DataFrame, hops: int) -> DataFrame:
 
 
 def _layers(inner: DataFrame, ends: DataFrame, kept: int, hops: int) -> tuple[DataFrame, DataFrame]:
-    """at, length, no, sink, ways, more: nodes with their ways of each length to sinks; and no of the sinks for which `kept` ways of a node may have been too few.
+    """at, length, sinks (structs with no, sink, ways, more): nodes with their ways of each length to sinks; and no of the sinks for which `kept` ways of a node may have been too few.
 
     A way is its nodes between the two ends. inner: source, target, since.
     """
     way = F.filter(F.array("sink"), lambda _: F.lit(False))
-    every = ends.select(F.col("sink").alias("at"), F.lit(1).alias("length"), "no", "sink", F.array(way).alias("ways"), F.lit(False).alias("more"))
-    layer, lost = every, ends.select("no").limit(0)
+    one = F.struct("no", "sink", F.array(way).alias("ways"), F.lit(False).alias("more"), F.lit(False).alias("lost"))
+    layer = ends.select(F.col("sink").alias("at"), F.lit(1).alias("length"), F.array(one).alias("sinks"))
+    every, lost = layer, ends.select("no").limit(0)
     for hop in range(1, hops):
         near = inner.filter(F.col("since") + hop <= hops)
-        picked = saved(_picked(_carried(near, _rows(layer), hop), kept), "flow-layer")
-        if picked.isEmpty():
+        layer = saved(_rows(_picked(_carried(near, layer, hop), kept), hop + 1), "flow-layer")
+        if layer.isEmpty():
             break
-        lost = lost.union(picked.filter("lost").select("no"))
-        layer = picked.select(F.col("source").alias("at"), F.lit(hop + 1).alias("length"), "no", "sink", "ways", "more")
+        lost = lost.union(layer.select(F.explode("sinks").alias("s")).filter("s.lost").select("s.no"))
         every = every.unionByName(layer)
     return every, lost
 
 
-def _rows(layers: DataFrame) -> DataFrame:
-    """at, length, sinks: the ways of a node of one length to at most `SINKS` sinks."""
-    few = layers.withColumn("part", F.floor((F.row_number().over(W.partitionBy("at", "length").orderBy("no")) - 1) / SINKS))
-    return few.groupBy("at", "length", "part").agg(F.collect_list(F.struct("no", "sink", "ways", "more")).alias("sinks")).drop("part")
+def _rows(picked: DataFrame, length: int) -> DataFrame:
+    """at, length, sinks: the ways of a node to at most `SINKS` sinks."""
+    few = picked.withColumn("part", F.floor((F.row_number().over(W.partitionBy("source").orderBy("no")) - 1) / SINKS))
+    few = few.groupBy("source", "part").agg(F.collect_list(F.struct("no", "sink", "ways", "more", "lost")).alias("sinks"))
+    return few.select(F.col("source").alias("at"), F.lit(length).alias("length"), "sinks")
 
 
 def _offered(edges: DataFrame, layers: DataFrame) -> DataFrame:
     """source, length, target, and of each sink that the target has ways to: nos, counts (of ways), frees (which of them don't come back to the source; null: all) and cuts (null: none)."""
     ways, has = F.flatten(F.flatten("sinks.ways")), F.col("source")
-    thin = _rows(layers).withColumns({"nos": F.col("sinks.no"), "counts": F.transform("sinks.ways", F.size), "through": F.array_distinct(F.concat("sinks.sink", ways))})
+    thin = layers.withColumns({"nos": F.col("sinks.no"), "counts": F.transform("sinks.ways", F.size), "through": F.array_distinct(F.concat("sinks.sink", ways))})
 
     def some(s: Column) -> Column:
         free = F.transform(s["ways"], lambda w, i: F.when(~F.array_contains(w, has), i))
@@ -138,7 +139,7 @@ def _chosen(edges: DataFrame, layers: DataFrame, most: int) -> DataFrame:
 
 def _paths(picks: DataFrame, layers: DataFrame) -> DataFrame:
     """sink, source, rank, length, steps: the picks with the ways that they name."""
-    known = layers.select(F.col("at").alias("target"), "length", "no", "sink", "ways")
+    known = layers.select(F.col("at").alias("target"), "length", F.explode("sinks").alias("s")).select("target", "length", "s.no", "s.sink", "s.ways")
     via = F.slice(F.array("target"), F.lit(1), F.when(F.col("target") == F.col("sink"), 0).otherwise(1))
     steps = F.concat(F.array("source"), via, F.get("ways", F.col("way")), F.array("sink"))
     return picks.join(known, ["target", "length", "no"]).select("sink", "source", "rank", "length", steps.alias("steps"))
